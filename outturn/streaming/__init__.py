@@ -1,0 +1,5 @@
+"""Left empty on purpose: none of the operators this engine covers is a stream.
+
+Episodes and outcomes need an entity's complete history, so they are batch jobs.
+Incremental runs go through ``outturn.operators.resume``.
+"""
