@@ -10,7 +10,14 @@ SPACE_CHARS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 SPACE = f"[{SPACE_CHARS}]"
 # the same without the newline
 INLINE_SPACE = r"[ \t\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-STRIP = f"^{SPACE}+|{SPACE}+$"
+# a run of whitespace that is not one plain space already
+UNTIDY_SPACE = f"{INLINE_SPACE.replace('[ ', '[').replace(']', chr(92) + 'n]')}{SPACE}*| {SPACE}+"
+# the characters themselves, for trimming
+SPACE_TEXT = "".join(
+    chr(c)
+    for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 # -- index lines ------------------------------------------------------------
 INDEX_ROW = (
@@ -155,6 +162,23 @@ HSR = r"(?iU)hart.scott.rodino|hsr act"
 CFIUS = r"(?iU)\bcfius\b|committee on foreign investment"
 TENDER_OFFER = r"(?iU)\b(?:tender offer|exchange offer)\b"
 
+# Words a text must contain (in lower case) before a pattern can match at all.
+NEEDED_WORDS = {
+    CASH_PER_SHARE: ["per share", "in cash", "for each share"],
+    EXCHANGE_RATIO: ["common stock"],
+    PREMIUM: ["premium"],
+    TERMINATION_FEE: ["termination fee"],
+    PARENT_FEE: ["parent termination fee", "reverse termination fee"],
+    EQUITY_VALUE: ["equity value", "aggregate consideration", "transaction value", "enterprise value"],
+    OUTSIDE_DATE: ["end date", "outside date", "termination date"],
+    NO_FINANCING_CONDITION: ["financing"],
+    FINANCING_CONDITION: ["financing condition"],
+    GO_SHOP: ["shop"],
+    HSR: ["rodino", "hsr act"],
+    CFIUS: ["cfius", "committee on foreign investment"],
+    TENDER_OFFER: ["tender offer", "exchange offer"],
+}
+
 # -- passages worth reading -------------------------------------------------
 ANCHORS = (
     r"(?iU)(merger consideration|per share in cash|termination fee|break.?up fee|"

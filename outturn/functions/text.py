@@ -6,18 +6,42 @@ shuffled to be read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
 
 
+def read_once(df: DataFrame, kept: list[str], found: dict[str, Column]) -> DataFrame:
+    """``kept`` plus the ``found`` columns, each computed exactly once per row.
+
+    A filter on a column found in text would otherwise be pushed below this step with the
+    whole expression copied into it, once per mention. A generated row stops that.
+    """
+    row = F.struct(*[c.alias(n) for n, c in found.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flatten(text: Column) -> Column:
-    return F.regexp_replace(text, f"{P.SPACE}+", " ")
+    return F.regexp_replace(text, P.UNTIDY_SPACE, " ")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, P.STRIP, "")
+    return F.btrim(text, F.lit(P.SPACE_TEXT))
+
+
+def may_match(lowered: Column, pattern: str) -> Column:
+    """A cheap test that is true wherever the pattern matches; ``lowered`` is lower case."""
+    words = [lowered.contains(w) for w in P.NEEDED_WORDS[pattern]]
+    return reduce(Column.__or__, words)
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
@@ -31,10 +55,13 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def last_match_start(text: Column, pattern: str) -> Column:
     """Zero-based start of the last match, -1 when there is none."""
-    matches = all_matches(text, pattern)
-    tail = F.element_at(F.split(text, pattern, -1), -1)
-    start = F.length(text) - F.length(tail) - F.length(F.element_at(matches, -1))
-    return F.when(F.size(matches) > 0, start).otherwise(-1)
+
+    def start(matches: Column) -> Column:
+        tail = F.element_at(F.split(text, pattern, -1), -1)
+        at = F.length(text) - F.length(tail) - F.length(F.element_at(matches, -1))
+        return F.when(F.size(matches) > 0, at).otherwise(-1)
+
+    return let(all_matches(text, pattern), start)
 
 
 def match_start(text: Column, pattern: str, index: Column, matches: Column) -> Column:
@@ -47,8 +74,8 @@ def match_start(text: Column, pattern: str, index: Column, matches: Column) -> C
 def most_repeated(values: Column) -> Column:
     """struct(value, at): the most frequent element and the index it first appears at.
 
-    Ties go to whichever appeared first; null elements are ignored. One sort and one
-    pass over run lengths, so a long document stays linear.
+    Ties go to whichever appeared first; null elements are ignored; null without any. One
+    sort and one pass over run lengths, so a long document stays linear.
     """
     positioned = F.filter(
         F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("at"))),
@@ -71,11 +98,12 @@ def most_repeated(values: Column) -> Column:
             F.when(better, n).otherwise(run["best_n"]).alias("best_n"),
         )
 
-    best = F.aggregate(
+    return F.aggregate(
         F.array_sort(positioned), zero, step,
-        lambda run: F.struct(run["best"].alias("value"), run["best_at"].alias("at")),
+        lambda run: F.when(
+            run["best_n"] > 0, F.struct(run["best"].alias("value"), run["best_at"].alias("at"))
+        ),
     )
-    return F.when(F.size(positioned) > 0, best)
 
 
 def scale_factor(word: Column) -> Column:
@@ -92,6 +120,9 @@ def amount(digits: Column) -> Column:
 
 def money(text: Column, pattern: str) -> Column:
     """First match of a pattern whose groups are the amount and its scale word."""
-    return amount(F.regexp_extract(text, pattern, 1)) * scale_factor(
-        F.regexp_extract(text, pattern, 2)
-    )
+
+    def read(match: Column) -> Column:
+        word = F.regexp_extract(match, pattern, 2)
+        return amount(F.regexp_extract(match, pattern, 1)) * scale_factor(word)
+
+    return let(first_match(text, pattern), read)

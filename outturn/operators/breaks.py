@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outturn.functions import patterns as P
 from outturn.functions import vocab
 from outturn.functions.text import (
-    all_matches, first_match, flatten, last_match_start, money, strip,
+    all_matches, first_match, flatten, last_match_start, let, money, read_once, strip,
 )
 from outturn.operators.sections import item_sections, section, section_body
 
@@ -18,33 +18,36 @@ _NEIGHBOURS = P.DEFINITION_LOOKBACK // 6 + 2
 
 def _definitions(flat: Column) -> Column:
     """array(struct(term, context)) for every abbreviation the text defines."""
-    whole = all_matches(flat, P.DEFINITION)
-    gaps = F.split(flat, P.DEFINITION, -1)
-    # text from the end of one definition's predecessor up to the definition itself
-    led = F.transform(
-        gaps,
-        lambda g, i: F.right(
-            F.concat(F.when(i == 0, F.lit("")).otherwise(F.get(whole, i - 1)), g),
-            F.lit(P.DEFINITION_LOOKBACK),
-        ),
+    reach = F.lit(P.DEFINITION_LOOKBACK)
+    # the text from the end of the previous definition up to each one, that one included
+    led = F.zip_with(
+        F.split(flat, P.DEFINITION, -1),
+        F.concat(F.array(F.lit("")), all_matches(flat, P.DEFINITION)),
+        lambda gap, earlier: F.right(F.concat(earlier, gap), reach),
     )
-    terms = all_matches(flat, P.DEFINITION, 1)
-    return F.transform(
-        terms,
-        lambda t, i: F.struct(
-            strip(t).alias("term"),
-            F.right(
-                F.array_join(
-                    F.slice(
-                        led,
-                        F.greatest(i + 2 - _NEIGHBOURS, F.lit(1)),
-                        F.least(i + 1, F.lit(_NEIGHBOURS)),
+    parts = F.struct(led.alias("led"), all_matches(flat, P.DEFINITION, 1).alias("terms"))
+
+    def contexts(p: Column) -> Column:
+        return F.transform(
+            p["terms"],
+            lambda t, i: F.struct(
+                strip(t).alias("term"),
+                F.right(
+                    F.array_join(
+                        F.slice(
+                            p["led"],
+                            F.greatest(i + 2 - _NEIGHBOURS, F.lit(1)),
+                            F.least(i + 1, F.lit(_NEIGHBOURS)),
+                        ),
+                        "",
                     ),
-                    "",
-                ),
-                F.lit(P.DEFINITION_LOOKBACK),
-            ).alias("context"),
-        ),
+                    reach,
+                ).alias("context"),
+            ),
+        )
+
+    return F.when(flat.rlike(P.DEFINITION), let(parts, contexts)).otherwise(
+        F.array().cast("array<struct<term:string,context:string>>")
     )
 
 
@@ -55,19 +58,23 @@ def defined_terms(document: Column) -> Column:
     document puts in both classes is in neither.
     """
     classed = F.transform(
-        F.filter(_definitions(flatten(document)), lambda d: F.length(d["term"]) >= 2),
+        F.filter(let(flatten(document), _definitions), lambda d: F.length(d["term"]) >= 2),
         lambda d: F.struct(
             d["term"].alias("term"),
             last_match_start(d["context"], P.MERGER_AGREEMENT).alias("merger"),
             last_match_start(d["context"], P.OTHER_AGREEMENT).alias("other"),
         ),
     )
-    merger = F.transform(F.filter(classed, lambda d: d["merger"] > d["other"]), lambda d: d["term"])
-    other = F.transform(F.filter(classed, lambda d: d["other"] > d["merger"]), lambda d: d["term"])
-    return F.struct(
-        F.array_except(merger, other).alias("merger"),
-        F.array_except(other, merger).alias("other"),
-    )
+
+    def split(c: Column) -> Column:
+        merger = F.transform(F.filter(c, lambda d: d["merger"] > d["other"]), lambda d: d["term"])
+        other = F.transform(F.filter(c, lambda d: d["other"] > d["merger"]), lambda d: d["term"])
+        return F.struct(
+            F.array_except(merger, other).alias("merger"),
+            F.array_except(other, merger).alias("other"),
+        )
+
+    return let(classed, split)
 
 
 def _own_term(text: Column, terms: Column) -> Column:
@@ -141,30 +148,20 @@ def classify(df: DataFrame, section_column: str = "section", document: str | Non
     )
     named = F.coalesce(other, F.col("_instrument"))
     no_text = F.array().cast("array<string>")
-    return (
+    judged = (
         read.withColumn("_instrument", instrument)
-        .withColumn("status", status)
-        .select(
-            *kept,
-            "status",
-            F.when(terminated, reasons(text)).otherwise(no_text).alias("reasons"),
-            F.when(F.col("status") == vocab.CONFIRMED, break_fee(text)).alias("break_fee_usd"),
-            F.coalesce(
-                F.when(terminated, F.left(text, F.lit(P.EXCERPT_CHARS))).otherwise(
-                    F.left(text, F.lit(P.EXCERPT_CHARS_NO_TERMINATION))
-                ),
-                F.lit(""),
-            ).alias("excerpt"),
-            F.when(
-                terminated,
-                F.array_compact(
-                    F.array(
-                        F.concat(F.lit("merger:"), merger), F.concat(F.lit("other:"), named)
-                    )
-                ),
-            ).otherwise(no_text).alias("evidence"),
-        )
+        .withColumn("_status", status)
     )
+    kept_chars = F.when(terminated, P.EXCERPT_CHARS).otherwise(P.EXCERPT_CHARS_NO_TERMINATION)
+    mentions = F.array(F.concat(F.lit("merger:"), merger), F.concat(F.lit("other:"), named))
+    found = {
+        "status": F.col("_status"),
+        "reasons": F.when(terminated, reasons(text)).otherwise(no_text),
+        "break_fee_usd": F.when(F.col("_status") == vocab.CONFIRMED, break_fee(text)),
+        "excerpt": F.coalesce(F.left(text, kept_chars), F.lit("")),
+        "evidence": F.when(terminated, F.array_compact(mentions)).otherwise(no_text),
+    }
+    return read_once(judged, kept, found)
 
 
 def confirm_breaks(candidates: DataFrame, documents: DataFrame) -> DataFrame:

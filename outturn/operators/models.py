@@ -19,6 +19,10 @@ RARE = "rare"
 _KEY = ["cik", "announced"]
 
 
+class TooFewEvents(ValueError):
+    """The training rows cannot support a fit."""
+
+
 @dataclass
 class Preprocessing:
     """Fitted on the training table and applied to any other."""
@@ -180,7 +184,7 @@ def fit_calibrated(
             inside = ready.where(F.col("fold") != held)
             counts = {int(r["broke"]): r["n"] for r in inside.groupBy("broke").agg(F.count(F.lit(1)).alias("n")).collect()}
             if len(counts) < 2:
-                raise ValueError("every fold needs both outcomes in its training rows")
+                raise TooFewEvents("every fold needs both outcomes in its training rows")
             n = sum(counts.values())
             weight = F.when(F.col("broke") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
             model = _base(kind, n, seed, rounds).fit(inside.withColumn("weight", weight))

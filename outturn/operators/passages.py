@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import all_matches
+from outturn.functions.text import all_matches, let, read_once
 
 
 def _spans(flat: Column, reach: int) -> Column:
     """array(struct(lo, hi)): windows around the anchors, overlapping ones merged."""
-    widths = F.zip_with(
-        F.slice(F.split(flat, P.ANCHORS, -1), 1, F.size(all_matches(flat, P.ANCHORS))),
-        all_matches(flat, P.ANCHORS),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("match")),
-    )
+    def widths(matches: Column) -> Column:
+        return F.zip_with(
+            F.slice(F.split(flat, P.ANCHORS, -1), 1, F.size(matches)),
+            matches,
+            lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("match")),
+        )
+
     span_type = "array<struct<lo:int,hi:int>>"
     zero = F.struct(
         F.lit(0).alias("at"),
@@ -42,7 +44,7 @@ def _spans(flat: Column, reach: int) -> Column:
         )
 
     return F.aggregate(
-        widths, zero, step,
+        let(all_matches(flat, P.ANCHORS), widths), zero, step,
         lambda s: F.when(
             s["hi"].isNotNull(), F.concat(s["closed"], as_span(s["lo"], s["hi"]))
         ).otherwise(s["closed"]),
@@ -78,11 +80,8 @@ def locate_passages(
 ) -> DataFrame:
     """Adds ``passages``: the text around every anchor, merged, in order, within budget."""
     flat = F.col("_flat")
-    return (
-        documents.withColumn("_flat", F.regexp_replace(F.col(text), r"[ \t]+", " "))
-        .withColumn("_spans", _spans(flat, window // 2))
-        .withColumn(
-            "passages", F.array_join(_within_budget(flat, F.col("_spans"), budget), P.PASSAGE_JOIN)
-        )
-        .drop("_flat", "_spans")
-    )
+    located = documents.withColumn(
+        "_flat", F.regexp_replace(F.col(text), r"[ \t]+", " ")
+    ).withColumn("_spans", _spans(flat, window // 2))
+    pieces = _within_budget(flat, F.col("_spans"), budget)
+    return read_once(located, documents.columns, {"passages": F.array_join(pieces, P.PASSAGE_JOIN)})

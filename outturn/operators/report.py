@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from outturn.operators import conformal, scoring
 from outturn.operators.features import frame_counts, time_split
 from outturn.operators.hazard import HazardFit, fit_hazard
 from outturn.operators.inference import LogitFit, fit_logit
-from outturn.operators.models import fit_calibrated
+from outturn.operators.models import TooFewEvents, fit_calibrated
 from outturn.operators.survival import curve_report
 
 SCHEMA = "section string, metric string, value double, n bigint"
@@ -115,12 +117,17 @@ def model_report(
         *_logit_rows("inference:structure", fit_logit(labelled, vocab.STRUCTURE_COVARIATES)),
         *_logit_rows("inference:terms", fit_logit(labelled, vocab.TERM_COVARIATES)),
     ]
-    return (
-        _long(frame_counts(labelled), "frame")
-        .unionAll(_long(curve_report(censored), "survival"))
-        .unionAll(fit_and_score(labelled, "logistic", cutoff_year, draws, seed))
-        .unionAll(fit_and_score(labelled, "boosted", cutoff_year, draws, seed, rounds))
-        .unionAll(conformal_report(labelled, cutoff_year, seed=seed))
-        .unionAll(conformal_report(labelled, cutoff_year, seed=seed, split="random"))
-        .unionAll(spark.createDataFrame(small, SCHEMA))
-    )
+    parts = [_long(frame_counts(labelled), "frame"), _long(curve_report(censored), "survival")]
+    fits = {
+        "logistic": lambda: fit_and_score(labelled, "logistic", cutoff_year, draws, seed),
+        "boosted": lambda: fit_and_score(labelled, "boosted", cutoff_year, draws, seed, rounds),
+        "conformal:time": lambda: conformal_report(labelled, cutoff_year, seed=seed),
+        "conformal:random": lambda: conformal_report(labelled, cutoff_year, seed=seed, split="random"),
+    }
+    for section, fit in fits.items():
+        try:
+            parts.append(fit())
+        except TooFewEvents:
+            small.append((section, "fitted", 0.0, None))
+    parts.append(spark.createDataFrame(small, SCHEMA))
+    return reduce(DataFrame.unionAll, parts)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from outturn.functions import patterns as P
 from outturn.functions import vocab
 from outturn.functions.text import (
-    all_matches, amount, first_match, flatten, match_start, money, most_repeated, scale_factor,
+    all_matches, amount, first_match, flatten, let, match_start, may_match, money, most_repeated,
+    read_once, scale_factor,
 )
 
 _MODEL_FIELDS = """
@@ -22,34 +23,44 @@ parent_termination_fee_usd double, equity_value_usd double, outside_date string
 
 def cash_per_share(flat: Column) -> Column:
     """The price the document repeats, scaled by the word after its first mention."""
-    price = most_repeated(all_matches(flat, P.CASH_PER_SHARE, 1))["value"]
-    at = F.position(price, flat)
-    after = F.substring(flat, at + F.length(price), F.lit(12))
-    return amount(price) * scale_factor(F.regexp_extract(after, P.SCALE_WORD, 1))
+
+    def scaled(price: Column) -> Column:
+        after = F.substring(flat, F.position(price, flat) + F.length(price), F.lit(12))
+        return amount(price) * scale_factor(F.regexp_extract(after, P.SCALE_WORD, 1))
+
+    return let(most_repeated(all_matches(flat, P.CASH_PER_SHARE, 1))["value"], scaled)
 
 
 def premium(flat: Column) -> Column:
     """struct(value, at, matches): the most repeated plausible premium, either word order."""
-    matches = all_matches(flat, P.PREMIUM)
 
     def figure(match: Column) -> Column:
         text = F.coalesce(first_match(match, P.PREMIUM, 1), first_match(match, P.PREMIUM, 2))
         number = text.try_cast("double")
         return F.when((number > 0) & (number <= vocab.PREMIUM_CEILING_PCT), text)
 
-    best = most_repeated(F.transform(matches, figure))
-    return F.struct(best["value"].alias("value"), best["at"].alias("at"), matches.alias("matches"))
+    def chosen(matches: Column) -> Column:
+        best = most_repeated(F.transform(matches, lambda m: let(m, figure)))
+        return let(
+            best,
+            lambda b: F.struct(b["value"].alias("value"), b["at"].alias("at"), matches.alias("matches")),
+        )
+
+    return let(all_matches(flat, P.PREMIUM), chosen)
 
 
-def flags(flat: Column) -> dict[str, Column]:
+def flags(flat: Column, lowered: Column) -> dict[str, Column]:
+    def says(pattern: str) -> Column:
+        return may_match(lowered, pattern) & flat.rlike(pattern)
+
     return {
-        "financing_condition": F.when(flat.rlike(P.NO_FINANCING_CONDITION), False).when(
-            flat.rlike(P.FINANCING_CONDITION), True
+        "financing_condition": F.when(says(P.NO_FINANCING_CONDITION), False).when(
+            says(P.FINANCING_CONDITION), True
         ),
-        "go_shop": flat.rlike(P.GO_SHOP),
-        "hsr": flat.rlike(P.HSR),
-        "cfius": flat.rlike(P.CFIUS),
-        "tender_offer": flat.rlike(P.TENDER_OFFER),
+        "go_shop": says(P.GO_SHOP),
+        "hsr": says(P.HSR),
+        "cfius": says(P.CFIUS),
+        "tender_offer": says(P.TENDER_OFFER),
     }
 
 
@@ -65,31 +76,46 @@ def extract_terms(documents: DataFrame, text: str = "body") -> DataFrame:
     )
     beside = F.substring(flat, at + 1, end - at + P.PREMIUM_CONTEXT)
     stated = found["value"].isNotNull()
-    read = (
+    lowered = F.col("_lowered")
+
+    def where_possible(pattern: str, value: Column) -> Column:
+        return F.when(may_match(lowered, pattern), value)
+
+    flattened = (
         documents.withColumn("_flat", flatten(F.col(text)))
-        .withColumn("_premium", premium(flat))
+        .withColumn("_lowered", F.lower(flat))
+        .withColumn("_premium", where_possible(P.PREMIUM, premium(flat)))
         .withColumn(
             "_premium_start",
             F.when(stated, match_start(flat, P.PREMIUM, found["at"], found["matches"])),
         )
-        .select(
-            *kept,
-            F.length(text).alias("chars"),
-            cash_per_share(flat).alias("cash_per_share"),
-            F.regexp_extract(flat, P.EXCHANGE_RATIO, 1).try_cast("double").alias("exchange_ratio"),
-            found["value"].cast("double").alias("stated_premium_pct"),
-            F.when(stated, amount(F.regexp_extract(beside, P.UNAFFECTED, 1))).alias("unaffected_price"),
-            F.when(stated & sentence.rlike(P.AVERAGE_BASELINE), "average")
-            .when(stated, "close")
-            .alias("premium_baseline"),
-            money(flat, P.TERMINATION_FEE).alias("termination_fee_usd"),
-            money(flat, P.PARENT_FEE).alias("parent_termination_fee_usd"),
-            money(flat, P.EQUITY_VALUE).alias("equity_value_usd"),
-            first_match(flat, P.OUTSIDE_DATE, 1).alias("outside_date"),
-            *[c.alias(n) for n, c in flags(flat).items()],
-        )
     )
-    return derive(read)
+    baseline = F.when(stated & sentence.rlike(P.AVERAGE_BASELINE), "average").when(stated, "close")
+    figures = {
+        "chars": F.length(text),
+        "cash_per_share": where_possible(
+            P.CASH_PER_SHARE, cash_per_share(flat)
+        ),
+        "exchange_ratio": where_possible(
+            P.EXCHANGE_RATIO, F.regexp_extract(flat, P.EXCHANGE_RATIO, 1).try_cast("double")
+        ),
+        "stated_premium_pct": found["value"].cast("double"),
+        "unaffected_price": F.when(stated, amount(F.regexp_extract(beside, P.UNAFFECTED, 1))),
+        "premium_baseline": baseline,
+        "termination_fee_usd": where_possible(
+            P.TERMINATION_FEE, money(flat, P.TERMINATION_FEE)
+        ),
+        "parent_termination_fee_usd": where_possible(
+            P.PARENT_FEE, money(flat, P.PARENT_FEE)
+        ),
+        "equity_value_usd": where_possible(
+            P.EQUITY_VALUE, money(flat, P.EQUITY_VALUE)
+        ),
+        "outside_date": where_possible(
+            P.OUTSIDE_DATE, first_match(flat, P.OUTSIDE_DATE, 1)
+        ),
+    }
+    return derive(read_once(flattened, kept, figures | flags(flat, F.col("_lowered"))))
 
 
 def terms_from_responses(responses: DataFrame, text: str = "body", payload: str = "response") -> DataFrame:
@@ -101,17 +127,11 @@ def terms_from_responses(responses: DataFrame, text: str = "body", payload: str
     flat = F.col("_flat")
     parsed = F.from_json(F.col(payload), _MODEL_FIELDS, {"mode": "PERMISSIVE"})
     fields = [f.split()[0] for f in _MODEL_FIELDS.split(",")]
-    read = (
-        responses.withColumn("_flat", flatten(F.col(text)))
-        .withColumn("_parsed", parsed)
-        .select(
-            *kept,
-            F.length(text).alias("chars"),
-            *[F.col("_parsed")[f].alias(f) for f in fields],
-            *[c.alias(n) for n, c in flags(flat).items()],
-        )
+    flattened = responses.withColumns({"_flat": flatten(F.col(text)), "_parsed": parsed}).withColumn(
+        "_lowered", F.lower(flat)
     )
-    return derive(read)
+    figures = {"chars": F.length(text), **{f: F.col("_parsed")[f] for f in fields}}
+    return derive(read_once(flattened, kept, figures | flags(flat, F.col("_lowered"))))
 
 
 def _present(name: str) -> Column:

@@ -347,10 +347,10 @@ lab as materialized (select *, case when not registrant then 'not_registrant'
     when date '{DATA_CUT}' - last_announcement < 400 then 'pending' else 'unresolved' end as label,
   case when not registrant then null when dereg is not null then dereg when se is not null then se
     when cc is not null and not survived then cc
-    when survived then coalesce(te, co) else co end as by
+    when survived then coalesce(te, co) else co end as hit
   from judged),
-out as materialized (select *, by[1] as resolved_on, by[2] as resolved_accession, by[3] as resolved_form,
-  by[1] - announced as days_to_resolution,
+out as materialized (select *, hit[1] as resolved_on, hit[2] as resolved_accession, hit[3] as resolved_form,
+  hit[1] - announced as days_to_resolution,
   concat_ws('|', 'dereg:' || dereg[3] || '@' || dereg[1]::varchar, 'item5.01:' || cc[3] || '@' || cc[1]::varchar,
     'item5.06:' || se[3] || '@' || se[1]::varchar, 'item2.01:' || co[3] || '@' || co[1]::varchar,
     'item1.02:' || te[3] || '@' || te[1]::varchar) as evidence

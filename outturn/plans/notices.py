@@ -275,7 +275,7 @@ def oracles() -> dict[str, str]:
     }
     anchors = """a as (select doc_id, regexp_replace(body, '[ \\t]+', ' ', 'g') as flat from (""" + LONG_TEXTS + """)),
       s as (select *, strpos(flat, ' The TERMINATION fee applies. ') + 4 as s1 from a),
-      b as (select *, s1 + 15 as e1, length(flat) - strpos(reverse(flat), reverse(' Equity value as stated. ')) - 22 as s2 from s),
+      b as (select *, s1 + 15 as e1, length(flat) - strpos(reverse(flat), reverse(' Equity value as stated. ')) - 23 as s2 from s),
       w as (select *, s2 + 12 as e2, length(flat) as len from b)"""
     return {
         "item_sections": f"{N}, p as ({_PLAIN}) select doc_id, '1.01' as code, s101 as section from p union all select doc_id, '1.02', s102 from p",

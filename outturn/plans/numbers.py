@@ -186,6 +186,12 @@ z5 as (select {keep}, a_net_income + t_net_income + syn - inter - forgone - amor
    100.0 * ((a_net_income + t_net_income + syn - inter - forgone - amort) / shares / alone - 1.0) as acc from z4)"""
 
 
+def _double(v: float) -> str:
+    """A literal DuckDB reads as a double, not a decimal."""
+    text = repr(float(v))
+    return text if "e" in text else f"{text}e0"
+
+
 def _decomposition_sql() -> str:
     names = list(vocab.ASSUMPTION_RANGES)
     draws = uniform_draws(vocab.ASSUMPTION_RANGES, SAMPLES, SEED)
@@ -193,7 +199,7 @@ def _decomposition_sql() -> str:
 
     x = (draws - draws.mean(axis=0)) / draws.std(axis=0, ddof=1)
     inverse = np.linalg.inv(x.T @ x)
-    values = ",".join("(" + ",".join(repr(float(v)) for v in [*row, *z]) + ")" for row, z in zip(draws, x))
+    values = ",".join("(" + ",".join(_double(v) for v in [*row, *z]) + ")" for row, z in zip(draws, x))
     columns = ", ".join([*[f"d_{n}" for n in names], *[f"x_{n}" for n in names]])
     fixed = [
         "scenario_id", "a_net_income", "a_diluted_shares", "a_share_price", "a_cash", "t_net_income", "t_diluted_shares",
@@ -202,7 +208,7 @@ def _decomposition_sql() -> str:
     moved = ", ".join([*fixed, *[f"d_{n} as {n}" for n in names], *[f"x_{n}" for n in names]])
     xy = ", ".join(f"sum(x_{n} * acc) as xy_{n}" for n in names)
     beta = ", ".join(
-        "(" + " + ".join(f"{float(inverse[i, j])!r} * xy_{m}" for j, m in enumerate(names)) + f") / sd as b_{n}"
+        "(" + " + ".join(f"{_double(inverse[i, j])} * xy_{m}" for j, m in enumerate(names)) + f") / sd as b_{n}"
         for i, n in enumerate(names)
     )
     total = " + ".join(f"b_{n} * b_{n}" for n in names)
@@ -239,8 +245,9 @@ _SCORES = f"with s as materialized (select doc_id, p, truth as y from ({A.SCORES
 
 
 def _curve_sql(bins: str) -> str:
-    return f"""{_SCORES}, k as (select {bins} as bins), e as (select quantile_cont(s.p, i::double / any_value(bins)) as edge
-     from s, k, (select unnest(range(1, 5)) as i) where i < bins group by i),
+    return f"""{_SCORES}, v as (select list(p order by p) as l, count(*) - 1 as last, {bins} as bins from s),
+   pos as (select l, i::double * last / bins as spot from v, (select unnest(range(1, 5)) as i) where i < bins),
+   e as (select l[floor(spot)::int + 1] + (l[ceil(spot)::int + 1] - l[floor(spot)::int + 1]) * (spot - floor(spot)) as edge from pos),
    b as (select s.*, (select count(*) from e where s.p > edge) as bin from s),
    c as (select bin, count(*) as n, avg(p) as predicted, avg(y) as observed from b group by bin)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
+from outturn.functions.text import read_once
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
@@ -68,7 +69,8 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 def scan_index(lines: DataFrame) -> DataFrame:
     """Data lines with ``row``, the parsed struct, null where a line would not parse."""
-    return data_lines(lines).withColumn("row", parse_row(F.col("line")))
+    below = data_lines(lines)
+    return read_once(below, below.columns, {"row": parse_row(F.col("line"))})
 
 
 def kept_rows(scanned: DataFrame, keep: Column) -> DataFrame:

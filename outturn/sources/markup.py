@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import all_matches, strip
+from outturn.functions.text import all_matches, read_once, strip
 
 _LEGACY_NAME_CHARS = 6  # the longest entity name that is valid without its semicolon
 
@@ -94,15 +94,14 @@ def to_text(documents: DataFrame, raw: str = "html", out: str = "body") -> DataF
     """
     source = F.col(raw)
     stripped = F.when(source.contains("<"), F.col("_markup")).otherwise(source)
-    return (
+    decoded = (
         documents.withColumn(
             "_markup", F.when(source.contains("<"), _without_tags(source))
         )
         .withColumn("_markup", F.when(F.col("_markup").isNotNull(), unescape(F.col("_markup"))))
         .withColumn("_plain", unescape(stripped))
-        .withColumn(out, _tidy(F.col("_plain")))
-        .drop("_markup", "_plain")
     )
+    return read_once(decoded, documents.columns, {out: _tidy(F.col("_plain"))})
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
