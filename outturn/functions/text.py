@@ -53,11 +53,24 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+_MARK = "\ue000"  # private use: a text that has it takes the slower path
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """The text between matches, as ``split`` gives it.
+
+    ``split`` compiles its pattern for every row; marking the matches first and splitting
+    at the mark does not.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    return F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def last_match_start(text: Column, pattern: str) -> Column:
     """Zero-based start of the last match, -1 when there is none."""
 
     def start(matches: Column) -> Column:
-        tail = F.element_at(F.split(text, pattern, -1), -1)
+        tail = F.element_at(pieces(text, pattern), -1)
         at = F.length(text) - F.length(tail) - F.length(F.element_at(matches, -1))
         return F.when(F.size(matches) > 0, at).otherwise(-1)
 
@@ -66,7 +79,7 @@ def last_match_start(text: Column, pattern: str) -> Column:
 
 def match_start(text: Column, pattern: str, index: Column, matches: Column) -> Column:
     """Zero-based start of the match with the given zero-based index."""
-    gaps = F.array_join(F.slice(F.split(text, pattern, -1), 1, index + 1), "")
+    gaps = F.array_join(F.slice(pieces(text, pattern), 1, index + 1), "")
     earlier = F.array_join(F.slice(matches, 1, index), "")
     return F.length(gaps) + F.length(earlier)
 

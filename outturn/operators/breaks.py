@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outturn.functions import patterns as P
 from outturn.functions import vocab
 from outturn.functions.text import (
-    all_matches, first_match, flatten, last_match_start, let, money, read_once, strip,
+    all_matches, first_match, flatten, last_match_start, let, money, pieces, read_once, strip,
 )
 from outturn.operators.sections import item_sections, section, section_body
 
@@ -21,7 +21,7 @@ def _definitions(flat: Column) -> Column:
     reach = F.lit(P.DEFINITION_LOOKBACK)
     # the text from the end of the previous definition up to each one, that one included
     led = F.zip_with(
-        F.split(flat, P.DEFINITION, -1),
+        pieces(flat, P.DEFINITION),
         F.concat(F.array(F.lit("")), all_matches(flat, P.DEFINITION)),
         lambda gap, earlier: F.right(F.concat(earlier, gap), reach),
     )

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import all_matches, let, read_once
+from outturn.functions.text import all_matches, let, pieces, read_once
 
 
 def _spans(flat: Column, reach: int) -> Column:
     """array(struct(lo, hi)): windows around the anchors, overlapping ones merged."""
     def widths(matches: Column) -> Column:
         return F.zip_with(
-            F.slice(F.split(flat, P.ANCHORS, -1), 1, F.size(matches)),
+            F.slice(pieces(flat, P.ANCHORS), 1, F.size(matches)),
             matches,
             lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("match")),
         )

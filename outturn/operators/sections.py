@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import flatten, strip
+from outturn.functions.text import flatten, pieces, strip
 
 
 def is_title_only(segment: Column) -> Column:
@@ -19,8 +19,8 @@ def is_title_only(segment: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """array(struct(code, body, title_only)) in document order."""
-    pieces = F.filter(F.split(text, P.HEADING_SPLIT, -1), lambda s: s.rlike(P.HEADING_CODE))
-    bodies = F.transform(pieces, strip)
+    starting = F.filter(pieces(text, P.HEADING_SPLIT), lambda s: s.rlike(P.HEADING_CODE))
+    bodies = F.transform(starting, strip)
     return F.transform(
         bodies,
         lambda b: F.struct(

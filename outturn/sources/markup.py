@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import all_matches, read_once, strip
+from outturn.functions.text import all_matches, pieces, read_once, strip
 
 _LEGACY_NAME_CHARS = 6  # the longest entity name that is valid without its semicolon
 
@@ -59,7 +59,7 @@ def unescape(text: Column) -> Column:
     decoded = F.transform(all_matches(text, P.ENTITY), lambda e: _decoded(e, table))
     joined = F.array_join(
         F.zip_with(
-            F.split(text, P.ENTITY, -1),
+            pieces(text, P.ENTITY),
             F.concat(decoded, F.array(F.lit(""))),
             lambda gap, e: F.concat(gap, e),
         ),
