@@ -47,7 +47,7 @@ class LogitFit:
         return [n for n, (_, low, high, _) in self.odds.items() if not low <= 1.0 <= high]
 
 
-def fit_logit(frame: DataFrame, covariates: list[str], label: str = "broke", max_iter: int = 200) -> LogitFit:
+def fit_logit(frame: DataFrame, covariates: list[str], label: str = "broke", max_iter: int = 100) -> LogitFit:
     """Logit on complete cases; refuses when the coefficients are not identified.
 
     Cases with the same covariates and outcome are combined to one weighted row first, so
@@ -87,7 +87,7 @@ def _fit_patterns(patterns: DataFrame, covariates: list[str], label: str, max_it
     design = VectorAssembler(inputCols=usable, outputCol="features").transform(scaled)
     separated = "separation: a covariate predicts the outcome exactly, so its coefficient is not identified"
     glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="label", weightCol="cases", maxIter=max_iter, tol=1e-10
+        family="binomial", link="logit", labelCol="label", weightCol="cases", maxIter=max_iter, tol=1e-7
     )
     try:
         model = glm.fit(design)

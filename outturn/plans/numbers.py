@@ -54,7 +54,7 @@ def rejected_scenarios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tornado_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(tornado(_scenarios(spark, sf)))
+    return plain(tornado(_scenarios(spark, sf)), digits=9)
 
 
 def decomposition(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +64,7 @@ def decomposition(spark: SparkSession, sf: str) -> DataFrame:
             "scenario_id", "base_accretion_pct", "mean_accretion_pct", "std_accretion_pp", "p5", "p95",
             "share_accretive", "linear_r_squared",
             *[F.col("share_of_variance")[n].alias(f"share_{n}") for n in vocab.ASSUMPTION_RANGES],
-        ),
-        digits=4,
+        )
     )
 
 
@@ -212,7 +211,7 @@ def _decomposition_sql() -> str:
         for i, n in enumerate(names)
     )
     total = " + ".join(f"b_{n} * b_{n}" for n in names)
-    shares = ", ".join(f"round(b_{n} * b_{n} / ({total}), 4) as share_{n}" for n in names)
+    shares = ", ".join(f"round(b_{n} * b_{n} / ({total}), 6) as share_{n}" for n in names)
     fit = " + ".join(f"b_{n} * xy_{n} / sd" for n in names)
     varied = _staged("moved", "scenario_id, " + ", ".join(f"x_{n}" for n in names))
     return f"""with draw({columns}) as (values {values}), sc as materialized ({A.SCENARIOS}),
@@ -221,8 +220,8 @@ m as (select scenario_id, avg(acc) as mean, stddev_samp(acc) as sd, quantile_con
   avg((acc > 0)::int::double) as pos, {xy} from z5 group by scenario_id),
 b as (select *, {beta} from m),
 base as (with {_staged('sc', 'scenario_id')} select scenario_id, acc from z5)
-select scenario_id, round(base.acc, 4) as base_accretion_pct, round(mean, 4) as mean_accretion_pct, round(sd, 4) as std_accretion_pp,
-  round(p5, 4) as p5, round(p95, 4) as p95, round(pos, 4) as share_accretive, round(({fit}) / {SAMPLES - 1}, 4) as linear_r_squared, {shares}
+select scenario_id, round(base.acc, 6) as base_accretion_pct, round(mean, 6) as mean_accretion_pct, round(sd, 6) as std_accretion_pp,
+  round(p5, 6) as p5, round(p95, 6) as p95, round(pos, 6) as share_accretive, round(({fit}) / {SAMPLES - 1}, 6) as linear_r_squared, {shares}
 from b join base using (scenario_id)"""
 
 
@@ -238,7 +237,7 @@ def _tornado_sql() -> str:
 side(side) as (values ('low'), ('high')), moved as (select {fixed}, {moved} from sc, mv, side),
 {_staged('moved', 'scenario_id, assumption, low_value, high_value, side')},
 w as (select scenario_id, assumption, low_value, high_value, max(acc) filter (side = 'low') as lo, max(acc) filter (side = 'high') as hi from z5 group by all)
-select scenario_id, assumption, low_value, high_value, round(lo, 6) as accretion_at_low, round(hi, 6) as accretion_at_high, round(abs(hi - lo), 6) as swing_pp from w"""
+select scenario_id, assumption, low_value, high_value, round(lo, 9) as accretion_at_low, round(hi, 9) as accretion_at_high, round(abs(hi - lo), 9) as swing_pp from w"""
 
 
 _SCORES = f"with s as materialized (select doc_id, p, truth as y from ({A.SCORES}))"

@@ -15,12 +15,14 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO
     Files stay splittable. ``block`` is where the split starts in the file and ``at``
     grows within a split, so (block, at) orders the lines of one file.
     """
-    lines = spark.read.option("encoding", encoding).text(paths)
+    lines = spark.read.text(paths)
+    # the text source keeps the bytes of a line as they are
+    decoded = F.decode(F.col("value").cast("binary"), encoding)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        F.explode(F.split("value", r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("line"),
+        F.explode(F.split(decoded, r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("line"),
     )
 
 
