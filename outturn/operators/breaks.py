@@ -10,6 +10,7 @@ from outturn.functions import vocab
 from outturn.functions.text import (
     all_matches, first_match, flatten, last_match_start, let, money, pieces, read_once, strip,
 )
+from outturn.operators.documents import only_wanted
 from outturn.operators.sections import item_sections, section, section_body
 
 # A definition is at least six characters, so this many cover any lookback window.
@@ -176,7 +177,7 @@ def confirm_breaks(candidates: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("resolved_accession").alias("accession"),
     )
     texts = documents.select("accession", F.col("name").alias("document"), "body")
-    joined = wanted.join(texts, "accession", "left")
+    joined = wanted.join(only_wanted(texts, wanted, ["accession"]), "accession", "left")
     split = item_sections(joined).withColumn("section", section(vocab.ITEM_TERMINATION))
     return (
         classify(split)

@@ -61,6 +61,16 @@ def press_releases(refs: DataFrame) -> DataFrame:
     )
 
 
+def only_wanted(bodies: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The documents someone asked for.
+
+    Done before any other join: the list of wanted keys is small next to the texts, so the
+    texts nobody wants are dropped where they are read and never shuffled.
+    """
+    asked = wanted.select(*keys).where(F.col(keys[0]).isNotNull()).distinct()
+    return bodies.join(asked, keys, "left_semi")
+
+
 def announcement_texts(primary: DataFrame, releases: DataFrame, bodies: DataFrame) -> DataFrame:
     """accession, document, press_release and the two texts joined by a blank line.
 
@@ -84,7 +94,9 @@ def announcement_texts(primary: DataFrame, releases: DataFrame, bodies: DataFram
             )
         ).alias("role"),
     ).select("accession", "document", "press_release", "role.*")
-    read = roles.join(bodies.select("accession", "name", "body"), ["accession", "name"], "left")
+    key = ["accession", "name"]
+    texts = only_wanted(bodies.select(*key, "body"), roles, key)
+    read = roles.join(texts, key, "left")
 
     def part(number: int) -> F.Column:
         return F.max(F.when(F.col("part") == number, F.col("body")))

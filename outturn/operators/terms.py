@@ -13,6 +13,7 @@ from outturn.functions.text import (
     all_matches, amount, first_match, flatten, let, match_start, may_match, money, most_repeated,
     read_once, scale_factor,
 )
+from outturn.operators.documents import only_wanted
 
 _MODEL_FIELDS = """
 cash_per_share double, exchange_ratio double, stated_premium_pct double,
@@ -225,9 +226,8 @@ def extract_for_episodes(
         "accession", "document", "press_release", "body",
         *[c for c in ("response",) if c in documents.columns],
     )
-    joined = episodes.select("cik", "company", "announced", "label", "accession").join(
-        texts, "accession", "left"
-    )
+    wanted = episodes.select("cik", "company", "announced", "label", "accession")
+    joined = wanted.join(only_wanted(texts, wanted, ["accession"]), "accession", "left")
     status = (
         F.when(F.col("accession").isNull(), vocab.NO_ANNOUNCEMENT_8K)
         .when(F.col("body").isNull(), vocab.NO_DOCUMENT)

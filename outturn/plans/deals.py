@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import forms, vocab
+from outturn.functions.lineage import cut
 from outturn.operators import search, summary
 from outturn.operators.features import build_frame, check_no_leakage, frame_counts, time_split
 from outturn.operators.outcomes import label_outcomes
@@ -15,7 +16,7 @@ from outturn.operators.survival import curve_report, survival_table
 from outturn.operators.timeline import (
     announcement_days, announcement_report, episode_arrays, episode_filings, episode_timeline, episodes,
 )
-from outturn.operators.universe import attach_company, build_universe, coverage, history_window, index_names
+from outturn.operators.universe import attach_company, build_universe, coverage, history_window
 from outturn.plans import adapters as A
 from outturn.plans.shaping import plain
 from outturn.sources.tables import slim
@@ -36,6 +37,15 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     return build_universe(_filings(spark, sf), A.companies(spark, sf), DATA_CUT)
 
 
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The episode timeline, written once for queries that read it several times."""
+    return cut(episode_timeline(_filings(spark, sf)))
+
+
+def universe_of(spark: SparkSession, sf: str, events: DataFrame) -> DataFrame:
+    return attach_company(label_outcomes(events, DATA_CUT), A.companies(spark, sf))
+
+
 def form_predicates(spark: SparkSession, sf: str) -> DataFrame:
     f, sic = F.col("form"), F.col("sic")
     rows = _filings(spark, sf).join(A.companies(spark, sf).select("cik", "sic"), "cik", "left")
@@ -147,8 +157,6 @@ def announcement_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def summary_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole report in one table; the parts are checked one by one elsewhere."""
-    from outturn.functions.lineage import cut
-
     return plain(summary.summary(cut(universe(spark, sf)), DATA_CUT))
 
 
@@ -215,10 +223,11 @@ def frame(spark: SparkSession, sf: str, include_pending: bool = False, window_en
     """The feature frame, with verdicts and terms read from the notices."""
     from outturn.plans import notices
 
-    built = universe(spark, sf)
+    events = timeline(spark, sf)
+    built = universe_of(spark, sf, events)
     return build_frame(
-        built, notices.verdict_rows(spark, sf, built), notices.terms_rows(spark, sf), DATA_CUT,
-        FRAME_START, window_end, include_pending,
+        built, notices.verdict_rows(spark, sf, built), notices.terms_rows(spark, sf, built, events),
+        DATA_CUT, FRAME_START, window_end, include_pending,
     )
 
 

@@ -15,7 +15,7 @@ from outturn.operators.sections import item_sections, section, section_body
 from outturn.operators.terms import (
     deterministic, extract_for_episodes, extract_terms, reconcile, structured,
 )
-from outturn.operators.timeline import announcement_report, episode_timeline
+from outturn.operators.timeline import announcement_report
 from outturn.plans import adapters as A
 from outturn.plans.shaping import plain
 from outturn.sources.tables import slim
@@ -59,14 +59,10 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return verdict_rows(spark, sf, universe(spark, sf))
 
 
-def terms_rows(spark: SparkSession, sf: str) -> DataFrame:
+def terms_rows(spark: SparkSession, sf: str, universe: DataFrame, timeline: DataFrame) -> DataFrame:
     """Terms per resolved episode, from the report nearest its announcement."""
-    from outturn.plans.deals import universe
-
-    wanted = search.select_episodes(universe(spark, sf), vocab.RESOLVED_LABELS)
-    reports = announcement_report(episode_timeline(A.filings(spark, sf))).select(
-        "cik", "announced", "accession"
-    )
+    wanted = search.select_episodes(universe, vocab.RESOLVED_LABELS)
+    reports = announcement_report(timeline).select("cik", "announced", "accession")
     texts = _documents(spark, sf).select(
         "accession", F.col("name").alias("document"), F.lit(None).cast("string").alias("press_release"), "body"
     )
@@ -164,8 +160,11 @@ def premium_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def episode_terms(spark: SparkSession, sf: str) -> DataFrame:
+    from outturn.plans.deals import timeline, universe_of
+
+    events = timeline(spark, sf)
     return plain(
-        terms_rows(spark, sf).select(
+        terms_rows(spark, sf, universe_of(spark, sf, events), events).select(
             "cik", "announced", "label", "status", "accession", "document", "source", "extractor",
             "cash_per_share", "equity_value_usd", "break_fee_pct",
             F.col("reconciliation.status").alias("reconciliation"),
