@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import vocab
@@ -16,6 +15,7 @@ from outturn.operators.features import complete_cases, varying
 
 _Z975 = 1.959963984540054
 _MAX_SPAN = 1e6
+_MAX_COEFFICIENT = 20.0  # per standard deviation; only separation gets here
 
 
 @dataclass
@@ -51,7 +51,8 @@ def fit_logit(frame: DataFrame, covariates: list[str], label: str = "broke", max
     """Logit on complete cases; refuses when the coefficients are not identified.
 
     Cases with the same covariates and outcome are combined to one weighted row first, so
-    a fit on flags costs the same however many deals there are.
+    a fit on flags costs the same however many deals there are. Newton steps with halving;
+    each is one aggregation of the patterns to a handful of sums.
     """
     cases = complete_cases(frame, [*covariates, label])
     patterns = cases.groupBy(*covariates, label).agg(F.count(F.lit(1)).alias("cases")).persist()
@@ -84,31 +85,66 @@ def _fit_patterns(patterns: DataFrame, covariates: list[str], label: str, max_it
         F.col(label).cast("double").alias("label"), F.col("cases").cast("double").alias("cases"),
         *[((F.col(c).cast("double") - mean[c]) / spread[c]).alias(c) for c in usable],
     )
-    design = VectorAssembler(inputCols=usable, outputCol="features").transform(scaled)
     separated = "separation: a covariate predicts the outcome exactly, so its coefficient is not identified"
-    glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="label", weightCol="cases", maxIter=max_iter, tol=1e-7
-    )
-    try:
-        model = glm.fit(design)
-        summary = model.summary
-        errors = list(summary.coefficientStandardErrors)[: len(usable)]
-        p_values = list(summary.pValues)[: len(usable)]
-    except Exception as problem:  # a singular system is how separation ends in the solver
-        return LogitFit(False, n, events, f"{str(problem)[:100]} (usually separation)", dropped)
-    if summary.numIterations >= max_iter:
-        return LogitFit(False, n, events, "did not converge, which here means separation", dropped)
+    columns = [F.lit(1.0), *[F.col(c) for c in usable]]
+    beta = np.zeros(len(columns))
+    value, gradient, information = _moments(scaled, columns, beta)
+    converged = False
+    for _ in range(max_iter):
+        try:
+            step = np.linalg.solve(information, gradient)
+        except np.linalg.LinAlgError:
+            return LogitFit(False, n, events, f"singular system (usually {separated})", dropped)
+        for _ in range(20):
+            trial = _moments(scaled, columns, beta + step)
+            if trial[0] >= value - 1e-9:
+                break
+            step = step / 2
+        beta, (value, gradient, information) = beta + step, trial
+        if np.abs(step).max() < 1e-9 * max(1.0, np.abs(beta).max()):
+            converged = True
+            break
+        if np.abs(beta).max() > _MAX_COEFFICIENT:
+            break
+    rate = events / n
+    null_value = n * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+    if value > -1e-6 * n:
+        return LogitFit(False, n, events, f"perfect {separated}", dropped)
+    if not converged:
+        return LogitFit(False, n, events, f"did not converge, which here means {separated}", dropped)
+    errors = np.sqrt(np.diag(np.linalg.inv(information)))
     odds = {}
-    for c, b, se, p in zip(usable, model.coefficients, errors, p_values):
+    for c, b, se in zip(usable, beta[1:], errors[1:]):
+        z = b / se
         b, se = float(b) / spread[c], float(se) / spread[c]
         if not math.isfinite(se) or 2 * _Z975 * se > math.log(_MAX_SPAN):
             return LogitFit(False, n, events, separated, dropped)
-        odds[c] = (math.exp(b), math.exp(b - _Z975 * se), math.exp(b + _Z975 * se), float(p))
-    if summary.deviance < 1e-6 * n:
-        return LogitFit(False, n, events, f"perfect {separated}", dropped)
-    drop = summary.nullDeviance - summary.deviance
+        odds[c] = (
+            math.exp(b), math.exp(b - _Z975 * se), math.exp(b + _Z975 * se),
+            math.erfc(abs(z) / math.sqrt(2)),
+        )
     return LogitFit(
         True, n, events, "", dropped, odds,
-        1 - summary.deviance / summary.nullDeviance,
-        chi_square_tail(drop, len(usable)),
+        1 - value / null_value,
+        chi_square_tail(2 * (value - null_value), len(usable)),
     )
+
+
+def _moments(
+    patterns: DataFrame, columns: list[Column], beta: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, gradient and information at ``beta``: one aggregation, one row."""
+    k = len(columns)
+    eta = sum((F.lit(float(b)) * c for b, c in zip(beta, columns)), F.lit(0.0))
+    read = patterns.withColumn("_eta", eta).withColumn("_mu", 1 / (1 + F.exp(-F.col("_eta"))))
+    eta, mu, case, y = (F.col(c) for c in ("_eta", "_mu", "cases", "label"))
+    log_total = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+    sums = [F.sum(case * (y * eta - log_total))]
+    sums += [F.sum(case * (y - mu) * c) for c in columns]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums += [F.sum(case * mu * (1 - mu) * columns[i] * columns[j]) for i, j in pairs]
+    row = list(read.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first())
+    information = np.zeros((k, k))
+    for (i, j), v in zip(pairs, row[1 + k :]):
+        information[i, j] = information[j, i] = v
+    return float(row[0]), np.array(row[1 : 1 + k]), information
