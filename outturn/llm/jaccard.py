@@ -33,6 +33,8 @@ BAND = 1.4
 FILTER_LONGS, FILTER_HASHES = 1 << 17, 3
 #: Buckets in which shingles are counted; the counts bound how far two sets differ.
 BUCKETS = 64
+#: Longs of the parity sketch. Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
+PARITY = 8
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -151,6 +153,12 @@ def _sketch(values: np.ndarray) -> bytes:
     return counts.astype(np.int32).tobytes()
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    bit = (scramble(values + MIX[1]) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = np.bincount(bit, minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(documents: DataFrame, n: int, make_row, schema: str) -> DataFrame:
     def make():
         def step(batch):
@@ -162,15 +170,19 @@ def _sets(documents: DataFrame, n: int, make_row, schema: str) -> DataFrame:
 
 
 def _measures(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, set size, digest and bucket counts of every document."""
+    """doc_id, set size, digest, bucket counts and parities of every document."""
 
     def row(ids, sets):
+        parity = np.concatenate([_parity(s) for s in sets]) if sets else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(map(len, sets), pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(_sketch, sets), pa.binary())],
-            ["doc_id", "n_shingles", "digest", "sketch"],
+            [
+                ids, pa.array(map(len, sets), pa.int64()), pa.array(map(_digest, sets), pa.binary()),
+                pa.array(map(_sketch, sets), pa.binary()), lists(parity, np.full(len(sets), PARITY), pa.int64()),
+            ],
+            ["doc_id", "n_shingles", "digest", "sketch", "parity"],
         )
 
-    return _sets(documents, n, row, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return _sets(documents, n, row, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, parity array<bigint>")
 
 
 def _segment_keys(documents: DataFrame, n: int, plan: Plan) -> DataFrame:
@@ -309,37 +321,43 @@ def near_copies(
     # Copies meet at the smallest id that has their digest; partial minima keep a hot digest small.
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("uid"))
     member = staged(full.select("doc_id", "digest").join(copies, "digest").select("doc_id", "uid"), "members")
-    first = staged(full.join(member.where("doc_id = uid").select("doc_id"), "doc_id").select("doc_id", "n_shingles", "sketch"), "first")
+    first = staged(
+        full.join(member.where("doc_id = uid").select("doc_id"), "doc_id").select("doc_id", "n_shingles", "sketch", "parity"), "first"
+    )
     plan = Plan(percent, first.count())
 
     keys = staged(_segment_keys(documents, n, plan), "keys")
-    groups = staged(
-        keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("key", "hub"), "groups"
-    )
-    met = keys.join(groups, "key").where("doc_id <> hub")
-    as_uid = member.select(F.col("doc_id").alias("hub"), F.col("uid").alias("a"))
-    star = (
-        met.select("hub", "doc_id").distinct().join(member, "doc_id").join(as_uid, "hub")
-        .where("a <> uid").select("a", F.col("uid").alias("b")).distinct()
-    )
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
+    met = staged(keys.join(shared, "key").join(member, "doc_id").select("key", F.col("uid").alias("doc_id")).distinct(), "met")
+    # The hub of a segment value is its set that meets the most others: in a group of near copies, the text they come from.
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
+    busy = met.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("busy"))
+    hubs = met.join(busy, "doc_id").groupBy("key").agg(F.max(F.struct("busy", (-F.col("doc_id")).alias("minus"))).alias("top"))
+    star = met.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").where("doc_id <> hub")
+    star = star.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = staged(_possible(star, first, percent), "tried")
     linked = staged(_verified(tried, documents, n, percent), "linked")
     near = components(linked)
 
-    # Segment values that still join different components: only pairs between those remain.
-    near = staged(member.join(near.withColumnRenamed("doc_id", "uid"), "uid", "left").select(
-        "doc_id", "uid", F.coalesce("component_id", "uid").alias("c")), "near")
-    seen = keys.join(groups.select("key"), "key").join(near, "doc_id").select("key", "uid", "c")
+    # Segment values that still join different components: only pairs between those remain, and only those
+    # whose sizes and parities allow a link leave the join.
+    seen = met.join(near, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
     mixed = seen.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = staged(seen.join(mixed, "key").distinct(), "open")
-    sizes = first.select(F.col("doc_id").alias("uid"), "n_shingles")
-    open_ = open_.join(sizes, "uid")
-    left = open_.select("key", F.col("uid").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
-    right = open_.select("key", F.col("uid").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"))
+    open_ = staged(seen.join(mixed, "key").join(first.select("doc_id", "n_shingles", "parity"), "doc_id"), "open")
+
+    def side(name: str) -> DataFrame:
+        parity = [F.col("parity")[k].alias(f"{name}{k}") for k in range(PARITY)]
+        return open_.select(
+            "key", F.col("doc_id").alias(name), F.col("c").alias(f"c{name}"), F.col("n_shingles").alias(f"n{name}"), *parity
+        )
+
+    total = F.col("na") + F.col("nb")
     close = F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")
-    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
-    cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(_possible(cross, first, percent), "more")
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
+    bound = F.lit(100 + percent) * differ <= F.lit(100 - percent) * total
+    left, right = side("a"), side("b")
+    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & bound)
+    more = staged(_possible(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), first, percent), "more")
     final = components(linked.union(_verified(more, documents, n, percent)))
     return (
         measures.select("doc_id", "n_shingles").join(member, "doc_id", "left")
