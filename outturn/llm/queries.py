@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outturn.llm import jaccard, pieces, private, suffixes, toxicity, wordpiece
+from outturn.llm import fingerprints, jaccard, order, pieces, private, quality, suffixes, toxicity, wordpiece
 from outturn.llm.common import table
 
 
@@ -18,6 +18,10 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_private(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = pieces.encode(table(spark, sf_dir, "documents"), model_path())
     return pieces.decode(ids, model_path()).select(
@@ -45,6 +53,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), model_path())
 
@@ -66,8 +78,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_private": op2_private,
+    "op3_training_order": op3_training_order,
     "op4_pieces": op4_pieces,
+    "op5_fingerprints": op5_fingerprints,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
