@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outturn.llm.buckets import bucket_of, id_bounds, partitions
+from outturn.llm.common import ranges
 from outturn.llm.jaccard import MIX, scramble
 
 #: Cells of each of the three parts of the sketch that a fingerprint shows.
@@ -68,97 +69,127 @@ PARTS = np.arange(3, dtype=np.int64)[:, None]
 SHIFTS = np.array([0, 21, 42], np.uint64)[:, None]
 
 
-class Keys:
-    """Digests with what their cells need: bits for the places and a check."""
+class Sketches:
+    """Sketches of many owners in flat arrays: three parts of ``sizes[owner]`` cells (a power of two) each.
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        both = scramble(np.concatenate([keys ^ MIX[1], keys + MIX[4]]))
-        self.bits, self.check = (both[: len(keys)] >> SHIFTS).astype(np.int64), both[len(keys) :]
-
-
-class Sketch:
-    """Three parts of ``size`` cells (a power of two), each with a count, the xor of digests and the xor of their checks."""
+    A cell has a count, the xor of its digests and the xor of their checks.
+    """
 
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.count = np.zeros(3 * size, np.int64)
-        self.key = np.zeros(3 * size, np.uint64)
-        self.check = np.zeros(3 * size, np.uint64)
+    def __init__(self, sizes: np.ndarray) -> None:
+        self.sizes = sizes
+        self.start = np.cumsum(3 * sizes) - 3 * sizes
+        total = int(3 * sizes.sum())
+        self.count = np.zeros(total, np.int64)
+        self.key = np.zeros(total, np.uint64)
+        self.check = np.zeros(total, np.uint64)
 
-    def put(self, keys: Keys, sign: np.ndarray | int) -> Sketch:
-        at = ((keys.bits & (self.size - 1)) + PARTS * self.size).ravel()
-        n = len(keys.keys)
-        np.add.at(self.count, at, np.broadcast_to(sign, (3, n)).ravel())
-        np.bitwise_xor.at(self.key, at, np.broadcast_to(keys.keys, (3, n)).ravel())
-        np.bitwise_xor.at(self.check, at, np.broadcast_to(keys.check, (3, n)).ravel())
+    def put(self, owner: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> Sketches:
+        both = scramble(np.concatenate([keys ^ MIX[1], keys + MIX[4]]))
+        bits, check = (both[: len(keys)] >> SHIFTS).astype(np.int64), both[len(keys) :]
+        size = self.sizes[owner]
+        at = (self.start[owner] + PARTS * size + (bits & (size - 1))).ravel()
+        np.add.at(self.count, at, np.concatenate([sign] * 3))
+        np.bitwise_xor.at(self.key, at, np.concatenate([keys] * 3))
+        np.bitwise_xor.at(self.check, at, np.concatenate([check] * 3))
         return self
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.size)
+    def of(self, which: np.ndarray) -> Sketches:
+        """The sketches of some owners, in that order."""
+        out = Sketches(self.sizes[which])
+        at = ranges(self.start[which], 3 * out.sizes)
+        out.count, out.key, out.check = self.count[at], self.key[at], self.check[at]
+        return out
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.sizes)
         out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return out
 
-    def differing(self) -> float:
-        """About how many digests a difference holds: a cell of a part stays empty with probability exp(-d / size)."""
-        empty = int(((self.count == 0) & (self.key == 0)).sum())
-        return self.size * float(np.log(3 * self.size / empty)) if empty else 4.0 * self.size
+    def differing(self) -> np.ndarray:
+        """About how many digests each difference holds: a cell of a part stays empty with probability exp(-d / size)."""
+        empty = np.add.reduceat((self.count == 0) & (self.key == 0), self.start, dtype=np.int64)
+        return self.sizes * np.log(3 * self.sizes / np.maximum(empty, 0.1))
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests only in the first and only in the second sketch of a difference; None if some stay hidden."""
-        mine, theirs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Recovered (owner, digest, sign: 1 only in the first, -1 only in the second), and the owners with hidden ones."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        cell_owner = np.repeat(np.arange(len(self.sizes)), 3 * self.sizes)
         while True:
             one = np.flatnonzero(np.abs(self.count) == 1)
             one = one[scramble(self.key[one] + MIX[4]) == self.check[one]]
             if not len(one):
                 break
-            keys, first = np.unique(self.key[one], return_index=True)
-            sign = self.count[one][first]
-            mine.append(keys[sign > 0])
-            theirs.append(keys[sign < 0])
-            self.put(Keys(keys), -sign)
-        if self.count.any() or self.key.any() or self.check.any():
-            return None
-        return np.concatenate(mine), np.concatenate(theirs)
-
-    def text(self, n: int) -> str:
-        parts = (np.array([n], np.uint32), self.count.astype(np.int16), self.key, (self.check & np.uint64(0xFFFF)).astype(np.uint16))
-        return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
-
-
-class Fingerprint:
-    def __init__(self, text: str) -> None:
-        self.keys = digests(text)
-        self.full = Keys(self.keys)
-        self.sketch = Sketch(BASE).put(self.full, 1)
-        self.shown = self.sketch.text(len(self.keys))
-
-
-def difference(a: Fingerprint, b: Fingerprint) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests only in ``a`` and only in ``b``: by peeling, with larger sketches after a failure."""
-    delta = a.sketch.minus(b.sketch)
-    most = len(a.keys) + len(b.keys)
-    while True:
-        size, guess = delta.size, delta.differing()
-        # more than three cells for two digests are needed to peel
-        got = delta.peel() if guess < 2.6 * size else None
-        if got is not None:
-            return got
-        if size > 64 * (most + BASE):  # digests that no sketch parts: compare them as they are
-            return np.setdiff1d(a.keys, b.keys), np.setdiff1d(b.keys, a.keys)
-        wanted = max(2 * size, 1 << int(np.ceil(np.log2(max(1.0, 0.5 * min(most, guess))))))
-        delta = Sketch(wanted).put(a.full, 1).put(b.full, -1)
-
-
-def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    total = len(a.keys) + len(b.keys)
-    if not total:
-        return 1.0
-    if a.shown == b.shown and np.array_equal(a.keys, b.keys):
-        return 1.0
-    mine, theirs = difference(a, b)
-    apart = len(mine) + len(theirs)
-    return (total - apart) / total
+            owner, keys, sign = cell_owner[one], self.key[one], self.count[one]
+            order = np.lexsort((keys, owner))
+            owner, keys, sign = owner[order], keys[order], sign[order]
+            first = np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]
+            owner, keys, sign = owner[first], keys[first], sign[first]
+            self.put(owner, keys, -sign)
+            found.append((owner, keys, sign))
+        left = (self.count != 0) | (self.key != 0) | (self.check != 0)
+        hidden = np.unique(cell_owner[left])
+        return *(np.concatenate(x) for x in zip(*found, strict=True)), hidden
+
+
+class Fingerprints:
+    """Digests of many texts and the sketches that their fingerprints show."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.digests = [digests(t) for t in texts]
+        self.sizes = np.array(list(map(len, self.digests)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), self.sizes)
+        keys = np.concatenate([*self.digests, np.zeros(0, np.uint64)])
+        self.sketches = Sketches(np.full(len(texts), BASE, np.int64)).put(owner, keys, np.ones(len(keys), np.int64))
+
+    def shown(self) -> list[str]:
+        rows, s = len(self.digests), self.sketches
+        parts = [self.sizes.astype(np.uint32), s.count.astype(np.int16), s.key, (s.check & np.uint64(0xFFFF)).astype(np.uint16)]
+        flat = np.hstack([np.ascontiguousarray(p).view(np.uint8).reshape(rows, -1) for p in parts])
+        return [base64.b64encode(r.tobytes()).decode() for r in flat]
+
+
+def differences(a: Fingerprints, at_a: np.ndarray, b: Fingerprints, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of all paragraphs in which text at_a[i] of ``a`` and at_b[i] of ``b`` differ.
+
+    Shown sketches are subtracted and peeled first; pairs that keep hidden digests get larger sketches, until none is left.
+    """
+    pairs = np.arange(len(at_a))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    delta = a.sketches.of(at_a).minus(b.sketches.of(at_b))
+    while len(pairs):
+        guess, size = delta.differing(), delta.sizes
+        owner, keys, sign, hidden = delta.peel()
+        bad = np.zeros(len(pairs), bool)
+        bad[hidden] = True
+        good = ~bad[owner]
+        out.append((pairs[owner[good]], keys[good], sign[good]))
+        most = (a.sizes[at_a] + b.sizes[at_b])[pairs]
+        # more than three cells for two digests are needed to peel; a digest pair that no sketch parts is compared as it is
+        wanted = np.maximum(2 * size, 1 << np.ceil(np.log2(np.maximum(1.0, 0.5 * np.minimum(most, guess)))).astype(np.int64))
+        over = bad & (size > 64 * (most + BASE))
+        for k in np.flatnonzero(over):
+            x, y = a.digests[at_a[pairs[k]]], b.digests[at_b[pairs[k]]]
+            for one, other, mark in ((x, y, 1), (y, x, -1)):
+                rest = np.setdiff1d(one, other)
+                out.append((np.full(len(rest), pairs[k]), rest, np.full(len(rest), mark)))
+        keep = bad & ~over
+        pairs, wanted = pairs[keep], wanted[keep]
+        if not len(pairs):
+            break
+        delta = Sketches(wanted)
+        for texts, at, mark in ((a, at_a, 1), (b, at_b, -1)):
+            held = [texts.digests[k] for k in at[pairs]]
+            owner = np.repeat(np.arange(len(pairs)), list(map(len, held)))
+            keys = np.concatenate(held)
+            delta.put(owner, keys, np.full(len(keys), mark))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def likeness(a: Fingerprints, at_a: np.ndarray, b: Fingerprints, at_b: np.ndarray) -> np.ndarray:
+    pair, _, _ = differences(a, at_a, b, at_b)
+    total = a.sizes[at_a] + b.sizes[at_b]
+    apart = np.bincount(pair, minlength=len(at_a))
+    return np.where(total > 0, (total - apart) / np.maximum(total, 1), 1.0)
 
 
 def edited(text: str, successor: str) -> str:
@@ -197,34 +228,30 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     dealt = rows.select("to.b", "to.last", "doc_id", "text").repartition(count, "b").sortWithinPartitions("b", "last", "doc_id", "text")
 
     def run(batches):
-        out: list[tuple] = []
-        now = None
+        held: list[tuple[int, int, int, str]] = []
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                for b, last, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if last and (now is None or now[0] != b):
-                        continue  # a further copy of the successor's id
-                    seen = (b, doc, text, Fingerprint(text))
-                    if now is not None:
-                        out.append(row(now, seen))
-                    now = None if last else seen
-                if out:
-                    yield table(out)
-                    out = []
-
-    def row(now, following):
-        _, doc, text, own = now
-        changed = edited(text, following[2])
-        other = Fingerprint(changed)
-        return (
-            doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.shown, other.shown,
-            likeness(own, other), likeness(own, following[3]), len(own.keys),
-        )
-
-    def table(out):
+                held += zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True)
+                yield from rows_of(held)
+                # the last row waits for its successor; one that is only a successor is done
+                held = [h for h in held[-1:] if not h[1]]
+
+    def rows_of(held):
+        own = np.array([k for k in range(len(held) - 1) if not held[k][1] and held[k][0] == held[k + 1][0]], np.int64)
+        if not len(own):
+            return
+        texts = [h[3] for h in held]
+        changed = [edited(texts[k], texts[k + 1]) for k in own]
+        before, after = Fingerprints(texts), Fingerprints(changed)
+        shown = before.shown()
+        columns = [
+            [held[k][2] for k in own], [len(texts[k]) for k in own],
+            [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
+            [shown[k] for k in own], after.shown(), likeness(before, own, after, np.arange(len(own))),
+            likeness(before, own, before, own + 1), before.sizes[own],
+        ]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return dealt.mapInArrow(run, SCHEMA)
