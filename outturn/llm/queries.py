@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outturn.llm import fingerprints, jaccard, order, pieces, private, quality, suffixes, toxicity, wordpiece
+from outturn.llm import fingerprints, jaccard, lm, order, pieces, private, quality, suffixes, toxicity, wordpiece
 from outturn.llm.common import table
 
 
@@ -77,6 +77,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), model_path())
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_private": op2_private,
@@ -87,6 +91,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
