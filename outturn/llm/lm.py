@@ -262,15 +262,19 @@ def forward(
     b = len(inputs)
     e = w["ids"][inputs] + w["pairs"][pairs]
     flat = e.reshape(-1, WIDTH)
-    k = (flat @ w["k"]).reshape(b, WINDOW, WIDTH)
-    v = (flat @ w["v"]).reshape(b, WINDOW, WIDTH)
+    both = (flat @ np.hstack([w["k"], w["v"]])).reshape(b, WINDOW, 2 * WIDTH)
+    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
     last = np.ascontiguousarray(e[:, WINDOW - SCORED :])
     q = (last.reshape(-1, WIDTH) @ (w["q"] * np.float32(1 / math.sqrt(WIDTH)))).reshape(b, SCORED, WIDTH)
     a = q @ k.transpose(0, 2, 1)
     a += w["bias"] + FUTURE
-    np.exp(np.minimum(a, 30, out=a), out=a)
-    a /= a.sum(2, keepdims=True)
-    c = (a @ v).reshape(-1, WIDTH)
+    if a.max() > 60:
+        np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+    total = a.sum(2, keepdims=True)
+    c = a @ v
+    c /= total
+    c = c.reshape(-1, WIDTH)
     u = last.reshape(-1, WIDTH) + c @ w["o"]
     h = u @ w["hidden"]
     h += w["shift"]
@@ -290,12 +294,12 @@ def forward(
     rows = np.arange(len(target))
     out = by_class[rows, group]
     within = inside[rows, member[order]]
-    p_class, p_inside = np.exp(by_class), np.exp(inside)
+    p_class, p_inside = np.exp(by_class, out=by_class), np.exp(inside, out=inside)
     sum_class, sum_inside = p_class.sum(1), p_inside.sum(1)
     out -= np.log(sum_class)
     out[order] += within - np.log(sum_inside)
     if keep is not None:
-        keep |= dict(e=e, k=k, v=v, q=q, a=a, c=c, u=u, h=h, last=last, group=group, member=member, order=order, ends=ends, sorted_h=sorted_h,
+        keep |= dict(e=e, k=k, v=v, q=q, a=a / total, c=c, u=u, h=h, last=last, group=group, member=member, order=order, ends=ends, sorted_h=sorted_h,
                      p_class=p_class / sum_class[:, None], p_inside=p_inside / sum_inside[:, None])
     return out.reshape(targets.shape)
 
@@ -337,8 +341,11 @@ def backward(w: dict, m: dict, inputs: np.ndarray, pairs: np.ndarray, valid: np.
     g_e = (g_k @ w["k"].T + g_v @ w["v"].T).reshape(b, WINDOW, WIDTH)
     g_e[:, WINDOW - SCORED :] += (g_u + g_q @ w["q"].T).reshape(b, SCORED, WIDTH)
     for name, index, size in (("ids", inputs, SIZE), ("pairs", pairs, PAIRS)):
+        order = np.argsort(index.ravel(), kind="stable")
+        at = index.ravel()[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         out[name] = np.zeros((size, WIDTH), np.float32)
-        np.add.at(out[name], index.ravel(), g_e.reshape(-1, WIDTH))
+        out[name][at[first]] = np.add.reduceat(g_e.reshape(-1, WIDTH)[order], first, axis=0)
     return out
 
 
@@ -376,8 +383,12 @@ def train(w: dict, prior: Prior, inputs, pairs, before, targets, valid, seed: in
         keep: dict = {}
         forward(w, prior, inputs[pick], pairs[pick], before[pick], targets[pick], keep)
         for name, slope in backward(w, keep, inputs[pick], pairs[pick], valid[pick]).items():
-            seen[name] = seen[name] * 0.999 + slope * slope
-            w[name] -= RATE * slope / np.sqrt(seen[name])
+            past = seen[name]
+            past *= np.float32(0.999)
+            past += slope * slope
+            slope *= np.float32(RATE)
+            slope /= np.sqrt(past)
+            w[name] -= slope
     return w
 
 
