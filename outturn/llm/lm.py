@@ -37,6 +37,8 @@ SIZE, CLASSES = 1024, 32
 END, BYTES, BOUND = 0, 1, SIZE
 #: Beginnings of words that have a context of their own.
 CONTEXTS = 3072
+#: Weight of the previous id against what a beginning of a word has been followed by.
+BACK = 20.0
 #: Widths of embeddings and of the hidden layer, hashed pairs, ids of a window and ids scored in it.
 WIDTH, HIDDEN, PAIRS = 16, 32, 2048
 WINDOW, SCORED = 32, 24
@@ -236,7 +238,7 @@ class Prior:
         last = np.zeros(len(top), np.int64)
         last[rank[back[use]]] = ids[deep[use]]
         self.known = self.known[top]
-        longer = (seen + 20.0 * chance[last]) / (seen.sum(1, keepdims=True) + 20.0)
+        longer = (seen + BACK * chance[last]) / (seen.sum(1, keepdims=True) + BACK)
         rows = np.vstack([chance, longer])
         rows = rows[:, :SIZE] + rows[:, SIZE:] * start
         rows[END] = start
