@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,17 @@ class Vocabulary:
             return [SPACE + marked.replace(" ", SPACE)]
         return PARTS.findall(SPACE + marked.replace(" ", SPACE))
 
+    def _pairs(self, symbol: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of the pair that starts at each place of ``at``; rank NONE where nothing merges."""
+        rank, made = np.full(len(at), NONE, np.int32), np.zeros(len(at), np.int64)
+        after = np.minimum(at + 1, len(symbol) - 1)
+        near = np.flatnonzero((after > at) & (owner[at] == owner[after]) & (symbol[at] >= 0) & (symbol[after] >= 0))
+        key = symbol[at[near]] * self.base + symbol[after[near]]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[place] == key
+        rank[near[hit]], made[near[hit]] = self.ranks[place[hit]], self.made[place[hit]]
+        return rank, made
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and the number of ids of each."""
         text = "".join(words)
@@ -102,17 +114,10 @@ class Vocabulary:
         known = np.array([self.symbols.get(chr(k), -1 - int(k)) for k in kinds], np.int64)
         symbol = known[back] if len(kinds) else np.zeros(0, np.int64)
         done_symbol, done_owner = [], []
+        if len(symbol):
+            pair_rank, made = self._pairs(symbol, owner, np.arange(len(symbol)))
         while len(symbol):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            pair_rank = np.full(len(symbol), NONE, np.int32)
-            made = np.zeros(len(symbol), np.int64)
-            if len(symbol) > 1:
-                near = np.flatnonzero((owner[1:] == owner[:-1]) & (symbol[1:] >= 0) & (symbol[:-1] >= 0))
-                key = symbol[near] * self.base + symbol[near + 1]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                pair_rank[near[hit]] = self.ranks[at[hit]]
-                made[near[hit]] = self.made[at[hit]]
             best = np.minimum.reduceat(pair_rank, starts)
             size = np.diff(np.r_[starts, len(symbol)])
             finished = np.repeat(best == NONE, size)
@@ -134,11 +139,14 @@ class Vocabulary:
                 slow = np.zeros(of_word[-1] + 1, bool)
                 slow[of_word[careful]] = True
                 chosen = chosen[first | ~slow[of_word]]
-            symbol = symbol.copy()
             symbol[chosen] = made[chosen]
             keep = ~finished
             keep[chosen + 1] = False
-            symbol, owner = symbol[keep], owner[keep]
+            moved = np.cumsum(keep)[chosen] - 1
+            symbol, owner, pair_rank, made = symbol[keep], owner[keep], pair_rank[keep], made[keep]
+            # only the pairs around a merged symbol are new
+            again = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
+            pair_rank[again], made[again] = self._pairs(symbol, owner, again)
         if done_symbol:
             symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
             sort = np.argsort(owner, kind="stable")
@@ -163,6 +171,28 @@ class Vocabulary:
             symbol = out
         return symbol.astype(np.int32), np.bincount(owner, minlength=n)
 
+    def decode_all(self, flat: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of many lists of ids, given as flat ids and the length of each list."""
+        if not hasattr(self, "raw_flat"):
+            self.raw_size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+            self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+            self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        sizes = self.raw_size[flat]
+        data = self.raw_flat[ranges(self.raw_start[flat], sizes)].tobytes()
+        ends, byte_ends = np.cumsum(counts), np.r_[0, np.cumsum(sizes)]
+        # a control id anywhere but at the end may part bytes from each other
+        control = np.r_[0, np.cumsum(sizes == 0)]
+        out = []
+        for start, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            if start == end:
+                out.append("")
+            elif control[end - 1] > control[start]:
+                out.append(self.decode(flat[start:end].tolist()))
+            else:
+                part = data[byte_ends[start] + bool(self.leads[flat[start]]) : byte_ends[end]]
+                out.append(_text(part))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD each."""
         out, run = [], []
@@ -219,7 +249,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts without end ids, and the number of ids of each."""
         split = [self.vocabulary.words(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.place})
+        new = list(set().union(*split).difference(self.place))
         kept = len(self.place)
         if new:
             ids, counts = self.vocabulary.encode_words(new)
@@ -229,7 +259,7 @@ class Encoder:
             self.place.update(zip(new, range(kept, kept + len(new)), strict=True))
         n = sum(map(len, split))
         place = self.place
-        word = np.fromiter((place[w] for words in split for w in words), np.int64, n)
+        word = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, n)
         per_word = self.count[word]
         flat = self.flat[ranges(self.start[word], per_word)]
         owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
@@ -268,7 +298,8 @@ def decode(df: DataFrame, model_path: str) -> DataFrame:
 
         def step(batch):
             ids = column_of(batch, "ids")
-            text = pa.array([words.decode(x or []) for x in ids.to_pylist()], pa.string())
+            counts = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+            text = pa.array(words.decode_all(ids.flatten().to_numpy(zero_copy_only=False), counts), pa.string())
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), ids, text], ["doc_id", "ids", "text"])
 
         return step
