@@ -11,12 +11,14 @@ from outturn.functions import forms, vocab
 
 
 def latest_per_episode(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per (cik, announced): the last one by ``order``, if the table has it."""
+    """One row per (cik, announced): the last one by ``order``.
+
+    A table without that column has no last row; the one that is greatest as text is taken, the same on every run.
+    """
     keys = ["cik", "announced"]
-    if order not in rows.columns:
-        return rows.dropDuplicates(keys)
     rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.col(order)).alias("last")
+    by = F.col(order) if order in rows.columns else F.to_json(F.struct(*rest))
+    last = F.max_by(F.struct(*rest), by).alias("last")
     return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from outturn.functions import vocab
 
 RARE = "rare"
+# a level that training never had: it gets no column
+UNSEEN = "<unseen>"
 _KEY = ["cik", "announced"]
 
 
@@ -28,23 +30,28 @@ class Preprocessing:
     """Fitted on the training table and applied to any other."""
 
     frequent: dict[str, list[str]]
+    rare: dict[str, list[str]]
     filled: dict[str, float]
     pipeline: PipelineModel
 
     def prepare(self, frame: DataFrame) -> DataFrame:
-        return _prepare(frame, self.frequent, self.filled)
+        return _prepare(frame, self.frequent, self.rare, self.filled)
 
     def transform(self, frame: DataFrame) -> DataFrame:
         return self.pipeline.transform(self.prepare(frame))
 
 
-def _prepare(frame: DataFrame, frequent: dict[str, list[str]], filled: dict[str, float]) -> DataFrame:
+def _prepare(
+    frame: DataFrame, frequent: dict[str, list[str]], rare: dict[str, list[str]], filled: dict[str, float]
+) -> DataFrame:
     numbers = vocab.NUMERIC_FEATURES + vocab.BINARY_FEATURES
     return frame.withColumns(
         {
             **{f"{c}_in": F.coalesce(F.col(c).cast("double"), F.lit(filled[c])) for c in numbers},
             **{
-                f"{c}_in": F.when(F.col(c).isin(levels), F.col(c)).otherwise(RARE)
+                f"{c}_in": F.when(F.col(c).isin(levels), F.col(c)).when(
+                    F.col(c).isin(rare[c]) | F.col(c).isNull() & F.lit(None in rare[c]), F.lit(RARE)
+                ).otherwise(F.lit(UNSEEN))
                 for c, levels in frequent.items()
             },
         }
@@ -57,14 +64,12 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 25) -> Preprocessin
     Levels rarer than ``min_frequency`` share one column; levels never seen get none. The
     level lists are bounded by the two-digit sectors and the four considerations.
     """
-    frequent = {
-        c: sorted(
-            r[c]
-            for r in train.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= min_frequency).select(c).collect()
-        )
-        for c in vocab.CATEGORICAL_FEATURES
-    }
+    frequent: dict[str, list[str]] = {}
+    rare: dict[str, list[str]] = {}
+    for c in vocab.CATEGORICAL_FEATURES:
+        counts = train.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()
+        frequent[c] = sorted(r[c] for r in counts if r["n"] >= min_frequency and r[c] is not None)
+        rare[c] = [r[c] for r in counts if r["n"] < min_frequency or r[c] is None]
     typed = train.select(
         *[F.col(c).cast("double").alias(c) for c in vocab.NUMERIC_FEATURES + vocab.BINARY_FEATURES]
     )
@@ -87,15 +92,15 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 25) -> Preprocessin
         ),
         OneHotEncoder(
             inputCols=[f"{c}_no" for c in categories], outputCols=[f"{c}_hot" for c in categories],
-            dropLast=False,
+            dropLast=True,  # the last column is that of unseen levels
         ),
         VectorAssembler(
             inputCols=["scaled", *[f"{c}_in" for c in vocab.BINARY_FEATURES], *[f"{c}_hot" for c in categories]],
             outputCol="features",
         ),
     ]
-    pipeline = Pipeline(stages=stages).fit(_prepare(train, frequent, filled))
-    return Preprocessing(frequent, filled, pipeline)
+    pipeline = Pipeline(stages=stages).fit(_prepare(train, frequent, rare, filled))
+    return Preprocessing(frequent, rare, filled, pipeline)
 
 
 def _base(kind: str, n: int, seed: int, rounds: int) -> LogisticRegression | GBTClassifier:

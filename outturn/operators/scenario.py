@@ -40,8 +40,9 @@ FUNDING = [
 
 
 def with_defaults(scenarios: DataFrame) -> DataFrame:
-    """Fills assumptions the table does not have."""
-    missing = {n: F.lit(v) for n, v in DEAL_DEFAULTS.items() if n not in scenarios.columns}
+    """Fills assumptions and company figures the table does not have."""
+    known = DEAL_DEFAULTS | {f"{side}_{n}": 0.0 for side in "at" for n in ("cash", "debt", "ebitda", "book_equity")}
+    missing = {n: F.lit(v) for n, v in known.items() if n not in scenarios.columns}
     return scenarios.withColumns(missing) if missing else scenarios
 
 
@@ -56,6 +57,8 @@ def _problems() -> Column:
         F.array(
             outside("cash_consideration_pct"),
             outside("cash_from_balance_sheet_pct"),
+            outside("new_debt_rate"),
+            outside("forgone_cash_yield"),
             outside("synergy_phasing"),
             F.when(
                 ~F.coalesce((F.col("tax_rate") >= 0) & (F.col("tax_rate") < 1), F.lit(False)),
@@ -66,6 +69,7 @@ def _problems() -> Column:
             not_positive("a_share_price"),
             not_positive("t_share_price"),
             not_positive("offer_per_share"),
+            not_positive("intangible_life_years"),
         )
     )
 

@@ -112,7 +112,8 @@ def bootstrap_sums(scores: DataFrame, draws: int = 400, seed: int = 0) -> DataFr
 
     Every row gets a Poisson(1) weight per draw, which approximates resampling with
     replacement at a size that varies slightly. Rows with the same (p, y) are combined
-    first, and their joint weight is Poisson of their count. The scores are cut into ranges;
+    first, and their joint weight is Poisson of their count, drawn from a generator that is
+    seeded by the score itself, so the ranges don't matter. The scores are cut into ranges;
     each range is weighted for all draws at once in one task and leaves one row per draw,
     so nothing is multiplied by the number of draws on its way through a shuffle.
 
@@ -123,19 +124,17 @@ def bootstrap_sums(scores: DataFrame, draws: int = 400, seed: int = 0) -> DataFr
 
     def weigh(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("p")
-        rng = np.random.default_rng([seed, int(key[0])])
-        p = cells["p"].to_numpy()
-        pos_n, neg_n = cells["pos"].to_numpy(), cells["neg"].to_numpy()
-        rows = []
-        for draw in range(draws):
-            pos, neg = rng.poisson(pos_n), rng.poisson(neg_n)
-            below = np.cumsum(neg) - neg
-            rows.append(
-                (key[0], draw, float(pos.sum()), float(neg.sum()),
-                 float((pos * (1 - p) ** 2 + neg * p**2).sum()),
-                 float((pos * (below + 0.5 * neg)).sum()))
-            )
-        return pd.DataFrame(rows, columns=["range", "draw", "pos", "neg", "sq_error", "won"])
+        pos_all, below, sq_error, won = (np.zeros(draws) for _ in range(4))
+        for p, pos_n, neg_n in zip(cells["p"].astype(float), cells["pos"], cells["neg"], strict=True):
+            rng = np.random.default_rng([seed, int(np.float64(p).view(np.uint64))])
+            pos, neg = rng.poisson(pos_n, draws), rng.poisson(neg_n, draws)
+            pos_all += pos
+            sq_error += pos * (1 - p) ** 2 + neg * p**2
+            won += pos * (below + 0.5 * neg)
+            below += neg
+        return pd.DataFrame(
+            {"range": key[0], "draw": np.arange(draws), "pos": pos_all, "neg": below, "sq_error": sq_error, "won": won}
+        )
 
     schema = "range int, draw int, pos double, neg double, sq_error double, won double"
     ranged = cells.withColumn("range", _range_of(_p(), edges))

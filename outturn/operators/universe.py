@@ -66,6 +66,19 @@ def build_universe(
     return attach_company(labelled, companies, names)
 
 
+def attach_announcements(universe: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Adds ``announcement_forms`` and ``announcement_accessions`` of each episode, in filing order.
+
+    ``arrays`` are the rows of ``episode_arrays``; the chunks of a long episode are put together again by ``chunk_no``.
+    """
+    chunk = F.struct("chunk_no", "announcement_forms", "announcement_accessions")
+    whole = arrays.groupBy("cik", "announced").agg(F.sort_array(F.collect_list(chunk)).alias("chunks")).select(
+        "cik", "announced", F.flatten("chunks.announcement_forms").alias("announcement_forms"),
+        F.flatten("chunks.announcement_accessions").alias("announcement_accessions"),
+    )
+    return universe.join(whole, ["cik", "announced"], "left")
+
+
 def history_window(announcements: DataFrame, lead_days: int = vocab.HISTORY_LEAD_DAYS) -> DataFrame:
     """Per entity, the earliest day of history worth loading."""
     return announcements.groupBy("cik").agg(

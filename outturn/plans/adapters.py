@@ -85,14 +85,8 @@ TABLES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A provided table, spread over the cores when its files are too few to occupy them.
-
-    Files that already give every core a split are read as they are.
-    """
-    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    large = name in ("lineitem", "documents", "pages", "part")
-    return rows.repartition(cores) if large and rows.rdd.getNumPartitions() < cores else rows
+    """A provided table, split as the session's file settings say."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def adapt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

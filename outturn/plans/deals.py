@@ -16,7 +16,7 @@ from outturn.operators.survival import curve_report, survival_table
 from outturn.operators.timeline import (
     announcement_days, announcement_report, episode_arrays, episode_filings, episode_timeline, episodes,
 )
-from outturn.operators.universe import attach_company, build_universe, coverage, history_window
+from outturn.operators.universe import attach_announcements, attach_company, build_universe, coverage, history_window
 from outturn.plans import adapters as A
 from outturn.plans.shaping import plain
 from outturn.sources.tables import slim
@@ -204,7 +204,9 @@ def validation_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deal_export(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(slim(universe(spark, sf), vocab.DEAL_FIELDS))
+    events = timeline(spark, sf)
+    arrays = episode_arrays(_announcements(spark, sf), announcement_days(_filings(spark, sf)))
+    return plain(slim(attach_announcements(universe_of(spark, sf, events), arrays), vocab.DEAL_FIELDS))
 
 
 def resumed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,8 +520,11 @@ def oracles() -> dict[str, str]:
         "deal_page": UNIVERSE + "select cik, announced::varchar as announced, label from uni where year = 1995 order by uni.announced, cik limit 50 offset 20",
         "validation_sample": UNIVERSE + """select cik, announced::varchar as announced, label from uni
             order by md5('7|' || cik::varchar || '|' || uni.announced::varchar), cik, uni.announced limit 40""",
-        "deal_export": UNIVERSE + """select cik, company, sic_description, ticker as tickers, announced::varchar as announced, label,
-            resolved_on::varchar as resolved_on, days_to_resolution, evidence, shell from uni""",
+        "deal_export": UNIVERSE + """select uni.cik, company, sic_description, ticker as tickers, uni.announced::varchar as announced, label,
+            resolved_on::varchar as resolved_on, days_to_resolution, announcement_forms, evidence, shell
+            from uni join (select cik, episode_no, min(filed) as announced,
+             string_agg(form, '|' order by filed, accession, form) as announcement_forms from member group by cik, episode_no) m
+            on m.cik = uni.cik and m.announced = uni.announced""",
         "resumed_verdicts": UNIVERSE + """select cik, announced::varchar as announced, resolved_accession as accession,
             case when cik % 3 = 1 then 'confirmed' else 'redone' end as status from uni where label = 'terminated'""",
         "feature_frame": frame_sql + f"select {', '.join(features)} from events where {_LABELLED}",

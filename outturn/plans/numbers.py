@@ -48,6 +48,9 @@ def rejected_scenarios(spark: SparkSession, sf: str) -> DataFrame:
             "tax_rate": F.when(F.col("scenario_id") % 7 == 0, 1.0).otherwise(F.col("tax_rate")),
             "synergy_phasing": F.col("synergy_phasing") + F.when(F.col("scenario_id") % 5 == 0, 1.0).otherwise(0.0),
             "t_share_price": F.when(F.col("scenario_id") % 11 == 0, 0.0).otherwise(F.col("t_share_price")),
+            "new_debt_rate": F.when(F.col("scenario_id") % 13 == 0, 1.5).otherwise(0.06),
+            "forgone_cash_yield": F.when(F.col("scenario_id") % 17 == 0, -0.1).otherwise(0.02),
+            "intangible_life_years": F.when(F.col("scenario_id") % 19 == 0, 0.0).otherwise(10.0),
         }
     )
     return plain(validate(odd)[1].select("scenario_id", "problems"))
@@ -146,7 +149,7 @@ def full_model_report(spark: SparkSession, sf: str) -> DataFrame:
     from outturn.plans.deals import SPLIT_YEAR
 
     labelled, censored = _frames(spark, sf)
-    return plain(model_report(labelled, censored, SPLIT_YEAR, rounds=5))
+    return plain(model_report(labelled, censored, SPLIT_YEAR))
 
 
 QUERIES = {
@@ -290,9 +293,12 @@ def oracles() -> dict[str, str]:
             round(forgone, 3) as forgone_interest, round(amort, 3) as incremental_amortisation,
             round((alone * shares - (income - syn)) / ((1 - tax_rate) * synergy_phasing), 3) as synergies_for_breakeven from z5""",
         "rejected_scenarios": f"""with sc as ({A.SCENARIOS}), p as (select scenario_id, concat_ws('|',
+             case when scenario_id % 13 = 0 then 'new_debt_rate must be between 0 and 1' end,
+             case when scenario_id % 17 = 0 then 'forgone_cash_yield must be between 0 and 1' end,
              case when synergy_phasing + case when scenario_id % 5 = 0 then 1 else 0 end > 1 then 'synergy_phasing must be between 0 and 1' end,
              case when scenario_id % 7 = 0 then 'tax_rate must be in [0, 1)' end,
-             case when scenario_id % 11 = 0 then 't_share_price must be positive' end) as problems from sc)
+             case when scenario_id % 11 = 0 then 't_share_price must be positive' end,
+             case when scenario_id % 19 = 0 then 'intangible_life_years must be positive' end) as problems from sc)
             select * from p where problems <> ''""",
         "tornado": _tornado_sql(),
         "variance_decomposition": _decomposition_sql(),

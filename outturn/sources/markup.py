@@ -22,7 +22,7 @@ def _entity_table() -> Column:
 def _code_point(number: Column) -> Column:
     """The character with this number; numbers that name none become U+FFFD.
 
-    128 to 159 are read as windows-1252, as browsers do.
+    128 to 159 are read as windows-1252, as browsers do; control codes and noncharacters vanish.
     """
     as_text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     remapped = F.element_at(
@@ -30,19 +30,26 @@ def _code_point(number: Column) -> Column:
         (number - 127).cast("int"),
     )
     invalid = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF) | number.isNull()
-    return F.when(invalid, "\ufffd").when(number.between(128, 159), remapped).otherwise(as_text)
+    silent = (
+        number.between(1, 8) | number.isin(0x0B, 0x7F) | number.between(0x0E, 0x1F) | number.between(0xFDD0, 0xFDEF)
+        | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    return F.when(invalid, "\ufffd").when(silent, "").when(number.between(128, 159), remapped).otherwise(as_text)
 
 
 def _decoded(entity: Column, table: Column) -> Column:
     """One matched entity to its text; unknown names stay as written."""
     name = F.regexp_extract(entity, P.ENTITY, 1)
     rest = F.regexp_replace(entity, "^&", "")
-    hexadecimal = F.conv(F.substring(name, 3, 16), 16, 10).try_cast("bigint")
-    decimal = F.substring(name, 2, 20).try_cast("bigint")
+    # without leading zeros, more digits than these are beyond every character
+    hex_digits = F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]*)$", 1)
+    hexadecimal = F.when(F.length(hex_digits) <= 8, F.conv(F.concat(F.lit("0"), hex_digits), 16, 10).try_cast("bigint"))
+    digits = F.regexp_extract(name, "^#0*([0-9]*)$", 1)
+    decimal = F.when(F.length(digits) <= 10, F.concat(F.lit("0"), digits).try_cast("bigint"))
     prefixes = [
         F.when(
             F.length(name) >= n,
-            F.concat(F.try_element_at(table, F.substring(name, 1, n)), F.substring(rest, n + 1, 1 << 20)),
+            F.concat(F.try_element_at(table, F.substring(name, 1, n)), F.substring(rest, F.lit(n + 1), F.length(rest))),
         )
         for n in range(_LEGACY_NAME_CHARS, 1, -1)
     ]

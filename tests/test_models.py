@@ -244,3 +244,37 @@ def test_chi_square_tail():
     assert chi_square_tail(5.991464547107979, 2) == pytest.approx(0.05)
     assert chi_square_tail(7.814727903251179, 3) == pytest.approx(0.05)
     assert chi_square_tail(11.070497693516351, 5) == pytest.approx(0.05)
+
+
+def test_draws_do_not_depend_on_ranges(spark):
+    from outturn.operators.scoring import bootstrap_sums
+
+    rows = spark.range(400).selectExpr("(id * 37 % 101) / 101.0 as p", "cast(id % 7 = 0 as int) as y")
+    before, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            out.append([(r["draw"], r["pos"], r["neg"], r["won"], round(r["sq_error"], 9)) for r in bootstrap_sums(rows, 20).orderBy("draw").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]
+
+
+def test_levels_that_training_never_had_get_no_column(spark):
+    from outturn.functions import vocab
+    from outturn.operators.models import fit_preprocessing
+
+    numbers = vocab.NUMERIC_FEATURES + vocab.BINARY_FEATURES
+    first, *others = vocab.CATEGORICAL_FEATURES
+    rows = spark.range(60).selectExpr(
+        "id", *[f"cast(id % 5 as double) as {c}" for c in numbers], *[f"'x' as {c}" for c in others],
+        f"case when id < 30 then 'a' when id < 58 then 'b' else 'few' end as {first}",
+    )
+    ready = fit_preprocessing(rows)
+
+    def hot(level):
+        row = ready.transform(rows.limit(1).withColumn(first, F.lit(level))).first()
+        return row[f"{first}_hot"].toArray().tolist()
+
+    assert sum(hot("a")) == sum(hot("b")) == sum(hot("few")) == 1 and len({tuple(hot(x)) for x in ("a", "b", "few")}) == 3
+    assert sum(hot("NEVER_SEEN")) == 0

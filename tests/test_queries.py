@@ -6,8 +6,6 @@ import __spark_entry__ as registered
 from compare import connect, difference
 
 ORACLES = registered.oracle_sql()
-# fits many models; run by hand through compare.py
-SLOW = {"model_report"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert difference(registered.queries()[name](spark, sf_dir), duck, ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert registered.queries()[name](spark, sf_dir).count() > 0
 

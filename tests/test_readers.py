@@ -89,3 +89,15 @@ def test_rows_round_trip(spark, tmp_path):
     tables.write_rows(spark.createDataFrame([(2, "b"), (1, "a")], schema), path)
     assert [r["cik"] for r in tables.read_rows(spark, path, schema).orderBy("cik").collect()] == [1, 2]
     assert tables.slim(spark.createDataFrame([(1, "a")], schema), ["announced", "gone"]).columns == ["announced"]
+
+
+def test_references_of_any_length(spark):
+    import html
+
+    cases = [
+        "&#0000000000000000000000065;", "&#x00000000000000000041;", "a&#1;b", "a&#x0B;b", "&#xFDD0;x", "&#x1FFFF;", "&#0;", "&#x110000;",
+        "&#99999999999999999999999999;", "&#xFFFFFFFFFFFFFFFFFFFF;", "&#128;", "&#13;x", "&#x;", "x&amp" + "A" * (2 << 20) + "TAIL", "&#000;", "&notit;",
+    ]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r["i"]: r["u"] for r in rows.select("i", markup.unescape(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(cases))] == [html.unescape(c) for c in cases]
