@@ -51,7 +51,13 @@ def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordB
 def map_texts(
     df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str
 ) -> DataFrame:
-    """Runs ``make()`` once per task and its result on slices of each Arrow batch of ``columns``."""
+    """Runs ``make()`` once per task and its result on slices of each Arrow batch of ``columns``.
+
+    The session's Arrow batches are kept to as many rows, as a worker holds a batch of whole texts in memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

@@ -26,7 +26,7 @@ SPACE = "▁"
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = np.int32(2**31 - 1)
 #: Distinct words whose pieces a task remembers before it starts anew; longer words are not remembered.
-REMEMBERED, LONG_WORD = 300_000, 48
+REMEMBERED, LONG_WORD = 150_000, 48
 
 
 class Vocabulary:

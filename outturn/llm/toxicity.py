@@ -32,7 +32,7 @@ LABELLED, LEARNT = 8_000, 400
 #: Lengths of the stems that are tried, and the least odds (at the lower end of their interval) of a pattern that is kept.
 STEMS, LEAST_ODDS = range(3, 9), 3.0
 #: Distinct words whose patterns a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Words that a negation reaches over.
 SCOPE = 4
 
@@ -166,7 +166,7 @@ def _count_patterns(rows: DataFrame) -> DataFrame:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pattern in {p for w in set(words_of(text or "")) for p in patterns_of(w)}:
                     counts.setdefault(pattern, [0, 0])[label] += 1
-                if len(counts) > 400_000:
+                if len(counts) > 100_000:
                     yield flush(counts)
                     counts = {}
         yield flush(counts)

@@ -22,7 +22,7 @@ from outturn.llm.common import column_of, map_texts, texts_of
 from outturn.llm.pieces import SPACE, vocabulary
 
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class Automaton:
