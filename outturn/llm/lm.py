@@ -200,6 +200,8 @@ def fresh(seed: int = 1) -> dict[str, np.ndarray]:
 
 #: Scored place i of a window sees the inputs up to its own.
 FUTURE = np.where(np.arange(WINDOW)[None] > np.arange(WINDOW - SCORED, WINDOW)[:, None], np.float32(-1e9), np.float32(0))
+#: Row sums as products with a vector of ones.
+ONES = np.ones(max(CLASSES, SIZE // CLASSES), np.float32)
 
 
 class Prior:
@@ -266,6 +268,9 @@ def forward(
     flat = e.reshape(-1, WIDTH)
     both = (flat @ np.hstack([w["k"], w["v"]])).reshape(b, WINDOW, 2 * WIDTH)
     k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    # a column of ones after the values gives the sum of each row's weights in the same product
+    counted = np.ones((b, WINDOW, WIDTH + 1), np.float32)
+    counted[:, :, :WIDTH] = v
     last = np.ascontiguousarray(e[:, WINDOW - SCORED :])
     q = (last.reshape(-1, WIDTH) @ (w["q"] * np.float32(1 / math.sqrt(WIDTH)))).reshape(b, SCORED, WIDTH)
     a = q @ k.transpose(0, 2, 1)
@@ -273,10 +278,9 @@ def forward(
     if a.max() > 60:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    total = a.sum(2, keepdims=True)
-    c = a @ v
-    c /= total
-    c = c.reshape(-1, WIDTH)
+    c = (a @ counted).reshape(-1, WIDTH + 1)
+    total = c[:, WIDTH:]
+    c = c[:, :WIDTH] / total
     u = last.reshape(-1, WIDTH) + c @ w["o"]
     h = u @ w["hidden"]
     h += w["shift"]
@@ -297,11 +301,11 @@ def forward(
     out = by_class[rows, group]
     within = inside[rows, member[order]]
     p_class, p_inside = np.exp(by_class, out=by_class), np.exp(inside, out=inside)
-    sum_class, sum_inside = p_class.sum(1), p_inside.sum(1)
+    sum_class, sum_inside = p_class @ ONES[:CLASSES], p_inside @ ONES[: SIZE // CLASSES]
     out -= np.log(sum_class)
     out[order] += within - np.log(sum_inside)
     if keep is not None:
-        keep |= dict(e=e, k=k, v=v, q=q, a=a / total, c=c, u=u, h=h, last=last, group=group, member=member, order=order, ends=ends, sorted_h=sorted_h,
+        keep |= dict(e=e, k=k, v=v, q=q, a=a / total.reshape(b, SCORED, 1), c=c, u=u, h=h, last=last, group=group, member=member, order=order, ends=ends, sorted_h=sorted_h,
                      p_class=p_class / sum_class[:, None], p_inside=p_inside / sum_inside[:, None])
     return out.reshape(targets.shape)
 
