@@ -99,23 +99,40 @@ def _day_sums(patterns: DataFrame, scaled: list[Column], beta: np.ndarray) -> di
 
 
 def _derivatives(s: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood, gradient, Hessian and event-averaged risk means, ties by Efron."""
+    """Log likelihood, gradient, Hessian and event-averaged risk means, ties by Efron.
+
+    Tied events take away growing shares of the day's deaths. Everything follows from six sums over the shares.
+    """
     k = s["dx"].shape[1]
     loglik, gradient, hessian = 0.0, s["dx"].sum(axis=0), np.zeros((k, k))
     means = np.zeros_like(s["dx"])
     for t in np.flatnonzero(s["d"] > 0):
-        share = np.arange(int(s["d"][t])) / s["d"][t]
-        r0 = s["risk"][0][t] - share * s["died"][0][t]
-        r1 = s["risk"][1][t] - share[:, None] * s["died"][1][t]
-        r2 = s["risk"][2][t] - share[:, None, None] * s["died"][2][t]
-        mean = r1 / r0[:, None]
-        loglik -= np.log(r0).sum()
-        means[t] = mean.mean(axis=0)
-        gradient = gradient - mean.sum(axis=0)
-        hessian -= (r2 / r0[:, None, None]).sum(axis=0) - np.einsum("li,lj->ij", mean, mean)
+        (r0, r1, r2), (d0, d1, d2) = ([part[t] for part in s[name]] for name in ("risk", "died"))
+        logs, one, first, one2, first2, second2 = _tie_sums(r0, d0, int(s["d"][t]))
+        mean = r1 * one - d1 * first
+        crossed = np.outer(r1, d1)
+        loglik -= logs
+        means[t] = mean / s["d"][t]
+        gradient = gradient - mean
+        hessian -= r2 * one - d2 * first
+        hessian += np.outer(r1, r1) * one2 - (crossed + crossed.T) * first2 + np.outer(d1, d1) * second2
     return loglik, gradient, hessian, means
 
 
+def _tie_sums(risk: float, died: float, ties: int, block: int = 1 << 16) -> np.ndarray:
+    """Sums over shares q = 0, 1/ties, ... below 1 of log r, 1/r, q/r, 1/r^2, q/r^2 and q^2/r^2, r = risk - q * died.
+
+    The shares are taken in blocks, so memory does not grow with the ties.
+    """
+    out = np.zeros(6)
+    for start in range(0, ties, block):
+        q = np.arange(start, min(ties, start + block)) / ties
+        r = risk - q * died
+        i = 1 / r
+        out += [np.log(r).sum(), i.sum(), (q * i).sum(), (i * i).sum(), (q * i * i).sum(), (q * q * i * i).sum()]
+    return out
+
+
 def fit_hazard(
     frame: DataFrame,
     covariates: list[str] = vocab.STRUCTURE_COVARIATES,

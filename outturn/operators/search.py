@@ -29,7 +29,7 @@ def search_deals(
     query: str | None = None,
     shell: bool | None = None,
 ) -> DataFrame:
-    """Every matching deal; see :func:`page` and ``count`` for a page with its total."""
+    """Every matching deal; see :func:`page_with_total` for a page with its total."""
     found = universe
     if label:
         found = found.where(F.col("label") == label)
@@ -52,6 +52,14 @@ def page(found: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return found.orderBy("announced", "cik").offset(offset).limit(limit)
 
 
+def page_with_total(found: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page whose rows carry ``total``, the number of all matching rows.
+
+    ``found`` is read twice; cut it first where it is costly. A page beyond the end has no rows.
+    """
+    return page(found, limit, offset).withColumn("total", F.lit(found.count()).cast("bigint"))
+
+
 def with_status(verdicts: DataFrame, status: str | None = None) -> DataFrame:
     return verdicts.where(F.col("status") == status) if status else verdicts
 

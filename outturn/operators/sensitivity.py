@@ -64,17 +64,20 @@ def uniform_draws(ranges: Ranges, samples: int, seed: int) -> np.ndarray:
     )
 
 
-def _variance_shares(standardised: np.ndarray, outputs: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared coefficients of the standardised regression as shares, and its R squared."""
+def _variance_shares(
+    design: np.ndarray, solver: np.ndarray, usable: np.ndarray, outputs: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """Squared coefficients of the standardised regression as shares, and its R squared.
+
+    ``solver`` is the pseudo-inverse of ``design``, whose columns are the ``usable`` draws and a constant.
+    """
     spread = outputs.std(ddof=1)
     if spread == 0:
-        return np.zeros(standardised.shape[1]), 0.0
+        return np.zeros(len(usable)), 0.0
     y = (outputs - outputs.mean()) / spread
-    usable = standardised.any(axis=0)
-    design = np.column_stack([standardised[:, usable], np.ones(len(y))])
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+    beta = solver @ y
     residual = ((y - design @ beta) ** 2).sum()
-    squares = np.zeros(standardised.shape[1])
+    squares = np.zeros(len(usable))
     squares[usable] = beta[:-1] ** 2
     return squares / (squares.sum() or 1.0), max(0.0, 1.0 - residual / (y**2).sum())
 
@@ -98,6 +101,9 @@ def variance_decomposition(
     standardised = np.divide(
         draws - draws.mean(axis=0), spread, out=np.zeros_like(draws), where=spread > 0
     )
+    usable = standardised.any(axis=0)
+    design = np.column_stack([standardised[:, usable], np.ones(samples)])
+    solver = np.linalg.pinv(design)
     columns = {n: draws[:, i] for i, n in enumerate(names)}
 
     def accretion(x: dict) -> np.ndarray:
@@ -108,7 +114,7 @@ def variance_decomposition(
             out = []
             for row in batch.to_dict("records"):
                 y = np.broadcast_to(accretion(row | columns), samples)
-                shares, r_squared = _variance_shares(standardised, y)
+                shares, r_squared = _variance_shares(design, solver, usable, y)
                 low, high = np.percentile(y, [5, 95])
                 out.append(
                     (row[key], float(accretion(row)), y.mean(), y.std(ddof=1), low, high,

@@ -224,8 +224,11 @@ def dataset_counts(universe: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def summary(universe: DataFrame, data_cut: str | date) -> DataFrame:
-    """(section, metric, value) rows of the headline report, ready to be written."""
+def summary(universe: DataFrame, data_cut: str | date, members: DataFrame) -> DataFrame:
+    """(section, metric, value) rows of the headline report, ready to be written.
+
+    ``members`` are the announcement filings of the universe's episodes.
+    """
     def long(df: DataFrame, section: str, key: str | None, values: list[str]) -> DataFrame:
         metric = F.col("_m") if key is None else F.concat_ws(":", F.col(key).cast("string"), "_m")
         doubled = df.select(*([key] if key else []), *[F.col(v).cast("double").alias(v) for v in values])
@@ -234,6 +237,8 @@ def summary(universe: DataFrame, data_cut: str | date) -> DataFrame:
         )
 
     rates = outcome_rates(universe)
+    window = reliable_window(universe, data_cut)
+    censored = window.select(F.explode("right_censored_years").alias("year"), F.lit(1).alias("censored"))
     rate_columns = [c for c in rates.columns if c != "segment"]
     return (
         long(label_counts(universe), "labels", "label", ["n"])
@@ -243,5 +248,7 @@ def summary(universe: DataFrame, data_cut: str | date) -> DataFrame:
         .unionAll(long(break_rate_by_year(universe), "break_rate_by_year", "year", ["break_rate"]))
         .unionAll(long(item_coverage(universe), "item_code_coverage", "year", ["coverage"]))
         .unionAll(long(top_categories(universe), "top_sic", "sic_description", ["n"]))
-        .unionAll(long(reliable_window(universe, data_cut), "reliable_window", None, ["first_usable_year"]))
+        .unionAll(long(window, "reliable_window", None, ["first_usable_year"]))
+        .unionAll(long(censored, "right_censored_years", "year", ["censored"]))
+        .unionAll(long(form_frequencies(members), "announcement_forms", "form", ["n"]))
     )

@@ -141,10 +141,15 @@ def break_rate_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return plain(summary.break_rate_by_year(universe(spark, sf)))
 
 
-def form_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Announcement filings of the episodes of known companies."""
     days = announcement_days(_filings(spark, sf))
     known = A.companies(spark, sf).select("cik")
-    return plain(summary.form_frequencies(episode_filings(_announcements(spark, sf), days).join(known, "cik")))
+    return episode_filings(_announcements(spark, sf), days).join(known, "cik")
+
+
+def form_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(summary.form_frequencies(_members(spark, sf)))
 
 
 def top_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,8 +161,8 @@ def announcement_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole report in one table; the parts are checked one by one elsewhere."""
-    return plain(summary.summary(cut(universe(spark, sf)), DATA_CUT))
+    """The whole report in one table."""
+    return plain(summary.summary(cut(universe(spark, sf)), DATA_CUT, _members(spark, sf)))
 
 
 def announcement_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,8 +200,8 @@ def deal_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deal_page(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.search_deals(universe(spark, sf), year=1995)
-    return plain(search.page(found, limit=50, offset=20).select("cik", "announced", "label"))
+    found = cut(search.search_deals(universe(spark, sf), year=1995).select("cik", "announced", "label"))
+    return plain(search.page_with_total(found, limit=50, offset=20))
 
 
 def validation_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,6 +451,46 @@ def _curve_at(column: str, day: int, start: str) -> str:
     return f"coalesce(max_by({column}, day) filter (day <= {day}), {start})"
 
 
+def _long_sql(source: str, section: str, key: str | None, columns: list[str]) -> str:
+    """The columns of a small table as (section, metric, value) rows."""
+    before = f"{key}::varchar || ':' || " if key else ""
+    return " union all ".join(
+        f"select '{section}' as section, {before}'{c}' as metric, {c}::double as value from {source}" for c in columns
+    )
+
+
+def _summary_sql() -> str:
+    parts = {
+        "p_labels": f"""select label, coalesce(n, 0) as n from (values {', '.join(f"('{x}')" for x in vocab.LABELS)}) l(label)
+            left join (select label, count(*) as n from uni group by label) using (label)""",
+        "p_rates": f"""select 'all' as segment, {_RATES} from uni
+            union all select case when shell then 'shell' else 'operating' end, {_RATES} from uni group by 1""",
+        "p_close": """select len(v) as n, v[len(v) // 10 + 1] as p10, v[len(v) // 2 + 1] as median, v[len(v) * 9 // 10 + 1] as p90
+            from (select list(days_to_resolution order by days_to_resolution) as v from uni where label in ('completed','completed_shell'))""",
+        "p_years": f"select year, {_LABEL_COUNTS} from uni group by year",
+        "p_breaks": f"""select year, round(count(*) filter (label = 'terminated')::double
+            / greatest(count(*) filter ({_RESOLVED}), 1), 6) as break_rate from uni group by year""",
+        "p_items": f"select year, round({_ITEM_SHARE}, 6) as coverage from uni group by year",
+        "p_sic": "select sic_description, count(*) as n from uni where sic_description <> '' group by 1 order by n desc, 1 limit 15",
+        "p_window": f"select min(year) filter (coverage >= {vocab.ITEM_COVERAGE_FLOOR}) as first_usable_year from p_items",
+        "p_censored": f"select year, 1 as censored from p_items where date '{DATA_CUT}' - make_date(year, 12, 31) < 365",
+        "p_forms": "select form, count(*) as n from member where cik in (select cik from co) group by form",
+    }
+    rates = [
+        "episodes", "resolved", "completed", "break_events", "unresolved", "acquirer_side", "not_registrant",
+        "completion_rate", "unresolved_share",
+    ]
+    rows = [
+        ("p_labels", "labels", "label", ["n"]), ("p_rates", "rates", "segment", rates),
+        ("p_close", "sign_to_close_days", None, ["n", "p10", "median", "p90"]), ("p_years", "by_year", "year", vocab.LABELS),
+        ("p_breaks", "break_rate_by_year", "year", ["break_rate"]), ("p_items", "item_code_coverage", "year", ["coverage"]),
+        ("p_sic", "top_sic", "sic_description", ["n"]), ("p_window", "reliable_window", None, ["first_usable_year"]),
+        ("p_censored", "right_censored_years", "year", ["censored"]), ("p_forms", "announcement_forms", "form", ["n"]),
+    ]
+    tables = "".join(f", {name} as materialized ({sql})" for name, sql in parts.items())
+    return UNIVERSE + tables + " " + " union all ".join(_long_sql(*r) for r in rows)
+
+
 def oracles() -> dict[str, str]:
     frame_sql = _frame_sql()
     episode_columns = """select cik, episode_no::bigint as episode_no, announced::varchar as announced,
@@ -500,6 +545,7 @@ def oracles() -> dict[str, str]:
              / greatest(count(*) filter ({_RESOLVED}), 1), 6) as break_rate from uni group by year""",
         "form_frequencies": UNIVERSE + "select form, count(*) as n from member where cik in (select cik from co) group by form",
         "top_categories": UNIVERSE + "select sic_description, count(*) as n from uni where sic_description <> '' group by 1 order by n desc, 1 limit 15",
+        "summary_report": _summary_sql(),
         "announcement_stats": _episodes_sql() + "select count(*) as announcement_filings, count(distinct cik) as distinct_ciks from ann",
         "announcement_reports": _episodes_sql() + """, cand as (select e.cik, e.episode_no,
               min((abs(i.filed - e.announced), i.filed, i.accession, i.form)) as best
@@ -517,7 +563,7 @@ def oracles() -> dict[str, str]:
             where {_RESOLVED} and announced >= date '1995-01-01' and announced < date '1997-01-01'""",
         "deal_search": UNIVERSE + """select cik, announced::varchar as announced, company, ticker as tickers from uni
             where label = 'completed' and not shell and (lower(company) like '%t1%' or lower(ticker) like '%t1%')""",
-        "deal_page": UNIVERSE + "select cik, announced::varchar as announced, label from uni where year = 1995 order by uni.announced, cik limit 50 offset 20",
+        "deal_page": UNIVERSE + "select cik, announced::varchar as announced, label, count(*) over () as total from uni where year = 1995 order by uni.announced, cik limit 50 offset 20",
         "validation_sample": UNIVERSE + """select cik, announced::varchar as announced, label from uni
             order by md5('7|' || cik::varchar || '|' || uni.announced::varchar), cik, uni.announced limit 40""",
         "deal_export": UNIVERSE + """select uni.cik, company, sic_description, ticker as tickers, uni.announced::varchar as announced, label,

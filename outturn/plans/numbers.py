@@ -66,7 +66,7 @@ def decomposition(spark: SparkSession, sf: str) -> DataFrame:
         found.select(
             "scenario_id", "base_accretion_pct", "mean_accretion_pct", "std_accretion_pp", "p5", "p95",
             "share_accretive", "linear_r_squared",
-            *[F.col("share_of_variance")[n].alias(f"share_{n}") for n in vocab.ASSUMPTION_RANGES],
+            *[F.col("share_of_variance")[n].alias(f"share_{n}") for n in vocab.ASSUMPTION_RANGES], "dominant", "samples",
         )
     )
 
@@ -216,16 +216,20 @@ def _decomposition_sql() -> str:
     total = " + ".join(f"b_{n} * b_{n}" for n in names)
     shares = ", ".join(f"round(b_{n} * b_{n} / ({total}), 6) as share_{n}" for n in names)
     fit = " + ".join(f"b_{n} * xy_{n} / sd" for n in names)
+    named = " union all ".join(f"select scenario_id, '{n}' as name, b_{n} * b_{n} / ({total}) as share from b" for n in names)
     varied = _staged("moved", "scenario_id, " + ", ".join(f"x_{n}" for n in names))
     return f"""with draw({columns}) as (values {values}), sc as materialized ({A.SCENARIOS}),
 moved as (select {moved} from sc cross join draw), {varied},
 m as (select scenario_id, avg(acc) as mean, stddev_samp(acc) as sd, quantile_cont(acc, 0.05) as p5, quantile_cont(acc, 0.95) as p95,
   avg((acc > 0)::int::double) as pos, {xy} from z5 group by scenario_id),
 b as (select *, {beta} from m),
-base as (with {_staged('sc', 'scenario_id')} select scenario_id, acc from z5)
-select scenario_id, round(base.acc, 6) as base_accretion_pct, round(mean, 6) as mean_accretion_pct, round(sd, 6) as std_accretion_pp,
+base as (with {_staged('sc', 'scenario_id')} select scenario_id, acc from z5),
+ranked as (select *, coalesce(sum(share) over (partition by scenario_id order by share desc, name
+  rows between unbounded preceding and 1 preceding), 0) as before from ({named})),
+dom as (select scenario_id, string_agg(name, '|' order by share desc, name) filter (before < 0.8) as dominant from ranked group by scenario_id)
+select scenario_id, dominant, {SAMPLES} as samples, round(base.acc, 6) as base_accretion_pct, round(mean, 6) as mean_accretion_pct, round(sd, 6) as std_accretion_pp,
   round(p5, 6) as p5, round(p95, 6) as p95, round(pos, 6) as share_accretive, round(({fit}) / {SAMPLES - 1}, 6) as linear_r_squared, {shares}
-from b join base using (scenario_id)"""
+from b join base using (scenario_id) join dom using (scenario_id)"""
 
 
 def _tornado_sql() -> str:

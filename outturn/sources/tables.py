@@ -22,8 +22,11 @@ def write_rows(rows: DataFrame, path: str, order: list[str] = ("announced", "cik
 
 
 def write_payload(payload: DataFrame, path: str) -> None:
-    """A result summary: (section, metric, value) rows, or a one-row struct, as JSON."""
-    payload.coalesce(1).write.mode("overwrite").json(path)
+    """A result summary: (section, metric, value) rows, or a one-row struct, as JSON.
+
+    Only the last, small rows meet in one task; what computes them stays spread.
+    """
+    payload.repartition(1).write.mode("overwrite").json(path)
 
 
 def slim(rows: DataFrame, keep: list[str]) -> DataFrame:

@@ -278,3 +278,27 @@ def test_levels_that_training_never_had_get_no_column(spark):
 
     assert sum(hot("a")) == sum(hot("b")) == sum(hot("few")) == 1 and len({tuple(hot(x)) for x in ("a", "b", "few")}) == 3
     assert sum(hot("NEVER_SEEN")) == 0
+
+
+def test_tie_sums_in_blocks_equal_the_whole():
+    from outturn.operators.hazard import _tie_sums
+
+    q = np.arange(1000) / 1000
+    r = 5000.0 - q * 900.0
+    whole = [np.log(r).sum(), (1 / r).sum(), (q / r).sum(), (1 / r**2).sum(), (q / r**2).sum(), (q**2 / r**2).sum()]
+    assert _tie_sums(5000.0, 900.0, 1000, block=64) == pytest.approx(np.array(whole), rel=1e-12)
+
+
+def test_a_million_ties_stay_in_bounded_memory():
+    import tracemalloc
+
+    from outturn.operators.hazard import _derivatives
+
+    ties, k = 1_000_000, 4
+    one = [np.array([2.0 * ties]), np.ones((1, k)), np.ones((1, k, k))]
+    sums = {"risk": one, "died": [a / 2 for a in one], "d": np.array([float(ties)]), "n": np.array([2.0 * ties]), "dx": np.ones((1, k))}
+    tracemalloc.start()
+    _derivatives(sums)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
