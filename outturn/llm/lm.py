@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,13 +90,16 @@ class Trie:
         kind = np.where(self.chars[at] == points, at + 1, 0)
         kind = np.r_[kind, np.zeros(self.longest, np.int64)]
         n = len(points)
-        node, size, found = np.ones(n, np.int64), np.ones(n, np.int64), np.full(n, -1, np.int64)
+        size, found = np.ones(n, np.int64), np.full(n, -1, np.int64)
+        walking, node = np.arange(n), np.ones(n, np.int64)  # places from which a longer piece may still come
         for k in range(self.longest):
-            node = self.table[node, kind[k : n + k]]
-            hit = self.final[node]
-            size[hit >= 0], found[hit >= 0] = k + 1, hit[hit >= 0]
-            if not node.any():
+            node = self.table[node, kind[walking + k]]
+            walking, node = walking[node > 0], node[node > 0]
+            if not len(walking):
                 break
+            hit = self.final[node]
+            good = walking[hit >= 0]
+            size[good], found[good] = k + 1, hit[hit >= 0]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         chosen = np.zeros(n, bool)
@@ -110,6 +113,8 @@ class Trie:
             place, ends = place[live], ends[live]
         where = np.flatnonzero(chosen)
         ids, widths = found[where], np.ones(len(where), np.int64)
+        plain = (ids < 0) & (points[where] < 128)
+        ids[plain] = points[where[plain]] + BYTES
         odd = np.flatnonzero(ids < 0)
         if len(odd):
             spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) + BYTES for c in points[where[odd]].tolist()]
@@ -170,7 +175,7 @@ class Speller:
             self.flat, self.row = np.r_[self.flat, ids.astype(np.int16)], np.r_[self.row, row.astype(np.int16)]
             place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        word = np.fromiter((place[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+        word = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         per_word = self.count[word]
         at = ranges(self.start[word], per_word)
         totals = np.r_[0, np.cumsum(per_word)]
