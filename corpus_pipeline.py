@@ -18,9 +18,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+#: Near copies share four fifths of their five-word shingles; the query op8_jaccard_join has a rule of its own.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    groups = jaccard.near_copies(docs)
+    groups = jaccard.near_copies(docs, percent=NEAR_PERCENT, n=NEAR_WORDS)
     extra = staged(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
     return docs.join(extra, "doc_id", "left_anti")
 
