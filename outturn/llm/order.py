@@ -5,17 +5,19 @@ order, a bijection that any task can compute and invert. Rows are dealt to shard
 of records of equal length, so that slot s lies at byte (s mod per_shard) * record length of shard s / per_shard:
 reading goes forward and resumes at any slot.
 
-Token ids here are the bytes of UTF-8 with two ids that never occur in it, END and PAD, so one byte holds an id; any table
-of fixed-length binary records can be materialised the same way.
+Documents are rows of ``ids array<int>``, written little-endian at a fixed width (``Ids``) with an end and a pad id that the
+vocabulary doesn't use otherwise. A table that has ``text`` in place of ids is written as the bytes of UTF-8.
 
-Results of corner cases: a null or empty text is a sequence of END alone; repeated rows have sequences of their own; rows
-with a null id are left out; an empty table makes no shard.
+Results of corner cases: a null or empty text, or null or empty ids, is a sequence of the end id alone; repeated rows have
+sequences of their own; rows with a null id are left out; an empty table makes no shard; an id that doesn't fit the width is
+an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outturn.llm.buckets import bucket_of, id_bounds, partitions
-from outturn.llm.common import map_texts, shared_folder
+from outturn.llm.common import map_texts, shared_folder, staged
 from outturn.llm.jaccard import MIX, scramble
+from outturn.llm.pieces import encode, vocabulary
 
-END, PAD = 255, 254
+
+@dataclass(frozen=True)
+class Ids:
+    """How ids are written: bytes of an id, the id after a document, and the id that fills its last record."""
+
+    width: int
+    end: int
+    pad: int
+
+    def pack(self, ids) -> bytes:
+        values = np.asarray(ids, np.int64)
+        if len(values) and not 0 <= values.min() <= values.max() < 1 << 8 * self.width:
+            raise ValueError(f"ids do not fit {self.width} bytes")
+        return values.astype(f"<u{self.width}").tobytes()
+
+    def unpack(self, record: bytes) -> np.ndarray:
+        return np.frombuffer(record, f"<u{self.width}").astype(np.int64)
+
+
+#: UTF-8 never has the bytes 254 and 255.
+UTF8 = Ids(1, 255, 254)
 #: Ids of a record, records of a shard, rounds of the permutation.
 LENGTH, PER_SHARD, ROUNDS = 1024, 2048, 6
 
@@ -50,10 +73,19 @@ def permuted(number: np.ndarray, total: int, key: int, back: bool = False) -> np
     return x.astype(np.int64)
 
 
+def ids_of(model_path: str) -> Ids:
+    """Two bytes an id where the vocabulary and a pad id fit them, else four."""
+    words = vocabulary(model_path)
+    width = 2 if words.size < 1 << 16 else 4
+    return Ids(width, words.end, (1 << 8 * width) - 1)
+
+
 def numbered(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """Documents with the number of their first sequence, by id, and the number of sequences."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    count = F.floor((F.octet_length("text") + length) / length).cast("bigint")
+    """Documents (doc_id, body: ids or text) with the number of their first sequence, by id, and the number of sequences."""
+    body = F.coalesce("ids", F.array().cast("array<int>")) if "ids" in documents.columns else F.coalesce("text", F.lit(""))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("body")).where("doc_id is not null")
+    size = F.size("body") if "ids" in documents.columns else F.octet_length("body")
+    count = F.floor((size + length) / length).cast("bigint")
     sizes = docs.groupBy("doc_id").agg(F.sum(count).alias("n"))
     # a bucket holds a bounded range of ids; only the totals of buckets reach the driver
     bounds = id_bounds(docs, partitions(docs))
@@ -69,24 +101,28 @@ def numbered(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int
     return docs.join(first.select("doc_id", (F.col("start") + F.col("upto") - F.col("n")).alias("first")), "doc_id"), start
 
 
-def sequences(documents: DataFrame, total: int, key: int, length: int = LENGTH) -> DataFrame:
+def sequences(documents: DataFrame, total: int, key: int, length: int = LENGTH, kind: Ids = UTF8) -> DataFrame:
     """Rows (slot, doc_id, seq_no, ids) of fixed-length records."""
+    size = length * kind.width
+    end, pad = kind.pack([kind.end]), kind.pack([kind.pad])
 
     def make():
         seen: dict[int, int] = {}  # rows of an equal id lie together and go on counting
 
         def step(batch):
             docs, numbers, firsts, records = [], [], [], []
-            for doc, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass") + bytes([END])
-                data += bytes([PAD]) * (-len(data) % length)
-                n, k0 = len(data) // length, seen.get(doc, 0)
+            # ids stay arrays: lists of Python numbers would take many times their space
+            for doc, body, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = body.as_py().encode("utf-8", "surrogatepass") if pa.types.is_string(body.type) else kind.pack(body.values.to_numpy(zero_copy_only=False))
+                data += end
+                data += pad * (-len(data) % size // kind.width)
+                n, k0 = len(data) // size, seen.get(doc, 0)
                 seen.clear()
                 seen[doc] = k0 + n
                 docs += [doc] * n
                 numbers += range(k0, k0 + n)
                 firsts += [first] * n
-                records += [data[k * length : (k + 1) * length] for k in range(n)]
+                records += [data[k * size : (k + 1) * size] for k in range(n)]
             slot = permuted(np.array(firsts, np.int64) + np.array(numbers, np.int64), total, key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(records, pa.binary())],
@@ -95,16 +131,16 @@ def sequences(documents: DataFrame, total: int, key: int, length: int = LENGTH)
 
         return step
 
-    return map_texts(documents, ["doc_id", "text", "first"], make, "slot bigint, doc_id bigint, seq_no bigint, ids binary")
+    return map_texts(documents, ["doc_id", "body", "first"], make, "slot bigint, doc_id bigint, seq_no bigint, ids binary")
 
 
 SHARD = "shard bigint, first_slot bigint, doc_id array<bigint>, seq_no array<bigint>, body binary"
 
 
-def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> int:
-    """Writes all sequences in training order under ``path``; returns their number."""
+def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8) -> int:
+    """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``ids`` or ``text``."""
     docs, total = numbered(documents, length)
-    rows = sequences(docs.sortWithinPartitions("doc_id", "text"), total, key, length).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
+    rows = sequences(docs.sortWithinPartitions("doc_id", "body"), total, key, length, kind).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
     dealt = rows.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches):
@@ -131,36 +167,42 @@ def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH
     return total
 
 
-def read_records(spark: SparkSession, path: str, first_slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def read_records(spark: SparkSession, path: str, first_slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8) -> DataFrame:
     """Records from a slot on: (slot, shard, at, doc_id, seq_no, ids); earlier shards are not read."""
+    size = length * kind.width
     shards = spark.read.schema(SHARD).parquet(path).where(F.col("shard") >= first_slot // per_shard)
 
     def run(batches):
         for batch in batches:
             for number, start, docs, seqs, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.arange(len(docs)) * length
+                at = np.arange(len(docs)) * size
                 keep = start + np.arange(len(docs)) >= first_slot
-                ids = [body[a : a + length] for a in at]
+                ids = [body[a : a + size] for a in at]
                 columns = [pa.array(start + np.arange(len(docs))), pa.array([number] * len(docs), pa.int64()), pa.array(at), pa.array(docs, pa.int64()), pa.array(seqs, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], ["slot", "shard", "at", "doc_id", "seq_no", "ids"])
 
     return shards.mapInArrow(run, "slot bigint, shard bigint, at bigint, doc_id bigint, seq_no bigint, ids binary")
 
 
-def materialise(documents: DataFrame, key: int = 20_240_229) -> DataFrame:
+def tokenised(documents: DataFrame, model_path: str) -> DataFrame:
+    """doc_id and the piece ids of each text, encoded once: they are counted and dealt from what was written."""
+    return staged(encode(documents.where("doc_id is not null"), model_path, end=False), "ids")
+
+
+def materialise(documents: DataFrame, key: int = 20_240_229, kind: Ids = UTF8) -> DataFrame:
     """Writes the shards to the shared folder and returns one row for each record read back, with its SHA-256."""
     spark = documents.sparkSession
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(documents, path, key)
+    write_shards(documents, path, key, kind=kind)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(5).to_pylist()
-            length = [len(x.rstrip(bytes([PAD]))) for x in ids]
+            length = [int(np.count_nonzero(kind.unpack(x) != kind.pad)) for x in ids]
             digest = [hashlib.sha256(x).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(length, pa.int32()), pa.array(digest)], ["slot", "shard", "at", "doc_id", "seq_no", "n_ids", "ids_sha256"]
             )
 
     schema = "slot bigint, shard bigint, at bigint, doc_id bigint, seq_no bigint, n_ids int, ids_sha256 string"
-    return read_records(spark, path).mapInArrow(run, schema)
+    return read_records(spark, path, kind=kind).mapInArrow(run, schema)

@@ -1,9 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
+
 import corpus_pipeline
+import numpy as np
+import sentencepiece
 from test_operators import brute_components
 
+from outturn.llm import order
 from outturn.llm.common import table
+from outturn.llm.queries import QUERIES, model_path
 
 
 def test_near_copy_stage_takes_five_words_and_four_fifths(spark, sf_dir):
@@ -12,3 +18,30 @@ def test_near_copy_stage_takes_five_words_and_four_fifths(spark, sf_dir):
     groups = brute_components([r["text"] for r in rows], 80, 5)
     kept = corpus_pipeline.one_of_near_copies(spark, docs, sf_dir).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in kept] == [r["doc_id"] for i, r in enumerate(rows) if groups[i][1] == i]
+
+
+def test_training_order_holds_piece_ids(spark, sf_dir):
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    rows = QUERIES["op3_training_order"](spark, sf_dir).orderBy("doc_id", "seq_no").collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    expected = []
+    for d in table(spark, sf_dir, "documents").orderBy("doc_id").collect():
+        ids = [*library.encode(d["text"] or ""), library.eos_id()]
+        for k in range(0, len(ids), order.LENGTH):
+            part = ids[k : k + order.LENGTH]
+            record = np.array(part + [65535] * (order.LENGTH - len(part)), "<u2").tobytes()
+            expected.append((d["doc_id"], k // order.LENGTH, len(part), hashlib.sha256(record).hexdigest()))
+    assert [(r["doc_id"], r["seq_no"], r["n_ids"], r["ids_sha256"]) for r in rows] == expected
+
+
+def test_ids_are_read_back_from_any_slot(spark, tmp_path):
+    kind, path = order.Ids(4, 2, 2**32 - 1), str(tmp_path / "shards")
+    docs = [(1, [70_000, 5, 6]), (2, []), (3, None), (4, list(range(100_000, 100_009)))]
+    total = order.write_shards(spark.createDataFrame(docs, "doc_id long, ids array<int>"), path, 3, 4, 2, kind)
+    rows = order.read_records(spark, path, 0, 4, 2, kind).orderBy("doc_id", "seq_no").collect()
+    assert total == len(rows) == 6 and all(r["at"] == r["slot"] % 2 * 16 for r in rows)
+    for doc, ids in docs:
+        got = np.concatenate([kind.unpack(r["ids"]) for r in rows if r["doc_id"] == doc]).tolist()
+        want = [*(ids or []), 2]
+        assert got == want + [kind.pad] * (-len(want) % 4)
+    assert {r["slot"] for r in order.read_records(spark, path, 3, 4, 2, kind).collect()} == {3, 4, 5}
