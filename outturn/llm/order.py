@@ -140,7 +140,9 @@ SHARD = "shard bigint, first_slot bigint, doc_id array<bigint>, seq_no array<big
 def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8) -> int:
     """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``ids`` or ``text``."""
     docs, total = numbered(documents, length)
-    rows = sequences(docs.sortWithinPartitions("doc_id", "body"), total, key, length, kind).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
+    # the join's own exchange may be split or read by mapper; this one keeps rows of an equal id in one task
+    together = docs.repartition(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "body")
+    rows = sequences(together, total, key, length, kind).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
     dealt = rows.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches):

@@ -45,3 +45,22 @@ def test_ids_are_read_back_from_any_slot(spark, tmp_path):
         want = [*(ids or []), 2]
         assert got == want + [kind.pad] * (-len(want) % 4)
     assert {r["slot"] for r in order.read_records(spark, path, 3, 4, 2, kind).collect()} == {3, 4, 5}
+
+
+def test_copies_of_an_id_in_several_tasks(spark, tmp_path, monkeypatch):
+    texts = [f"{'x' * (k % 90)} {k}" for k in range(400)]
+    docs = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    numbered = order.numbered
+
+    def dealt(*args):  # as a join read by mapper, or one split as skewed, leaves its rows
+        rows, total = numbered(*args)
+        return rows.repartition(16), total
+
+    monkeypatch.setattr(order, "numbered", dealt)
+    total = order.write_shards(docs, str(tmp_path / "shards"), 5, length=32, per_shard=16)
+    rows = order.read_records(spark, str(tmp_path / "shards"), 0, 32, 16).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(total))
+    for d in range(3):
+        body = b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["seq_no"]) if r["doc_id"] == d)
+        parts = sorted(p.lstrip(b"\xfe") for p in body.split(b"\xff") if p.strip(b"\xfe"))
+        assert parts == sorted(t.encode() for k, t in enumerate(texts) if k % 3 == d)
