@@ -6,8 +6,8 @@ hidden layer, and a softmax in two steps (class, then id in the class). Its logi
 whole training corpus, so what it knows grows with the input. Windows overlap: each gives context to the ids at its end,
 and every id is scored once, in batches.
 
-Training: a fixed share of the spans of every training document is written as windows; each task trains a copy of the weights on its windows,
-copies are averaged by Spark, and that is repeated for a few rounds.
+Training: all spans of all training documents are made into windows; each task trains a copy of the weights on its windows in one
+pass, and the copies are averaged by Spark.
 
 The word base (counts of words and ends, add one) is exact: frequent words are looked up in a table of at most
 ``FREQUENT`` words, the others meet their counts in a join.
@@ -42,8 +42,8 @@ BACK = 20.0
 #: Widths of embeddings and of the hidden layer, hashed pairs, ids of a window and ids scored in it.
 WIDTH, HIDDEN, PAIRS = 16, 32, 2048
 WINDOW, SCORED = 32, 24
-#: One of so many spans of every training document is trained on; rounds of averaging; windows of a step; rate of a step.
-SHARE, ROUNDS, STEP, RATE = 32, 3, 32, 0.1
+#: Rounds of averaging over all spans; windows of a step; rate of a step.
+ROUNDS, STEP, RATE = 1, 32, 0.1
 #: Bound of the words of the broadcast table, and of the words that a task counts before it hands them on.
 FREQUENT, COUNTED = 200_000, 400_000
 REMEMBERED = 400_000
@@ -384,10 +384,12 @@ def windows(flat: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.
     return padded[at], hashed[at], context[at[:, WINDOW - SCORED :]], targets, place < counts[owner][:, None], owner
 
 
-def train(w: dict, prior: Prior, inputs, pairs, before, targets, valid, seed: int) -> dict:
-    """One pass of scaled gradient steps over the windows, in a seeded order."""
+def train(w: dict, prior: Prior, inputs, pairs, before, targets, valid, seed: int, seen: dict | None = None) -> dict:
+    """One pass of scaled gradient steps over the windows, in a seeded order; the scales in ``seen`` go on from call to call."""
     w = {k: v.copy() for k, v in w.items()}
-    seen = {k: np.full_like(v, 1e-6) for k, v in w.items()}
+    seen = {} if seen is None else seen
+    for k, v in w.items():
+        seen.setdefault(k, np.full_like(v, 1e-6))
     order = np.random.default_rng(seed).permutation(len(inputs))
     for at in range(0, len(order), STEP):
         pick = order[at : at + STEP]
@@ -460,30 +462,34 @@ def pair_counts(counts: DataFrame, names: list[str]) -> np.ndarray:
     return out.reshape(SIZE + 1, SIZE + 1)
 
 
-#: Words of a training span.
-SPAN = 64
+#: Words of a training span; spans after which a task hands them on.
+SPAN, SPANS = 64, 1024
 
 
 def training_spans(training: DataFrame, names: list[str], shared) -> DataFrame:
-    """Ids of a fixed share of the spans of every training document, picked by a hash of id and place."""
+    """Ids of all spans of every training document."""
 
     def make():
         speller = Speller(Trie(names), pickle.loads(shared.value))
 
         def step(batch):
-            picked = []
-            for doc, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
+            held = []
+            for text in texts_of(batch):
                 words = [*words_of(text), b""]
-                spans = np.arange(-(-len(words) // SPAN), dtype=np.uint64)
-                chosen = np.flatnonzero(scramble(spans * MIX[0] + np.array([(doc or 0) % 2**64], np.uint64) * MIX[1]) % np.uint64(SHARE) == 0)
-                picked += [words[k * SPAN : (k + 1) * SPAN] for k in chosen.tolist()]
-            flat, rows, counts = speller.ids(picked)
-            if picked:
-                yield pa.RecordBatch.from_arrays([lists(flat, counts, pa.int16()), lists(rows, counts, pa.int16())], ["ids", "contexts"])
+                held += [words[k : k + SPAN] for k in range(0, len(words), SPAN)]
+                if len(held) >= SPANS:
+                    yield record(held)
+                    held = []
+            if held:
+                yield record(held)
+
+        def record(spans):
+            flat, rows, counts = speller.ids(spans)
+            return pa.RecordBatch.from_arrays([lists(flat, counts, pa.int16()), lists(rows, counts, pa.int16())], ["ids", "contexts"])
 
         return step
 
-    return map_texts(training, ["doc_id", "text"], make, "ids array<smallint>, contexts array<smallint>")
+    return map_texts(training, ["text"], make, "ids array<smallint>, contexts array<smallint>")
 
 
 def train_rounds(spans: DataFrame, prior: Prior) -> dict[str, np.ndarray]:
@@ -497,12 +503,12 @@ def train_rounds(spans: DataFrame, prior: Prior) -> dict[str, np.ndarray]:
 
         def run(batches, shared=shared, turn=turn):
             w, p = pickle.loads(shared.value)
-            n = 0
+            n, seen = 0, {}
             for batch in batches:
                 column = batch.column(0)
                 counts = np.diff(column.offsets.to_numpy())
                 *made, _ = windows(column.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), counts.astype(np.int64))
-                w = train(w, p, *made, turn)
+                w = train(w, p, *made, turn, seen)
                 n += len(made[0])
             if n:
                 flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64)
@@ -559,7 +565,7 @@ def score_texts(documents: DataFrame, path: str, modulus: int = 7, out: int = 2)
     names = inventory(path, words, weight)
     prior = Prior(pair_counts(counts, names), (*spell(words, Trie(names)), weight))
     spans = training_spans(training, names, spark.sparkContext.broadcast(pickle.dumps(prior)))
-    weights = train_rounds(staged(spans, "spans"), prior)
+    weights = train_rounds(spans if ROUNDS == 1 else staged(spans, "spans"), prior)
     shared = spark.sparkContext.broadcast(pickle.dumps((weights, prior, frequent)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 

@@ -7,7 +7,7 @@ import numpy as np
 import sentencepiece
 from test_operators import brute_components
 
-from outturn.llm import order
+from outturn.llm import lm, order
 from outturn.llm.common import table
 from outturn.llm.queries import QUERIES, model_path
 
@@ -64,3 +64,18 @@ def test_copies_of_an_id_in_several_tasks(spark, tmp_path, monkeypatch):
         body = b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["seq_no"]) if r["doc_id"] == d)
         parts = sorted(p.lstrip(b"\xfe") for p in body.split(b"\xff") if p.strip(b"\xfe"))
         assert parts == sorted(t.encode() for k, t in enumerate(texts) if k % 3 == d)
+
+
+def test_training_takes_every_span(spark):
+    import pickle
+
+    words, weight = [b"alpha", b"beta"], np.array([2.0, 1.0])
+    names = lm.inventory(model_path(), words, weight)
+    prior = lm.Prior(np.ones((lm.SIZE + 1, lm.SIZE + 1)), (*lm.spell(words, lm.Trie(names)), weight))
+    texts = [None, "alpha", *(" ".join(["alpha beta"] * n) for n in (5, 31, 32, 33, 700))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = lm.training_spans(docs, names, spark.sparkContext.broadcast(pickle.dumps(prior))).collect()
+    sizes = [len((t or "").split()) + 1 for t in texts]
+    assert len(spans) == sum(-(-n // lm.SPAN) for n in sizes)
+    whole = lm.Speller(lm.Trie(names), prior).ids([[*lm.words_of(t or ""), b""] for t in texts])[2].sum()
+    assert sum(len(r["ids"]) for r in spans) == whole
