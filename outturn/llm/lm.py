@@ -9,7 +9,7 @@ and every id is scored once, in batches.
 Training: all spans of all training documents are made into windows; each task trains a copy of the weights on its windows in one
 pass, and the copies are averaged by Spark.
 
-The word base (counts of words and ends, add one) is exact: frequent words are looked up in a table of at most
+Pieces of the inventory, id pairs and contexts are counted over all words. The word base (counts of words and ends, add one) is exact: frequent words are looked up in a table of at most
 ``FREQUENT`` words, the others meet their counts in a join.
 
 Results of corner cases: a null or empty text is one end token; without training rows all counts are 0 and the pair table is
@@ -25,7 +25,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.llm.common import column_of, lists, map_texts, ranges, remainder, staged, texts_of
@@ -51,11 +51,18 @@ REMEMBERED = 400_000
 
 def inventory(path: str, words: list[bytes], counts: np.ndarray) -> list[str]:
     """The space mark and the pieces that the model file's encoding of these words uses most, weighted by their counts."""
+    return most_used(path, piece_weights(path, words, counts))
+
+
+def piece_weights(path: str, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     source = vocabulary(path)
-    names = {i: n for n, i in source.ids.items()}
     spelled = [SPACE + w.decode("utf-8", "surrogatepass") for w in words if w]
     ids, sizes = source.encode_words(spelled)
-    weight = np.bincount(ids, weights=np.repeat(counts[[k for k, w in enumerate(words) if w]], sizes), minlength=source.size)
+    return np.bincount(ids, weights=np.repeat(counts[[k for k, w in enumerate(words) if w]], sizes), minlength=source.size)
+
+
+def most_used(path: str, weight: np.ndarray) -> list[str]:
+    names = {i: n for n, i in vocabulary(path).ids.items()}
     order = np.argsort(-weight, kind="stable")
     ascii_ = {chr(b) for b in range(128)}
     used = [names[i] for i in order.tolist() if weight[i] > 0 and i in names and names[i] not in ascii_ and names[i] != SPACE]
@@ -209,16 +216,37 @@ FUTURE = np.where(np.arange(WINDOW)[None] > np.arange(WINDOW - SCORED, WINDOW)[:
 ONES = np.ones(max(CLASSES, SIZE // CLASSES), np.float32)
 
 
+def beginnings(ids: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, last id, id that follows, weight) at each place of words behind their first id."""
+    hashes = prefix_hashes(ids, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[owner]
+    following = np.where(place == sizes[owner] - 1, BOUND, np.r_[ids[1:], [0]])
+    deep = np.flatnonzero((place > 0) & (hashes != 0))
+    return hashes[deep], ids[deep], following[deep], weight[owner[deep]]
+
+
+def followers(known: np.ndarray, hashes: np.ndarray, following: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of weights by known hash and id that follows."""
+    out = np.zeros((len(known), SIZE + 1))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        use = known[at] == hashes
+        np.add.at(out, (at[use], following[use]), weight[use])
+    return out
+
+
 class Prior:
     """log P(class | context) and log P(id | class, context) from counts.
 
     A context is the previous id, or the beginning of the word so far where that is one of the CONTEXTS most frequent ones.
     """
 
-    def __init__(self, counts: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    def __init__(self, counts: np.ndarray, words: tuple | None = None, contexts: tuple | None = None) -> None:
         """``counts[a, b]``: b after a inside words; row and column BOUND stand for the space between words and the end.
 
-        ``words``: flat ids, number of ids and count of each frequent word.
+        ``contexts``: hashes (sorted), last ids and counts of followers of the beginnings of words that have a row; or
+        ``words``: flat ids, number of ids and count of each word, from which they are made.
         """
         inside, starts = counts[:SIZE, :SIZE], counts[BOUND, :SIZE]
         start = (starts + 0.01) / (starts + 0.01).sum()
@@ -228,23 +256,13 @@ class Prior:
         next_ = np.hstack([inside, counts[:SIZE, BOUND:]])
         flat = np.r_[0.5 * any_, 0.5]
         chance = (next_ + 4.0 * flat) / (next_.sum(1, keepdims=True) + 4.0)
-        ids, sizes, weight = words
-        hashes = prefix_hashes(ids, sizes)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[owner]
-        following = np.where(place == sizes[owner] - 1, BOUND, np.r_[ids[1:], [0]])
-        deep = np.flatnonzero((place > 0) & (hashes != 0))
-        self.known, back = np.unique(hashes[deep], return_inverse=True)
-        mass = np.bincount(back, weights=weight[owner[deep]], minlength=len(self.known))
-        top = np.sort(np.argsort(-mass, kind="stable")[:CONTEXTS])
-        rank = np.full(len(self.known), -1)
-        rank[top] = np.arange(len(top))
-        use = rank[back] >= 0
-        seen = np.zeros((len(top), SIZE + 1))
-        np.add.at(seen, (rank[back[use]], following[deep[use]]), weight[owner[deep[use]]])
-        last = np.zeros(len(top), np.int64)
-        last[rank[back[use]]] = ids[deep[use]]
-        self.known = self.known[top]
+        if contexts is None:
+            hashes, last, following, weight = beginnings(*words)
+            known, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            mass = np.bincount(back, weights=weight, minlength=len(known))
+            top = np.sort(np.argsort(-mass, kind="stable")[:CONTEXTS])
+            contexts = known[top], last[at[top]], followers(known[top], hashes, following, weight)
+        self.known, last, seen = contexts
         longer = (seen + BACK * chance[last]) / (seen.sum(1, keepdims=True) + BACK)
         rows = np.vstack([chance, longer])
         rows = rows[:, :SIZE] + rows[:, SIZE:] * start
@@ -462,6 +480,105 @@ def pair_counts(counts: DataFrame, names: list[str]) -> np.ndarray:
     return out.reshape(SIZE + 1, SIZE + 1)
 
 
+def summed(counts: DataFrame, make, keys: list[str]) -> DataFrame:
+    """Sums over all words, by ``keys``, of the n of ``make()`` on batches of words and their counts."""
+
+    def run(batches):
+        step = make()
+        for batch in batches:
+            *columns, n = step([bytes(w) for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(n)], [*keys, "n"])
+
+    schema = ", ".join(f"{k} bigint" for k in keys) + ", n double"
+    return counts.select("word", "c").mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def counted_inventory(counts: DataFrame, path: str) -> list[str]:
+    """``inventory`` over all words; one row for each used piece of the vocabulary reaches the driver."""
+
+    def make():
+        def step(words, c):
+            weight = piece_weights(path, words, c)
+            at = np.flatnonzero(weight)
+            return at, weight[at]
+
+        return step
+
+    rows = summed(counts, make, ["id"]).toPandas()
+    weight = np.zeros(vocabulary(path).size)
+    weight[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return most_used(path, weight)
+
+
+def counted_contexts(counts: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The CONTEXTS heaviest beginnings over all words, their last ids and what follows them."""
+
+    def masses():
+        trie = Trie(names)
+
+        def step(words, c):
+            hashes, last, _, weight = beginnings(*spell(words, trie), c)
+            known, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            return known.view(np.int64), last[at], np.bincount(back, weights=weight, minlength=len(known))
+
+        return step
+
+    top = summed(counts, masses, ["hash", "last"]).orderBy(F.desc("n"), "hash").limit(CONTEXTS).toPandas()
+    known, last = top["hash"].to_numpy(np.int64).view(np.uint64), top["last"].to_numpy(np.int64)
+    order = np.argsort(known)
+    known, last = known[order], last[order]
+
+    def follow():
+        trie = Trie(names)
+
+        def step(words, c):
+            hashes, _, following, weight = beginnings(*spell(words, trie), c)
+            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+            use = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+            pair, back = np.unique(at[use] * (SIZE + 1) + following[use], return_inverse=True)
+            return pair, np.bincount(back, weights=weight[use], minlength=len(pair))
+
+        return step
+
+    seen = np.zeros(len(known) * (SIZE + 1))
+    if len(known):
+        rows = summed(counts, follow, ["pair"]).toPandas()
+        seen[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return known, last, seen.reshape(len(known), SIZE + 1)
+
+
+#: Bits of a key that one histogram tells apart.
+DIGITS = 13
+
+
+def least_fitting(rows: DataFrame, key: Column, most: int, room: int) -> tuple[int, int]:
+    """The least bound that at most ``room`` rows reach by their key in 0..most, and the number of those rows."""
+    shift, reached = max(0, most.bit_length() - DIGITS), 0
+    while True:
+        digit = F.shiftright(key, shift)
+        for d, n in sorted(rows.groupBy(digit.alias("d")).count().collect(), reverse=True):
+            if reached + n > room:
+                break
+            reached += n
+        else:
+            return 0, reached
+        if not shift:
+            return d + 1, reached
+        rows = rows.where(digit == d)
+        shift = max(0, shift - DIGITS)
+
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The FREQUENT words of the largest counts, and the others; a large tie at the edge is cut by hash."""
+    least, reached = least_fitting(counts, F.col("c"), most, FREQUENT)
+    chosen = F.col("c") >= least
+    if least and reached < FREQUENT // 2:
+        mixed = F.xxhash64("word").bitwiseAND(F.lit(2**62 - 1))
+        bound, _ = least_fitting(counts.where(F.col("c") == least - 1), mixed, 2**62 - 1, FREQUENT - reached)
+        chosen = chosen | ((F.col("c") == least - 1) & (mixed >= bound))
+    return counts.where(chosen), counts.where(~chosen)
+
+
 #: Words of a training span; spans after which a task hands them on.
 SPAN, SPANS = 64, 1024
 
@@ -552,18 +669,11 @@ def score_texts(documents: DataFrame, path: str, modulus: int = 7, out: int = 2)
     documents = documents.select("doc_id", "text")
     training = documents.where(remainder(F.col("doc_id"), modulus) != out)
     counts = staged(word_counts(training), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the least count whose words fit the table; the histogram has at most as many rows as its cap
-    tail, least = 0, 10_001
-    for c, n in sorted(counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().collect(), reverse=True):
-        if tail + n > FREQUENT:
-            break
-        tail, least = tail + n, c
-    top = sorted((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()) if least <= 10_000 else []
-    frequent = {word: math.log10(c + 1) for word, c in top}
-    words, weight = [word for word, _ in top], np.array([c for _, c in top], float)
-    names = inventory(path, words, weight)
-    prior = Prior(pair_counts(counts, names), (*spell(words, Trie(names)), weight))
+    total, kinds, most = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max("c"), F.lit(0))).first()
+    top, others = frequent_words(counts, most)
+    frequent = {bytes(r["word"]): math.log10(r["c"] + 1) for r in top.collect()}
+    names = counted_inventory(counts, path)
+    prior = Prior(pair_counts(counts, names), contexts=counted_contexts(counts, names))
     spans = training_spans(training, names, spark.sparkContext.broadcast(pickle.dumps(prior)))
     weights = train_rounds(spans if ROUNDS == 1 else staged(spans, "spans"), prior)
     shared = spark.sparkContext.broadcast(pickle.dumps((weights, prior, frequent)))
@@ -598,7 +708,7 @@ def score_texts(documents: DataFrame, path: str, modulus: int = 7, out: int = 2)
 
     schema = f"doc_id {kind}, n_tokens bigint, met bigint, sums double, score double, rare array<binary>"
     scored = staged(map_texts(documents, ["doc_id", "text"], make, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("c") < least), "word")
+    rest = scored.select("row", F.explode("rare").alias("word")).join(others, "word")
     rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     lost = float(math.log10(total + kinds + 1))
     return scored.drop("rare").join(rest, "row", "left").select(

@@ -79,3 +79,24 @@ def test_training_takes_every_span(spark):
     assert len(spans) == sum(-(-n // lm.SPAN) for n in sizes)
     whole = lm.Speller(lm.Trie(names), prior).ids([[*lm.words_of(t or ""), b""] for t in texts])[2].sum()
     assert sum(len(r["ids"]) for r in spans) == whole
+
+
+def test_word_table_is_never_empty(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    for sizes in ([20_000] * 9, [30_000, *[20_000] * 9, 3], [50_000, 40_000, 20_001, 20_000, 20_000, 7, 7, 7], [4, 4], [10**12, 1, 1, 1, 1, 1, 1]):
+        counts = spark.createDataFrame([(b"w%d" % k, c) for k, c in enumerate(sizes)], "word binary, c long")
+        top, others = (df.collect() for df in lm.frequent_words(counts, max(sizes)))
+        assert 0 < len(top) <= 5 and len(top) + len(others) == len(sizes) and not {bytes(r["word"]) for r in top} & {bytes(r["word"]) for r in others}
+        assert min(r["c"] for r in top) >= max((r["c"] for r in others), default=0)
+
+
+def test_scores_do_not_depend_on_the_word_table(spark, monkeypatch):
+    # 40 words of equal counts above 10,000: more than the table holds
+    docs = spark.createDataFrame([(k, " ".join(["government"] * 8 + [f"internal{j % 40}" for j in range(400)]) * 3) for k in range(500)], "doc_id long, text string")
+    got = []
+    for bound in (200_000, 20):
+        monkeypatch.setattr(lm, "FREQUENT", bound)
+        got.append({r["doc_id"]: r for r in lm.score_texts(docs, model_path()).collect()})
+    for d, r in got[0].items():
+        assert got[1][d]["n_known"] == r["n_known"] and abs(got[1][d]["base_score"] - r["base_score"]) < 1e-6
+        assert abs(got[1][d]["score"] - r["score"]) < 0.05 * abs(r["score"]) + 1
