@@ -38,6 +38,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``staged`` wrote, once what was made of them has been written as well."""
+    for df in frames:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus), F.lit(0)).cast("int")
