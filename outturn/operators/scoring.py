@@ -5,6 +5,8 @@ Every operator takes rows of (p, y): the predicted probability of a break and 0/
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from outturn.functions import vocab
 from outturn.functions.lineage import cut
-from outturn.functions.ranks import interpolated, running_sums, _range_edges, _range_of
+from outturn.functions.ranks import interpolated, running_sums
 
 def _p() -> Column:
     return F.col("p")
@@ -107,40 +109,77 @@ def expected_value(
     )
 
 
+#: Poisson(1) by inversion of 32-bit draws: the weight is the number of these that a draw reaches.
+POISSON = [int(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)]
+#: Cells and copies that are weighted at a time.
+WEIGHED = 512
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit; the same steps are plain arithmetic in SQL."""
+    low = np.uint64(2**32 - 1)
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D) & low
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def poisson_weights(p: np.ndarray, y: int, counts: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """For each cell the weights of its rows in each draw: a row's is a function of score, outcome, copy, draw and seed."""
+    place = np.floor(p * 2.0**52).astype(np.uint64)
+    key = mixed(mixed(np.uint64(seed) ^ (place & np.uint64(2**32 - 1))) ^ (place >> np.uint64(32)))
+    key = mixed(key ^ np.uint64(y))
+    out = np.zeros((len(p), draws), np.int64)
+    draw = np.arange(draws, dtype=np.uint64)
+    limits = np.array(POISSON, np.uint64)
+    for first in range(0, int(counts.max(initial=0)), WEIGHED):
+        here = np.flatnonzero(counts > first)
+        size = np.minimum(counts[here] - first, WEIGHED)
+        for at in range(0, len(here), WEIGHED):
+            cell, n = here[at : at + WEIGHED], size[at : at + WEIGHED]
+            for copy in range(int(n.max())):
+                which = cell[n > copy]
+                drawn = mixed(mixed(key[which] ^ np.uint64(first + copy))[:, None] ^ draw)
+                out[which] += np.searchsorted(limits, drawn, "right")
+    return out
+
+
 def bootstrap_sums(scores: DataFrame, draws: int = 400, seed: int = 0) -> DataFrame:
     """Per draw, the weighted sums any statistic of (p, y) is a function of.
 
     Every row gets a Poisson(1) weight per draw, which approximates resampling with
-    replacement at a size that varies slightly. Rows with the same (p, y) are combined
-    first, and their joint weight is Poisson of their count, drawn from a generator that is
-    seeded by the score itself, so the ranges don't matter. The scores are cut into ranges;
-    each range is weighted for all draws at once in one task and leaves one row per draw,
-    so nothing is multiplied by the number of draws on its way through a shuffle.
+    replacement at a size that varies slightly. The weight is computed from the row's score, outcome,
+    copy number, draw and seed alone, so neither ranges nor tasks have a say. Rows with the same (p, y) are
+    combined, the cells are sorted by range, and a task goes over its range in batches and leaves one row
+    per draw: nothing is multiplied by the number of draws on its way through a shuffle.
 
     Columns: draw, pos, neg, sq_error, won (pairs ranked correctly, ties half).
     """
-    cells = cut(_cells(scores))
-    edges = _range_edges(cells, "p")
-
-    def weigh(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("p")
-        pos_all, below, sq_error, won = (np.zeros(draws) for _ in range(4))
-        for p, pos_n, neg_n in zip(cells["p"].astype(float), cells["pos"], cells["neg"], strict=True):
-            rng = np.random.default_rng([seed, int(np.float64(p).view(np.uint64))])
-            pos, neg = rng.poisson(pos_n, draws), rng.poisson(neg_n, draws)
-            pos_all += pos
-            sq_error += pos * (1 - p) ** 2 + neg * p**2
-            won += pos * (below + 0.5 * neg)
-            below += neg
-        return pd.DataFrame(
-            {"range": key[0], "draw": np.arange(draws), "pos": pos_all, "neg": below, "sq_error": sq_error, "won": won}
-        )
-
-    schema = "range int, draw int, pos double, neg double, sq_error double, won double"
-    ranged = cells.withColumn("range", _range_of(_p(), edges))
-    parts = ranged.groupBy("range").applyInPandas(weigh, schema)
+
+    def weigh(batches):
+        pos, below, sq_error, won = (np.zeros(draws) for _ in range(4))
+        least = None
+        for cells in batches:
+            if least is None and len(cells):
+                least = float(cells["p"].iloc[0])
+            for at in range(0, len(cells), WEIGHED):
+                part = cells.iloc[at : at + WEIGHED]
+                p = part["p"].to_numpy(float)
+                one, zero = (poisson_weights(p, y, part[c].to_numpy(np.int64), draws, seed) for y, c in ((1, "pos"), (0, "neg")))
+                upto = below + np.cumsum(zero, 0)
+                won += (one * (upto - 0.5 * zero)).sum(0)
+                pos += one.sum(0)
+                sq_error += ((1 - p) ** 2) @ one + (p**2) @ zero
+                below = upto[-1]
+        if least is not None:
+            yield pd.DataFrame(
+                {"least": least, "draw": np.arange(draws), "pos": pos, "neg": below, "sq_error": sq_error, "won": won}
+            )
+
+    cells = cut(_cells(scores.where("p is not null")))
+    schema = "least double, draw int, pos double, neg double, sq_error double, won double"
+    parts = cells.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(weigh, schema)
     # pairs across ranges: every positive beats the negatives of the ranges below
-    across = running_sums(parts, "range", ["neg"], ["draw"], bounded=True)
+    across = running_sums(parts, "least", ["neg"], ["draw"], bounded=True)
     return across.groupBy("draw").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("sq_error").alias("sq_error"),
         F.sum(F.col("won") + F.col("pos") * F.col("neg_below")).alias("won"),

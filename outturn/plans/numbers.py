@@ -275,6 +275,32 @@ def _conformal_sql() -> str:
      from z group by method"""
 
 
+def _mixed_sql(source: str, *parts: str) -> str:
+    """``source`` with a column h: the parts entered one after the other into the hash of the draws."""
+    sql = f"select *, 0::ubigint as h from ({source})"
+    for part in parts:
+        sql = f"select * replace (xor(h, ({part})::ubigint) as h) from ({sql})"
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+            sql = f"select * replace ((xor(h, h >> {shift}) * {factor}::ubigint) % 4294967296::ubigint as h) from ({sql})"
+    return sql
+
+
+def _bootstrap_sql(draws: int = 400, seed: int = 0) -> str:
+    rows = f"""select p, y, copy, draw, floor(p * {_double(2.0 ** 52)})::ubigint as place
+      from (select p, y, row_number() over (partition by p, y) - 1 as copy from s), (select unnest(range({draws})) as draw)"""
+    first = f"xor({seed}::ubigint, place % 4294967296::ubigint)"
+    hashed = _mixed_sql(rows, first, "place >> 32", "y", "copy", "draw")
+    weight = " + ".join(f"(h >= {t}::ubigint)::int" for t in scoring.POISSON)
+    return f"""{_SCORES}, w as materialized (select p, y, draw, {weight} as weight from ({hashed})),
+     c as (select draw, p, sum(weight * y)::double as pos, sum(weight * (1 - y))::double as neg from w group by draw, p),
+     r as (select *, coalesce(sum(neg) over (partition by draw order by p rows between unbounded preceding and 1 preceding), 0) as below from c),
+     t as (select draw, sum(pos) as pos, sum(neg) as neg, sum(pos * (1 - p) * (1 - p) + neg * p * p) as sq, sum(pos * (below + 0.5 * neg)) as won
+       from r group by draw having sum(pos) > 0),
+     q as (select quantile_cont(sq / (pos + neg), [0.025, 0.975]) as brier, quantile_cont(won / nullif(pos * neg, 0), [0.025, 0.975]) as auc from t)
+     select 'brier' as statistic, round(brier[1], 6) as low, round(brier[2], 6) as high from q
+     union all select 'auc', round(auc[1], 6), round(auc[2], 6) from q"""
+
+
 def oracles() -> dict[str, str]:
     from outturn.plans.deals import DATA_CUT, _OUTCOMES
 
@@ -317,6 +343,7 @@ def oracles() -> dict[str, str]:
              from s, t group by threshold)
             select threshold, taken as deals_taken, round(taken::double / deals, 6) as share_taken, broke as breaks_taken,
              round((3.0 * (taken - broke) - 20.0 * broke) / nullif(taken, 0), 6) as ev_per_deal, 3.0::double * (taken - broke) - 20.0::double * broke as total from k""",
+        "bootstrap_intervals": _bootstrap_sql(),
         "conformal_coverage": _conformal_sql(),
         "split_counts": f"""{_SCORES}, c as (select y, count(*) as n from s group by y)
             select 'held' as part, y::bigint as y, round(n * 0.3)::bigint as n from c union all select 'rest', y, n - round(n * 0.3)::bigint from c""",
