@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
+from outturn.functions.keyfilter import key_filter
+from outturn.functions.lineage import cut
 
 
 def _lower_is_first() -> F.Column:
@@ -64,48 +66,33 @@ def press_releases(refs: DataFrame) -> DataFrame:
 def only_wanted(bodies: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """The documents someone asked for.
 
-    Done before any other join: the list of wanted keys is small next to the texts, so the
-    texts nobody wants are dropped where they are read and never shuffled.
+    A filter of the wanted keys is tested where the texts are read, so that those nobody wants are never shuffled, however many
+    keys there are; the join behind it drops what the filter let through by chance.
     """
-    asked = wanted.select(*keys).where(F.col(keys[0]).isNotNull()).distinct()
-    return bodies.join(asked, keys, "left_semi")
+    asked = cut(wanted.select(*keys).where(F.col(keys[0]).isNotNull()).distinct())
+    may = key_filter(asked, keys)
+    return bodies.where(may(*[F.col(k) for k in keys])).join(asked, keys, "left_semi")
 
 
 def announcement_texts(primary: DataFrame, releases: DataFrame, bodies: DataFrame) -> DataFrame:
     """accession, document, press_release and the two texts joined by a blank line.
 
-    ``bodies`` has accession, name and body. Only the chosen documents take part in the
-    text join.
+    ``bodies`` has accession, name and body. An accession is one row with both chosen names; the texts are dealt by
+    accession once, for the join, and put together where they are.
     """
-    chosen = primary.join(releases, "accession", "left").select(
-        "accession", F.col("name").alias("document"), "press_release"
+    chosen = cut(
+        primary.join(releases, "accession", "left").select("accession", F.col("name").alias("document"), "press_release")
     )
-    roles = chosen.select(
+    names = chosen.select("accession", F.explode(F.array_compact(F.array("document", "press_release"))).alias("name"))
+    may = key_filter(names, ["accession", "name"])
+    texts = bodies.select("accession", "name", "body").where(may(F.col("accession"), F.col("name")))
+    parts = {"main": "document", "release": "press_release"}
+    read = (
+        chosen.join(texts, "accession", "left")
+        .groupBy("accession", "document", "press_release")
+        .agg(*[F.max(F.when(F.col("name") == F.col(column), F.col("body"))).alias(part) for part, column in parts.items()])
+    )
+    return read.select(
         "accession", "document", "press_release",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.lit(0).alias("part"), F.col("document").alias("name")),
-                    F.when(
-                        F.col("press_release").isNotNull(),
-                        F.struct(F.lit(1).alias("part"), F.col("press_release").alias("name")),
-                    ),
-                )
-            )
-        ).alias("role"),
-    ).select("accession", "document", "press_release", "role.*")
-    key = ["accession", "name"]
-    texts = only_wanted(bodies.select(*key, "body"), roles, key)
-    read = roles.join(texts, key, "left")
-
-    def part(number: int) -> F.Column:
-        return F.max(F.when(F.col("part") == number, F.col("body")))
-
-    return (
-        read.groupBy("accession", "document", "press_release")
-        .agg(part(0).alias("main"), part(1).alias("release"))
-        .select(
-            "accession", "document", "press_release",
-            F.when(F.col("main").isNotNull(), F.concat_ws("\n\n", "main", "release")).alias("body"),
-        )
+        F.when(F.col("main").isNotNull(), F.concat_ws("\n\n", "main", "release")).alias("body"),
     )

@@ -16,7 +16,8 @@ from outturn.operators.inference import LogitFit, fit_logit
 from outturn.operators.models import TooFewEvents, fit_calibrated
 from outturn.operators.survival import curve_report
 
-SCHEMA = "section string, metric string, value double, n bigint"
+#: ``note`` says what a number can't: reasons of refusals, names of dropped covariates, years of a split.
+SCHEMA = "section string, metric string, value double, n bigint, note string"
 
 
 def _long(df: DataFrame, section: str, label: str | None = None) -> DataFrame:
@@ -26,35 +27,55 @@ def _long(df: DataFrame, section: str, label: str | None = None) -> DataFrame:
     metric = F.concat_ws(":", F.col(label).cast("string"), "_m") if label else F.col("_m")
     return typed.unpivot([label] if label else [], values, "_m", "value").select(
         F.lit(section).alias("section"), metric.alias("metric"), "value",
-        F.lit(None).cast("bigint").alias("n"),
+        F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("note"),
     )
 
 
 def _hazard_rows(section: str, fit: HazardFit) -> list[tuple]:
-    rows = [(section, "events", float(fit.events), fit.n)]
+    rows = [
+        (section, "fitted", float(fit.fitted), fit.n, fit.reason or None), (section, "events", float(fit.events), fit.n, None),
+    ]
     if fit.fitted:
         rows += [
-            (section, "concordance", fit.concordance, fit.n),
-            (section, "events_per_covariate", fit.events_per_covariate, fit.n),
+            (section, "concordance", fit.concordance, fit.n, None),
+            (section, "events_per_covariate", fit.events_per_covariate, fit.n, None),
+            (section, "penalizer", fit.penalizer, fit.n, None),
         ]
     names = ("hazard_ratio", "ci_low", "ci_high", "p", "proportional_hazards_p")
     return rows + [
-        (section, f"{row[0]}:{m}", float(v), fit.n) for row in fit.rows() for m, v in zip(names, row[1:])
+        (section, f"{row[0]}:{m}", float(v), fit.n, None) for row in fit.rows() for m, v in zip(names, row[1:])
     ]
 
 
 def _logit_rows(section: str, fit: LogitFit) -> list[tuple]:
-    rows = [(section, "events", float(fit.events), fit.n)]
+    rows = [
+        (section, "fitted", float(fit.fitted), fit.n, fit.reason or None), (section, "events", float(fit.events), fit.n, None),
+        (section, "dropped_as_constant", float(len(fit.dropped)), fit.n, "|".join(fit.dropped) or None),
+    ]
     if not fit.fitted:
         return rows
     rows += [
-        (section, "events_per_parameter", fit.events_per_parameter, fit.n),
-        (section, "pseudo_r_squared", fit.pseudo_r_squared, fit.n),
-        (section, "llr_p", fit.llr_p, fit.n),
-        (section, "carry_information", float(len(fit.carry_information)), fit.n),
+        (section, "parameters", float(fit.parameters), fit.n, None),
+        (section, "events_per_parameter", fit.events_per_parameter, fit.n, None),
+        (section, "underpowered", float(fit.underpowered), fit.n, None),
+        (section, "pseudo_r_squared", fit.pseudo_r_squared, fit.n, None),
+        (section, "llr_p", fit.llr_p, fit.n, None),
+        (section, "carry_information", float(len(fit.carry_information)), fit.n, "|".join(fit.carry_information) or None),
     ]
     names = ("odds_ratio", "ci_low", "ci_high", "p")
-    return rows + [(section, f"{c}:{m}", float(v), fit.n) for c, o in fit.odds.items() for m, v in zip(names, o)]
+    for c, odds in fit.odds.items():
+        rows += [(section, f"{c}:{m}", float(v), fit.n, None) for m, v in zip(names, odds)]
+        rows.append((section, f"{c}:crosses_one", float(odds[1] <= 1.0 <= odds[2]), fit.n, None))
+    return rows
+
+
+def _sizes(rows: DataFrame, section: str, part: str, note: str | None = None) -> DataFrame:
+    """Rows, breaks and share of breaks of a part of the frame."""
+    counts = rows.agg(
+        F.count(F.lit(1)).alias(f"{part}:deals"), F.coalesce(F.sum("broke"), F.lit(0)).alias(f"{part}:breaks"),
+        F.avg("broke").alias(f"{part}:base_rate"),
+    )
+    return _long(counts, section).withColumn("note", F.lit(note).cast("string"))
 
 
 def score_report(scored: DataFrame, base_rate: float, draws: int, seed: int, section: str) -> DataFrame:
@@ -77,10 +98,11 @@ def fit_and_score(
 ) -> DataFrame:
     """Trained before the cutoff year, tested from it on."""
     train, test = time_split(frame, cutoff_year)
+    sizes = _sizes(train, kind, "trained_on", f"<{cutoff_year}").unionAll(_sizes(test, kind, "tested_on", f">={cutoff_year}"))
     base_rate = train.agg(F.avg("broke")).first()[0]
     model = fit_calibrated(train, kind, seed, rounds=rounds)
     scored = model.score(test).withColumn("y", F.col("broke"))
-    return score_report(scored, base_rate, draws, seed, kind)
+    return sizes.unionAll(score_report(scored, base_rate, draws, seed, kind))
 
 
 def conformal_report(
@@ -97,7 +119,11 @@ def conformal_report(
     held, tested = (
         cut(model.score(part).select("p", F.col("broke").alias("y"))) for part in (calibration, test)
     )
-    return _long(conformal.coverage(held, tested, confidence), f"conformal:{split}", "method")
+    section = f"conformal:{split}"
+    return (
+        _sizes(calibration, section, "calibrated_on").unionAll(_sizes(test, section, "tested_on"))
+        .unionAll(_long(conformal.coverage(held, tested, confidence), section, "method"))
+    )
 
 
 def model_report(
@@ -108,7 +134,7 @@ def model_report(
     seed: int = 0,
     rounds: int = 200,
 ) -> DataFrame:
-    """(section, metric, value, n) rows. ``censored`` is the frame with pending deals."""
+    """(section, metric, value, n, note) rows. ``censored`` is the frame with pending deals."""
     spark = labelled.sparkSession
     labelled, censored = cut(labelled), cut(censored)
     small = [
@@ -127,7 +153,8 @@ def model_report(
     for section, fit in fits.items():
         try:
             parts.append(fit())
-        except TooFewEvents:
-            small.append((section, "fitted", 0.0, None))
+            small.append((section, "fitted", 1.0, None, None))
+        except TooFewEvents as reason:
+            small.append((section, "fitted", 0.0, None, str(reason)))
     parts.append(spark.createDataFrame(small, SCHEMA))
     return reduce(DataFrame.unionAll, parts)

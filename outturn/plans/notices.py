@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
 from outturn.functions import vocab
+from outturn.functions.lineage import cut
 from outturn.operators import search, summary
 from outturn.operators.breaks import classify, confirm_breaks
 from outturn.operators.documents import announcement_texts, press_releases, primary_documents
@@ -183,7 +184,7 @@ def primary_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def announcement_text_choice(spark: SparkSession, sf: str) -> DataFrame:
-    refs = A.adapt(spark, sf, REFS)
+    refs = cut(A.adapt(spark, sf, REFS))
     filings = refs.select("accession", "form", "primary_document").distinct()
     listing = refs.select("accession", "name", "kind", "size", "seq")
     bodies = listing.select("accession", "name", F.concat_ws(" ", F.lit("text of"), "name", F.lit("in"), "accession").alias("body"))
@@ -329,7 +330,7 @@ def oracles() -> dict[str, str]:
             select accession, name, size::bigint as size from (select *, row_number() over (partition by accession order by tier desc,
               case when tier = 2 and name like 'dex%' then 1 else 0 end, case when tier = 2 and name not like 'form8-k%' then 1 else 0 end,
               case when tier = 4 then 0 else -size end, seq) as k from g where tier is not null) where k = 1""",
-        "announcement_texts": f"""with r as ({REFS}), g as (select *, case when primary_document <> '' and name = primary_document then 4
+        "announcement_texts": f"""with r as materialized ({REFS}), g as (select *, case when primary_document <> '' and name = primary_document then 4
               when kind = form then 3 when (name like '%.htm' or name like '%.html') and lower(name) not like 'r%' then 2
               when name like '%.txt' then 1 end as tier from r),
             m as (select accession, name as document from (select *, row_number() over (partition by accession order by tier desc,
