@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outturn.functions import vocab
@@ -20,7 +20,7 @@ Ranges = dict[str, tuple[float, float]]
 def tornado(scenarios: DataFrame, ranges: Ranges | None = None, key: str = "scenario_id") -> DataFrame:
     """One row per (scenario, assumption): accretion at its low and high, others at base.
 
-    Order by ``swing_pp`` descending to read the widest swing first.
+    ``place`` is 1 for the widest swing of a scenario; equal swings are placed by name.
     """
     ranges = ranges or vocab.ASSUMPTION_RANGES
     moves = F.array(
@@ -50,10 +50,12 @@ def tornado(scenarios: DataFrame, ranges: Ranges | None = None, key: str = "scen
         return staged.withColumn(f"accretion_at_{end}", earnings(at, f, COLUMNS)["accretion_pct"])
 
     both = accretion(accretion(moved, "low"), "high")
-    return both.select(
+    swings = both.select(
         key, "assumption", "low_value", "high_value", "accretion_at_low", "accretion_at_high",
         F.abs(F.col("accretion_at_high") - F.col("accretion_at_low")).alias("swing_pp"),
     )
+    widest = Window.partitionBy(key).orderBy(F.round("swing_pp", 9).desc(), "assumption")
+    return swings.withColumn("place", F.row_number().over(widest))
 
 
 def uniform_draws(ranges: Ranges, samples: int, seed: int) -> np.ndarray:
@@ -64,22 +66,26 @@ def uniform_draws(ranges: Ranges, samples: int, seed: int) -> np.ndarray:
     )
 
 
+#: Scenarios that are evaluated at a time: their draws stay in the processor's cache.
+BLOCK = 16
+
+
 def _variance_shares(
     design: np.ndarray, solver: np.ndarray, usable: np.ndarray, outputs: np.ndarray
-) -> tuple[np.ndarray, float]:
-    """Squared coefficients of the standardised regression as shares, and its R squared.
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of outputs, squared coefficients of the standardised regression as shares, and its R squared.
 
     ``solver`` is the pseudo-inverse of ``design``, whose columns are the ``usable`` draws and a constant.
     """
-    spread = outputs.std(ddof=1)
-    if spread == 0:
-        return np.zeros(len(usable)), 0.0
-    y = (outputs - outputs.mean()) / spread
-    beta = solver @ y
-    residual = ((y - design @ beta) ** 2).sum()
-    squares = np.zeros(len(usable))
-    squares[usable] = beta[:-1] ** 2
-    return squares / (squares.sum() or 1.0), max(0.0, 1.0 - residual / (y**2).sum())
+    spread = outputs.std(axis=1, ddof=1, keepdims=True)
+    y = np.divide(outputs - outputs.mean(axis=1, keepdims=True), spread, out=np.zeros_like(outputs), where=spread > 0)
+    beta = y @ solver.T
+    residual = ((y - beta @ design.T) ** 2).sum(axis=1)
+    squares = np.zeros((len(outputs), len(usable)))
+    squares[:, usable] = beta[:, :-1] ** 2
+    total, size = squares.sum(axis=1, keepdims=True), (y**2).sum(axis=1)
+    fit = np.divide(residual, size, out=np.ones_like(size), where=size > 0)
+    return squares / np.where(total > 0, total, 1.0), np.maximum(0.0, 1.0 - fit)
 
 
 def variance_decomposition(
@@ -109,18 +115,22 @@ def variance_decomposition(
     def accretion(x: dict) -> np.ndarray:
         return earnings(x, funding(x, VECTORS), VECTORS)["accretion_pct"]
 
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        at = {n: rows[n].to_numpy()[:, None] for n in INPUTS}
+        y = np.array(np.broadcast_to(accretion(at | columns), (len(rows), samples)), float)
+        shares, r_squared = _variance_shares(design, solver, usable, y)
+        low, high = np.percentile(y, [5, 95], axis=1)
+        numbers = [
+            np.broadcast_to(accretion(at), (len(rows), 1))[:, 0], y.mean(axis=1), y.std(axis=1, ddof=1), low, high,
+            (y > 0).mean(axis=1), r_squared,
+        ]
+        named = [dict(zip(names, row, strict=True)) for row in shares.tolist()]
+        return pd.DataFrame(dict(zip(fields, [rows[key].to_numpy(), *numbers, named], strict=True)))
+
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                y = np.broadcast_to(accretion(row | columns), samples)
-                shares, r_squared = _variance_shares(design, solver, usable, y)
-                low, high = np.percentile(y, [5, 95])
-                out.append(
-                    (row[key], float(accretion(row)), y.mean(), y.std(ddof=1), low, high,
-                     (y > 0).mean(), r_squared, dict(zip(names, shares.tolist())))
-                )
-            yield pd.DataFrame(out, columns=fields)
+            for start in range(0, len(batch), BLOCK):
+                yield block(batch.iloc[start : start + BLOCK])
 
     fields = [
         key, "base_accretion_pct", "mean_accretion_pct", "std_accretion_pp", "p5", "p95",

@@ -244,7 +244,8 @@ def _tornado_sql() -> str:
 side(side) as (values ('low'), ('high')), moved as (select {fixed}, {moved} from sc, mv, side),
 {_staged('moved', 'scenario_id, assumption, low_value, high_value, side')},
 w as (select scenario_id, assumption, low_value, high_value, max(acc) filter (side = 'low') as lo, max(acc) filter (side = 'high') as hi from z5 group by all)
-select scenario_id, assumption, low_value, high_value, round(lo, 9) as accretion_at_low, round(hi, 9) as accretion_at_high, round(abs(hi - lo), 9) as swing_pp from w"""
+select scenario_id, assumption, low_value, high_value, round(lo, 9) as accretion_at_low, round(hi, 9) as accretion_at_high, round(abs(hi - lo), 9) as swing_pp,
+ row_number() over (partition by scenario_id order by round(abs(hi - lo), 9) desc, assumption) as place from w"""
 
 
 _SCORES = f"with s as materialized (select doc_id, p, truth as y from ({A.SCORES}))"
@@ -301,8 +302,87 @@ def _bootstrap_sql(draws: int = 400, seed: int = 0) -> str:
      union all select 'auc', round(auc[1], 6), round(auc[2], 6) from q"""
 
 
+def _eliminated(source: str, size: int, right: int, keep: str, name: str) -> str:
+    """CTEs that solve a system in one row: columns a_i_j of the matrix, then ``right`` columns of right-hand sides."""
+    out, last = [], source
+    for pivot in range(size):
+        cells = [
+            (f"a_{pivot}_{c} / a_{pivot}_{pivot}" if r == pivot else f"a_{r}_{c} - a_{r}_{pivot} * a_{pivot}_{c} / a_{pivot}_{pivot}") + f" as a_{r}_{c}"
+            for r in range(size) for c in range(size + right)
+        ]
+        out.append(f"{name}_{pivot} as materialized (select {', '.join([keep, *cells])} from {last})")
+        last = f"{name}_{pivot}"
+    return ", ".join(out)
+
+
+def _two_sided_sql(z: str) -> str:
+    """Two-sided normal p by Simpson's rule, as there is no error function."""
+    point = f"(abs({z}) * i / 2000.0e0)"
+    weight = "case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end"
+    total = f"(select sum(({weight}) * exp(-{point} * {point} / 2)) from (select unnest(range(2001)) as i))"
+    return f"(1 - sqrt(2 / pi()) * abs({z}) / 6000.0e0 * {total})"
+
+
+def _logit_sql(source: str, covariates: list[str], steps: int = 12) -> str:
+    """A logit by Newton steps on the combined cases, written out; all covariates vary and none separates."""
+    k = len(covariates) + 1
+    x = ["1.0e0", *[f"x{i}" for i in range(1, k)]]
+    named = ", ".join(f"{c}::double as x{i}" for i, c in enumerate(covariates, 1))
+    parts = [f"pat as materialized (select {named}, broke::double as y, count(*)::double as n from ({source}) group by all)"]
+    eta = " + ".join(f"b{i} * {v}" for i, v in enumerate(x))
+    keep = ", ".join(f"b{i}" for i in range(k))
+    parts.append(f"at_0 as materialized (select {', '.join(f'0.0e0 as b{i}' for i in range(k))})")
+    for step in range(steps + 1):
+        mu = f"mu_{step} as (select *, 1 / (1 + exp(-({eta}))) as mu, {eta} as eta from pat, at_{step})"
+        square = [f"sum(n * mu * (1 - mu) * {x[i]} * {x[j]}) as a_{i}_{j}" for i in range(k) for j in range(k)]
+        if step < steps:
+            slope = [f"sum(n * (y - mu) * {v}) as a_{i}_{k}" for i, v in enumerate(x)]
+            system = f"sys_{step} as materialized (select {', '.join(f'any_value(b{i}) as b{i}' for i in range(k))}, {', '.join(square + slope)} from mu_{step})"
+            solved = _eliminated(f"sys_{step}", k, 1, keep, f"el_{step}")
+            moved = ", ".join(f"b{i} + a_{i}_{k} as b{i}" for i in range(k))
+            parts += [mu, system, solved, f"at_{step + 1} as materialized (select {moved} from el_{step}_{k - 1})"]
+        else:
+            unit = [f"{float(i == j)}e0 as a_{i}_{k + j}" for i in range(k) for j in range(k)]
+            size = "sum(n) as cases, sum(n * y) as events, sum(n * (y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta))))) as ll"
+            parts.append(mu)
+            parts.append(f"sys as materialized (select {', '.join(f'any_value(b{i}) as b{i}' for i in range(k))}, {size}, {', '.join(square + unit)} from mu_{step})")
+            parts.append(_eliminated("sys", k, k, f"{keep}, cases, events, ll", "inv"))
+    parts.append(
+        f"fit as materialized (select *, cases * (events / cases * ln(nullif(events / cases, 0)) + (1 - events / cases) * ln(nullif(1 - events / cases, 0))) as ll0 from inv_{k - 1})"
+    )
+    one = " union all ".join(
+        f"select {i} as i, '{c}' as name, b{i} as b, sqrt(a_{i}_{k + i}) as se from fit" for i, c in enumerate(covariates, 1)
+    )
+    parts.append(f"""coef as materialized (select *, exp(b) as odds, exp(b - 1.959963984540054 * se) as low, exp(b + 1.959963984540054 * se) as high,
+      {_two_sided_sql('b / se')} as p from ({one}))""")
+    free = k - 1
+    lr = "(2 * (ll - ll0))"
+    if free != 3:
+        raise ValueError("the tail is written for three covariates")
+    tail = f"({_two_sided_sql(f'sqrt({lr})')} + sqrt(2 * {lr} / pi()) * exp(-{lr} / 2))"
+    carry = "not (low <= 1 and 1 <= high)"
+    metrics = [
+        ("fitted", "1.0", "null"), ("events", "events", "null"), ("dropped_as_constant", "0.0", "null"), ("parameters", f"{k}.0", "null"),
+        ("events_per_parameter", f"events / {k}", "null"), ("underpowered", f"(events / {k} < {vocab.EVENTS_PER_PARAMETER})::int", "null"),
+        ("pseudo_r_squared", "1 - ll / ll0", "null"), ("llr_p", tail, "null"),
+        ("carry_information", f"(select count(*) from coef where {carry})", f"(select string_agg(name, '|' order by i) from coef where {carry})"),
+    ]
+    rows = [f"select '{m}' as metric, ({v})::double as value, ({note})::varchar as note from fit" for m, v, note in metrics]
+    rows += [
+        f"select name || ':{m}', ({v})::double, null from coef"
+        for m, v in (("odds_ratio", "odds"), ("ci_low", "low"), ("ci_high", "high"), ("p", "p"), ("crosses_one", f"(not ({carry}))::int"))
+    ]
+    few = "events < 5 or events = cases"
+    return ", " + ", ".join(parts) + f""", found as ({' union all '.join(rows)}),
+      size as (select sum(n) as cases, sum(n * y) as events from pat)
+      select 'inference' as section, metric, round(value, 6) as value, cases::bigint as n, note from found, size where not ({few})
+      union all select 'inference', m.metric, round(case m.metric when 'events' then events else 0 end, 6), cases::bigint,
+        case m.metric when 'fitted' then 'too few events' end
+      from size, (select unnest(['fitted', 'events', 'dropped_as_constant']) as metric) m where {few}"""
+
+
 def oracles() -> dict[str, str]:
-    from outturn.plans.deals import DATA_CUT, _OUTCOMES
+    from outturn.plans.deals import _LABELLED, DATA_CUT, SPLIT_YEAR, _OUTCOMES, _frame_sql
 
     keep = """scenario_id, a_net_income, a_diluted_shares, a_share_price, t_net_income, t_diluted_shares, t_share_price, a_debt, a_cash, a_ebitda,
       t_ebitda, t_debt, t_cash, t_book_equity, refinance_target_debt, offer_per_share, pretax_synergies, synergy_phasing, tax_rate,
@@ -345,6 +425,7 @@ def oracles() -> dict[str, str]:
              round((3.0 * (taken - broke) - 20.0 * broke) / nullif(taken, 0), 6) as ev_per_deal, 3.0::double * (taken - broke) - 20.0::double * broke as total from k""",
         "bootstrap_intervals": _bootstrap_sql(),
         "conformal_coverage": _conformal_sql(),
+        "odds_ratios": _frame_sql() + _logit_sql(f"select * from events where {_LABELLED}", vocab.STRUCTURE_COVARIATES),
         "split_counts": f"""{_SCORES}, c as (select y, count(*) as n from s group by y)
             select 'held' as part, y::bigint as y, round(n * 0.3)::bigint as n from c union all select 'rest', y, n - round(n * 0.3)::bigint from c""",
         "duration_concordance": _OUTCOMES + f""", e as materialized (select least(coalesce(days_to_resolution, date '{DATA_CUT}' - announced), 900) as day,
