@@ -6,8 +6,8 @@ hidden layer, and a softmax in two steps (class, then id in the class). Its logi
 whole training corpus, so what it knows grows with the input. Windows overlap: each gives context to the ids at its end,
 and every id is scored once, in batches.
 
-Training: all spans of all training documents are made into windows; each task trains a copy of the weights on its windows in one
-pass, and the copies are averaged by Spark.
+Training: every span of every training document is dealt by a hash to one round and one group of bounded size; in a round each group
+trains a copy of the weights, and the copies are averaged by Spark, so that scores don't depend on how the input is split.
 
 Pieces of the inventory, id pairs and contexts are counted over all words. The word base (counts of words and ends, add one) is exact: frequent words are looked up in a table of at most
 ``FREQUENT`` words, the others meet their counts in a join.
@@ -20,15 +20,18 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
+import zlib
 from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outturn.llm.common import column_of, lists, map_texts, ranges, remainder, staged, texts_of
+from outturn.llm.common import column_of, lists, map_texts, ranges, remainder, shared_folder, staged, texts_of
 from outturn.llm.jaccard import MIX, scramble
 from outturn.llm.pieces import SPACE, vocabulary
 
@@ -42,8 +45,10 @@ BACK = 20.0
 #: Widths of embeddings and of the hidden layer, hashed pairs, ids of a window and ids scored in it.
 WIDTH, HIDDEN, PAIRS = 16, 32, 2048
 WINDOW, SCORED = 32, 24
-#: Rounds of averaging over all spans; windows of a step; rate of a step.
-ROUNDS, STEP, RATE = 1, 32, 0.1
+#: Rounds that the spans are dealt to, each span to one; spans that a copy of the model is trained on in a round; spans that a task holds.
+ROUNDS, GROUP, HELD = 8, 2048, 1024
+#: Windows of a step; rate of a step; numbers of a row in which copies travel.
+STEP, RATE, SLICE = 64, 0.1, 8192
 #: Bound of the words of the broadcast table, and of the words that a task counts before it hands them on.
 FREQUENT, COUNTED = 200_000, 400_000
 REMEMBERED = 400_000
@@ -584,62 +589,146 @@ SPAN, SPANS = 64, 1024
 
 
 def training_spans(training: DataFrame, names: list[str], shared) -> DataFrame:
-    """Ids of all spans of every training document."""
+    """Ids of all spans of every training document, and a mark of each that follows from its id, place and words alone."""
 
     def make():
         speller = Speller(Trie(names), pickle.loads(shared.value))
 
         def step(batch):
-            held = []
-            for text in texts_of(batch):
-                words = [*words_of(text), b""]
-                held += [words[k : k + SPAN] for k in range(0, len(words), SPAN)]
+            held, marks = [], []
+            for doc_id, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
+                words, name = [*words_of(text), b""], zlib.crc32(str(doc_id).encode())
+                for k in range(0, len(words), SPAN):
+                    held.append(words[k : k + SPAN])
+                    marks.append(xxhash.xxh3_64_intdigest(b" ".join(held[-1]), name + (k // SPAN << 32)) >> 2)
                 if len(held) >= SPANS:
-                    yield record(held)
-                    held = []
+                    yield record(held, marks)
+                    held, marks = [], []
             if held:
-                yield record(held)
+                yield record(held, marks)
 
-        def record(spans):
+        def record(spans, marks):
             flat, rows, counts = speller.ids(spans)
-            return pa.RecordBatch.from_arrays([lists(flat, counts, pa.int16()), lists(rows, counts, pa.int16())], ["ids", "contexts"])
+            return pa.RecordBatch.from_arrays(
+                [lists(flat, counts, pa.int16()), lists(rows, counts, pa.int16()), pa.array(marks, pa.int64())], ["ids", "contexts", "mark"]
+            )
 
         return step
 
-    return map_texts(training, ["text"], make, "ids array<smallint>, contexts array<smallint>")
+    return map_texts(training, ["doc_id", "text"], make, "ids array<smallint>, contexts array<smallint>, mark bigint")
+
+
+def dealt_spans(spans: DataFrame) -> DataFrame:
+    """The spans written to the shared folder, a folder for each round."""
+    spark = spans.sparkSession
+    path = f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}"
+    spans.withColumn("turn", (F.col("mark") % ROUNDS).cast("int")).write.partitionBy("turn").parquet(path)
+    return spark.read.schema(f"{SPANS_SCHEMA}, turn int").parquet(path)
+
+
+SPANS_SCHEMA = "ids array<smallint>, contexts array<smallint>, mark bigint"
 
 
 def train_rounds(spans: DataFrame, prior: Prior) -> dict[str, np.ndarray]:
-    """Weights averaged over the copies that tasks train, for ROUNDS rounds; one row for each weight reaches the driver."""
+    """Weights trained in ROUNDS rounds on spans dealt by their marks; each span is trained once.
+
+    In a round each group of some GROUP spans, in the order of their marks, trains a copy that starts from the weights of the round before;
+    the copies are averaged by their windows. Groups follow from the marks and from the number of spans, so input
+    splits and tasks have no say. Copies travel in slices that are summed by Spark; one row for each slice reaches the driver.
+    """
     weights = fresh()
+    scales = {k: np.full_like(v, 1e-6) for k, v in weights.items()}
     names = list(weights)
-    sizes = [weights[n].size for n in names]
     spark = spans.sparkSession
+    spans = dealt_spans(spans)
+    groups = max(1, round(spans.count() / (ROUNDS * GROUP)))
+
+    def flattened(*sets: dict) -> np.ndarray:
+        return np.concatenate([s[k].ravel() for s in sets for k in names]).astype(np.float64)
+
+    def rebuilt(flat: np.ndarray) -> list[dict]:
+        out, at = [], 0
+        for _ in range(2):
+            part = {}
+            for k in names:
+                part[k] = flat[at : at + weights[k].size].reshape(weights[k].shape).astype(np.float32)
+                at += weights[k].size
+            out.append(part)
+        return out
+
+    length = 2 * sum(weights[k].size for k in names)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(pickle.dumps((weights, prior)))
+        shared = spark.sparkContext.broadcast(pickle.dumps((weights, scales, prior)))
 
         def run(batches, shared=shared, turn=turn):
-            w, p = pickle.loads(shared.value)
-            n, seen = 0, {}
-            for batch in batches:
-                column = batch.column(0)
-                counts = np.diff(column.offsets.to_numpy())
-                *made, _ = windows(column.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), counts.astype(np.int64))
+            total, windows_seen, last = np.zeros(length), 0, None
+            w = seen = None
+            held: list = []
+
+            def learn():
+                nonlocal w, n
+                counts = np.concatenate([h[2] for h in held])
+                *made, _ = windows(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), counts)
                 w = train(w, p, *made, turn, seen)
                 n += len(made[0])
-            if n:
-                flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64)
+                held.clear()
+
+            def leave():
+                nonlocal total, windows_seen
+                if held:
+                    learn()
+                if n:
+                    total += n * flattened(w, seen)
+                    windows_seen += n
+
+            n, waiting = 0, 0
+            for batch in batches:
+                group, ids, contexts = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+                for start, stop in zip(edge, [*edge[1:], len(group)], strict=True):
+                    if group[start] != last:
+                        if last is not None:
+                            leave()
+                        last, n, waiting = group[start], 0, 0
+                        w, seen, p = pickle.loads(shared.value)
+                    while start < stop:
+                        size = min(stop - start, HELD - waiting)
+                        part = ids.slice(start, size)
+                        counts = np.diff(part.offsets.to_numpy()).astype(np.int64)
+                        held.append((part.flatten().to_numpy(), contexts.slice(start, size).flatten().to_numpy(), counts))
+                        start, waiting = start + size, waiting + size
+                        if waiting == HELD:
+                            learn()
+                            waiting = 0
+            if last is not None:
+                leave()
+            if windows_seen:
+                at = np.arange(0, length, SLICE)
+                parts = [total[k : k + SLICE].tobytes() for k in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], ["at", "v", "n"]
+                    [pa.array(at), pa.array(parts, pa.binary()), pa.array(np.full(len(at), windows_seen))], ["at", "part", "n"]
                 )
 
-        rows = spans.mapInArrow(run, "at int, v double, n bigint").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        def summed_parts(batches):
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for at, part, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    one = sums.setdefault(at, [0.0, 0])
+                    one[0], one[1] = one[0] + np.frombuffer(part), one[1] + n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*sums], pa.int64()), pa.array([s[0].tobytes() for s in sums.values()], pa.binary()), pa.array([s[1] for s in sums.values()], pa.int64())],
+                ["at", "part", "n"],
+            )
+
+        slices = "at bigint, part binary, n bigint"
+        mine = spans.where(F.col("turn") == turn).select((F.floor(F.col("mark") / ROUNDS) % groups).alias("g"), "ids", "contexts", "mark")
+        in_order = mine.repartitionByRange(groups, "g").sortWithinPartitions("g", "mark").select("g", "ids", "contexts")
+        copies = in_order.mapInArrow(run, slices)
+        rows = copies.repartition("at").mapInArrow(summed_parts, slices).collect()
         shared.unpersist()
-        if not len(rows):
-            break
-        flat = np.zeros(sum(sizes), np.float32)
-        flat[rows["at"].to_numpy()] = rows["v"].to_numpy()
-        weights = {k: x.reshape(weights[k].shape) for k, x in zip(names, np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["part"]) / r["n"] for r in sorted(rows, key=lambda r: r["at"])])
+            weights, scales = rebuilt(flat)
     return weights
 
 
@@ -675,7 +764,7 @@ def score_texts(documents: DataFrame, path: str, modulus: int = 7, out: int = 2)
     names = counted_inventory(counts, path)
     prior = Prior(pair_counts(counts, names), contexts=counted_contexts(counts, names))
     spans = training_spans(training, names, spark.sparkContext.broadcast(pickle.dumps(prior)))
-    weights = train_rounds(spans if ROUNDS == 1 else staged(spans, "spans"), prior)
+    weights = train_rounds(spans, prior)
     shared = spark.sparkContext.broadcast(pickle.dumps((weights, prior, frequent)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
