@@ -5,6 +5,7 @@ best rank among its neighbouring pairs (a segmented minimum) and merges all left
 that rank at once; the array is compacted and finished words leave it, until no pair remains. Merging
 all occurrences at once equals the one-by-one order, unless a merged piece can start a pair of a better or equal rank;
 those pieces are found from the vocabulary, and of them only the leftmost pair of a word is merged in a round.
+A word of more than QUEUED characters could need as many rounds, so its pairs wait in a queue by rank and place instead.
 
 Results of corner cases: a null text counts as empty; an empty text has the end id only and decodes to "";
 characters outside of the vocabulary become byte pieces; rows that repeat are encoded each; null ids are kept.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -25,6 +27,8 @@ from outturn.llm.common import column_of, lists, map_texts, ranges, texts_of
 SPACE = "▁"
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = np.int32(2**31 - 1)
+#: Characters of a word from which on its pairs are merged through a queue: rounds of such a word could be as many as its characters.
+QUEUED = 256
 #: Distinct words whose pieces a task remembers before it starts anew; longer words are not remembered.
 REMEMBERED, LONG_WORD = 150_000, 48
 
@@ -106,6 +110,60 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and the number of ids of each."""
+        long = [k for k, w in enumerate(words) if len(w) > QUEUED]
+        if not long:
+            return self._by_rounds(words)
+        flat, counts = self._by_rounds(["" if len(w) > QUEUED else w for w in words])
+        ends, parts, last = np.cumsum(counts), [], 0
+        for k in long:
+            ids, size = self._by_queue(words[k])
+            parts += [flat[last : ends[k]], ids]
+            last, counts[k] = ends[k], size
+        return np.concatenate([*parts, flat[last:]]), counts
+
+    def _by_queue(self, word: str) -> tuple[np.ndarray, int]:
+        """Ids of one word: the pair of the best rank, then of the leftmost place, is merged next."""
+        if not hasattr(self, "table"):
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, back = np.unique(points, return_inverse=True)
+        symbols = np.array([self.symbols.get(chr(k), -1 - int(k)) for k in kinds], np.int64)[back]
+        n, base, table = len(symbols), self.base, self.table
+        rank, _ = self._pairs(symbols, np.zeros(n, np.int64), np.arange(n))
+        at = np.flatnonzero(rank != NONE)
+        queue = np.sort((rank[at].astype(np.int64) << 32) | at).tolist()
+        symbol, gone = symbols.tolist(), -(1 << 40)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        place = (1 << 32) - 1
+
+        def wait(i: int, j: int) -> None:
+            if symbol[i] >= 0 and symbol[j] >= 0:
+                found = table.get(symbol[i] * base + symbol[j])
+                if found:
+                    heappush(queue, found[0] << 32 | i)
+
+        while queue:
+            best = heappop(queue)
+            i = best & place
+            j = after[i]
+            if j < 0 or symbol[i] < 0 or symbol[j] < 0:
+                continue
+            found = table.get(symbol[i] * base + symbol[j])
+            if not found or found[0] != best >> 32:
+                continue  # one of the two has been merged since
+            symbol[i], symbol[j] = found[1], gone
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                wait(i, k)
+            if before[i] >= 0:
+                wait(before[i], i)
+        left = np.array(symbol, np.int64)
+        left = left[left != gone]
+        ids, _ = self._spell(left, np.zeros(len(left), np.int64), 1)
+        return ids, len(ids)
+
+    def _by_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(words)
         owner = np.repeat(np.arange(len(words), dtype=np.int64), np.fromiter(map(len, words), np.int64, len(words)))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
