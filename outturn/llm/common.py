@@ -46,6 +46,16 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_key(column: str = "text") -> Column:
+    """Digest of a whole text; a null text counts as empty. What follows from the text alone can be decided by it, whatever the ids."""
+    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def without_texts(documents: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows whose text's key is not in ``bad.key``."""
+    return documents.join(bad.select(F.col("key").alias("_bad")), text_key() == F.col("_bad"), "left_anti")
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus), F.lit(0)).cast("int")

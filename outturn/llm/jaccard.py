@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outturn.llm.common import column_of, lists, map_texts, ranges, staged, texts_of
+from outturn.llm.common import column_of, discard, lists, map_texts, ranges, staged, texts_of
 
 SHINGLE = 3
 #: Ratio between the ends of a size band.
 BAND = 1.4
-#: Words of the Bloom filter that picks the documents to verify: its bits are bounded, whatever the input.
-FILTER_LONGS, FILTER_HASHES = 1 << 17, 3
+#: Longs of the Bloom filter that picks the documents to verify: ten bits for each counted id between these bounds. A filter that is
+#: too small lets more sets through, which the joins drop.
+FILTER_LONGS, MOST_LONGS, FILTER_HASHES = 1 << 14, 1 << 20, 3
 #: Buckets in which shingles are counted; the counts bound how far two sets differ.
 BUCKETS = 64
 #: Longs of the parity sketch. Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
@@ -196,25 +197,28 @@ def _segment_keys(documents: DataFrame, n: int, plan: Plan) -> DataFrame:
     return _sets(documents, n, row, "key bigint, doc_id bigint")
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
+def _filter_bits(ids: np.ndarray, longs: int) -> np.ndarray:
     """Bit numbers of ids in the Bloom filter, one column for each hash."""
     x = ids.astype(np.int64).view(np.uint64)
-    return np.stack([scramble(x + MIX[k]) % np.uint64(64 * FILTER_LONGS) for k in range(FILTER_HASHES)], 1)
+    return np.stack([scramble(x + MIX[k]) % np.uint64(64 * longs) for k in range(FILTER_HASHES)], 1)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of the ids, combined by Spark; at most FILTER_LONGS rows of it reach the driver."""
+    """Bloom filter of the ids, combined by Spark; at most MOST_LONGS rows of it reach the driver."""
+    longs, count = FILTER_LONGS, ids.count()
+    while longs < MOST_LONGS and 64 * longs < 10 * count:
+        longs *= 2
 
     def bits(batches):
         for batch in batches:
-            place = np.unique(_filter_bits(batch.column(0).to_numpy(zero_copy_only=False)))
+            place = np.unique(_filter_bits(batch.column(0).to_numpy(zero_copy_only=False), longs))
             value = np.uint64(1) << (place % np.uint64(64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((place // np.uint64(64)).astype(np.int32)), pa.array(value.view(np.int64))], ["at", "bits"]
             )
 
     rows = ids.mapInArrow(bits, "at int, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
-    out = np.zeros(FILTER_LONGS, np.uint64)
+    out = np.zeros(longs, np.uint64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
@@ -226,7 +230,7 @@ def _wanted_sets(documents: DataFrame, n: int, bloom) -> DataFrame:
         have = bloom.value
 
         def step(batch):
-            place = _filter_bits(column_of(batch, "doc_id").to_numpy(zero_copy_only=False))
+            place = _filter_bits(column_of(batch, "doc_id").to_numpy(zero_copy_only=False), len(have))
             seen = ((have[place // np.uint64(64)] >> (place % np.uint64(64))) & np.uint64(1)).all(1)
             batch = batch.filter(pa.array(seen))
             if batch.num_rows:
@@ -300,7 +304,8 @@ def components(edges: DataFrame) -> DataFrame:
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = staged(small, "stars")
+        before_now, now = now, staged(small, "stars")
+        discard(before_now)
         mark = now.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1000000007"))).first()
         if mark == before:
             break
@@ -329,6 +334,7 @@ def near_copies(
     keys = staged(_segment_keys(documents, n, plan), "keys")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
     met = staged(keys.join(shared, "key").join(member, "doc_id").select("key", F.col("uid").alias("doc_id")).distinct(), "met")
+    discard(keys)
     # The hub of a segment value is its set that meets the most others: in a group of near copies, the text they come from.
     sizes = met.groupBy("key").agg(F.count("*").alias("size"))
     busy = met.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("busy"))
@@ -337,7 +343,7 @@ def near_copies(
     star = star.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     tried = staged(_possible(star, first, percent), "tried")
     linked = staged(_verified(tried, documents, n, percent), "linked")
-    near = components(linked)
+    near = staged(components(linked), "near")
 
     # Segment values that still join different components: only pairs between those remain, and only those
     # whose sizes and parities allow a link leave the join.
@@ -358,6 +364,7 @@ def near_copies(
     left, right = side("a"), side("b")
     cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & bound)
     more = staged(_possible(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), first, percent), "more")
+    discard(met, near, open_, tried)
     final = components(linked.union(_verified(more, documents, n, percent)))
     return (
         measures.select("doc_id", "n_shingles").join(member, "doc_id", "left")

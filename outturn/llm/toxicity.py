@@ -21,10 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outturn.llm.common import column_of, fit_logistic, lists, map_texts, remainder, sigmoid, staged, texts_of
+from outturn.llm.common import column_of, fit_logistic, lists, map_texts, remainder, sigmoid, staged, text_key, texts_of, without_texts
 from outturn.llm.suffixes import words_of
 
 #: Bound of the labelled rows from which lexicon and weights are fitted, and of the patterns learnt from them.
@@ -237,8 +237,8 @@ def match_features(documents: DataFrame, grammar: Grammar) -> DataFrame:
     return map_texts(documents, ["doc_id", "text"], make, f"doc_id {kind}, features array<double>")
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2, threshold: float = 0.3) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1) and predicted."""
+def fit_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2) -> tuple[Grammar, Column]:
+    """The learnt grammar, and the score as a Column over its features."""
     documents = documents.select("doc_id", "text")
     sample = staged(sample_of(labels, "toxic", modulus, out, LABELLED), "toxic-sample")
     texts = staged(documents.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), "toxic-texts")
@@ -252,13 +252,25 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, ou
     total = F.lit(float(beta[-1]))
     for k in range(SLOTS + 2):
         total = total + F.col("features")[k] * F.lit(float(beta[k]))
+    return grammar, F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, out: int = 2, threshold: float = 0.3) -> DataFrame:
+    """Per document: doc_id, held_out, score (0 to 1) and predicted."""
+    grammar, score = fit_toxicity(documents, labels, modulus, out)
     found = match_features(documents, grammar).select(
-        "doc_id", (remainder(F.col("doc_id"), modulus) == out).alias("held_out"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).alias("score")
+        "doc_id", (remainder(F.col("doc_id"), modulus) == out).alias("held_out"), score.alias("score")
     )
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those predicted toxic; the decisions are written, then met by id."""
-    bad = staged(score_toxicity(documents, labels).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return documents.join(bad, "doc_id", "left_anti")
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``documents`` without those predicted toxic.
+
+    A decision follows from the text and is met by the text's key, so rows with a null id go like others, and of rows with one id
+    only the toxic ones go.
+    """
+    grammar, score = fit_toxicity(documents, labels)
+    keyed = match_features(documents.select(text_key().alias("doc_id"), "text"), grammar)
+    bad = staged(keyed.where(score >= threshold).select(F.col("doc_id").alias("key")).distinct(), "toxic")
+    return without_texts(documents, bad)
