@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.llm import jaccard, pieces, private, suffixes, toxicity
-from outturn.llm.common import staged, table
+from outturn.llm.common import staged, table, text_key, without_texts
 from outturn.llm.queries import model_path, sha256
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar doesn't reject."""
+    """Documents that the pattern grammar doesn't reject; decided by text, so ids may be null or occur twice. A null text stays."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,26 +23,47 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    groups = jaccard.near_copies(docs, percent=NEAR_PERCENT, n=NEAR_WORDS)
-    extra = staged(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(extra, "doc_id", "left_anti")
+    """One document of each group of near copies: that of the smallest id, an id that is null coming last.
+
+    Texts are grouped by their 64-bit hash, so rows of one id with different texts are told apart. Rows without words are near copies of
+    nothing and all stay; of rows that repeat id and text one stays.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = staged(
+        jaccard.near_copies(docs.select(key.alias("doc_id"), "text"), percent=NEAR_PERCENT, n=NEAR_WORDS)
+        .where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id"),
+        "near-groups",
+    )
+    rows = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(groups, "key")
+    rows = staged(rows, "near-rows")
+    mark = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = rows.groupBy("component_id").agg(F.min(mark).alias("first"))
+    member = rows.join(first, "component_id").withColumn("stays", mark == F.col("first"))
+    gone, again = (
+        staged(member.where(which).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "near-copies")
+        for which in ("not stays", "stays and n > 1")
+    )
+    of_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    kept = docs.join(gone, of_row, "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, of_row, "left_anti").union(kept.join(again, of_row, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = suffixes.find_matches(docs, table(spark, sf_dir, "benchmark"))
-    bad = staged(found.where("n_hit > 0").select("doc_id"), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents without a passage of the benchmark; decided by text, so ids may be null or occur twice. A null text stays."""
+    found = suffixes.find_matches(docs.select(text_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = staged(found.where("n_hit > 0").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return without_texts(docs, bad)
 
 
 def without_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; a null text stays null or empty, and every row is kept."""
     return private.redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and whether decoding them gives the text back."""
+    """Token ids of each row, their number and a hash of what they decode to; a null text counts as empty, rows that repeat are encoded each."""
     ids = pieces.decode(pieces.encode(docs, model_path()), model_path())
     return ids.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", sha256(F.col("text")).alias("decoded_sha256")
@@ -62,6 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the session's shared folder and read again; without documents there are no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = staged(stage(spark, docs, sf_dir), f"stage-{k}")
