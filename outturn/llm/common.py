@@ -47,8 +47,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 def text_key(column: str = "text") -> Column:
-    """Digest of a whole text; a null text counts as empty. What follows from the text alone can be decided by it, whatever the ids."""
-    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    """64-bit hash of a whole text; a null text counts as empty. What follows from the text alone can be decided by it, whatever the ids."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def without_texts(documents: DataFrame, bad: DataFrame) -> DataFrame:
