@@ -25,20 +25,25 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id, an id that is null coming last.
 
-    Texts are grouped by their 64-bit hash, so rows of one id with different texts are told apart. Rows without words are near copies of
-    nothing and all stay; of rows that repeat id and text one stays.
+    A row whose id is null or occurs again goes by a negative number made of its text's 64-bit hash, so that rows of one id with
+    different texts are told apart. Rows without words are near copies of nothing and all stay; of rows that repeat id and text one
+    stays.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = text_key()
+    twice = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    own = F.col("doc_id").isNotNull() & F.col("_twice").isNull()
+    mark = F.when(own, F.col("doc_id")).otherwise(-2 - key.bitwiseAND(F.lit(2**62 - 1)))
+    marked = docs.join(twice, F.col("doc_id") == F.col("_twice"), "left").select("doc_id", key.alias("key"), mark.alias("mark"), "text")
     groups = staged(
-        jaccard.near_copies(docs.select(key.alias("doc_id"), "text"), percent=NEAR_PERCENT, n=NEAR_WORDS)
-        .where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id"),
+        jaccard.near_copies(marked.select(F.col("mark").alias("doc_id"), "text"), percent=NEAR_PERCENT, n=NEAR_WORDS)
+        .where("n_shingles > 0").select(F.col("doc_id").alias("mark"), "component_id"),
         "near-groups",
     )
-    rows = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(groups, "key")
+    rows = marked.groupBy("doc_id", "key", "mark").agg(F.count("*").alias("n")).join(groups, "mark")
     rows = staged(rows, "near-rows")
-    mark = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    first = rows.groupBy("component_id").agg(F.min(mark).alias("first"))
-    member = rows.join(first, "component_id").withColumn("stays", mark == F.col("first"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = rows.groupBy("component_id").agg(F.min(place).alias("first"))
+    member = rows.join(first, "component_id").withColumn("stays", place == F.col("first"))
     gone, again = (
         staged(member.where(which).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "near-copies")
         for which in ("not stays", "stays and n > 1")
