@@ -9,13 +9,16 @@ from outturn.functions import patterns as P
 from outturn.functions.text import all_matches, let, pieces, read_once
 
 
-def _spans(flat: Column, reach: int) -> Column:
-    """array(struct(lo, hi)): windows around the anchors, overlapping ones merged."""
-    def widths(matches: Column) -> Column:
+def _spans(flat: Column, reach: int, budget: int) -> Column:
+    """array(struct(lo, hi)): windows around the anchors, overlapping ones merged.
+
+    Once closed windows exceed the budget no more are kept, so the array stays small however many anchors there are.
+    """
+    def widths(read: Column) -> Column:
         return F.zip_with(
-            F.slice(pieces(flat, P.ANCHORS), 1, F.size(matches)),
-            matches,
-            lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("match")),
+            F.slice(pieces(flat, P.ANCHORS), 1, F.size(read["matches"])),
+            read["matches"],
+            lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("match"), read["chars"].alias("chars")),
         )
 
     span_type = "array<struct<lo:int,hi:int>>"
@@ -23,6 +26,7 @@ def _spans(flat: Column, reach: int) -> Column:
         F.lit(0).alias("at"),
         F.lit(None).cast("int").alias("lo"),
         F.lit(None).cast("int").alias("hi"),
+        F.lit(0).alias("size"),
         F.array().cast(span_type).alias("closed"),
     )
 
@@ -32,19 +36,21 @@ def _spans(flat: Column, reach: int) -> Column:
     def step(state: Column, w: Column) -> Column:
         start = state["at"] + w["gap"]
         lo = F.greatest(start - reach, F.lit(0))
-        hi = F.least(start + w["match"] + reach, F.length(flat))
+        hi = F.least(start + w["match"] + reach, w["chars"])
         joins = state["hi"].isNotNull() & (lo <= state["hi"])
         opens = state["hi"].isNotNull() & (lo > state["hi"])
+        wanted = opens & (state["size"] <= budget)  # later spans are cut off anyway
         return F.struct(
             (start + w["match"]).alias("at"),
             F.when(joins, state["lo"]).otherwise(lo).alias("lo"),
             F.when(joins, F.greatest(state["hi"], hi)).otherwise(hi).alias("hi"),
-            F.when(opens, F.concat(state["closed"], as_span(state["lo"], state["hi"])))
+            F.when(wanted, state["size"] + state["hi"] - state["lo"]).otherwise(state["size"]).alias("size"),
+            F.when(wanted, F.concat(state["closed"], as_span(state["lo"], state["hi"])))
             .otherwise(state["closed"]).alias("closed"),
         )
 
     return F.aggregate(
-        let(all_matches(flat, P.ANCHORS), widths), zero, step,
+        let(F.struct(all_matches(flat, P.ANCHORS).alias("matches"), F.length(flat).alias("chars")), widths), zero, step,
         lambda s: F.when(
             s["hi"].isNotNull(), F.concat(s["closed"], as_span(s["lo"], s["hi"]))
         ).otherwise(s["closed"]),
@@ -82,6 +88,6 @@ def locate_passages(
     flat = F.col("_flat")
     located = documents.withColumn(
         "_flat", F.regexp_replace(F.col(text), r"[ \t]+", " ")
-    ).withColumn("_spans", _spans(flat, window // 2))
+    ).withColumn("_spans", _spans(flat, window // 2, budget))
     pieces = _within_budget(flat, F.col("_spans"), budget)
     return read_once(located, documents.columns, {"passages": F.array_join(pieces, P.PASSAGE_JOIN)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import flatten, pieces, strip
+from outturn.functions.text import flatten, let, pieces, strip
 
 
 def is_title_only(segment: Column) -> Column:
@@ -34,45 +34,49 @@ def segments(text: Column) -> Column:
 def share_narratives(found: Column) -> Column:
     """Gives each heading without text the next narrative below it.
 
-    Read from the end, so the narrative to hand out is always the last one seen.
+    A string of one mark per heading is searched for the next narrative, so nothing is copied while it is read.
     """
-    resolved_type = "array<struct<code:string,body:string>>"
-    zero = F.struct(
-        F.lit(None).cast("string").alias("following"),
-        F.array().cast(resolved_type).alias("resolved"),
-    )
 
-    def step(seen: Column, s: Column) -> Column:
-        shared = F.when(
-            s["title_only"] & seen["following"].isNotNull(),
-            F.concat_ws("\n", s["body"], seen["following"]),
-        ).otherwise(s["body"])
-        return F.struct(
-            F.when(s["title_only"], seen["following"]).otherwise(s["body"]).alias("following"),
-            F.concat(
-                seen["resolved"], F.array(F.struct(s["code"].alias("code"), shared.alias("body")))
-            ).alias("resolved"),
-        )
+    def shared(of: Column) -> Column:
+        def body(s: Column, i: Column) -> Column:
+            at = F.position(F.lit("n"), of["marks"], i + 1)
+            borrowed = F.concat_ws("\n", s["body"], F.get(of["found"], at - 1)["body"])
+            return F.struct(
+                s["code"].alias("code"),
+                F.when(s["title_only"] & (at > 0), borrowed).otherwise(s["body"]).alias("body"),
+            )
+
+        return F.transform(of["found"], body)
 
-    backwards = F.aggregate(F.reverse(found), zero, step, lambda seen: seen["resolved"])
-    return F.reverse(backwards)
+    def marked(segments: Column) -> Column:
+        marks = F.array_join(F.transform(segments, lambda s: F.when(s["title_only"], "t").otherwise("n")), "")
+        return F.struct(segments.alias("found"), marks.alias("marks"))
+
+    return let(let(found, marked), shared)
 
 
 def longest_per_code(resolved: Column) -> Column:
-    """map(code -> body): the longest body carrying each code, the first one on ties."""
-    codes = F.array_distinct(F.transform(resolved, lambda s: s["code"]))
-
-    def longest(code: Column) -> Column:
-        ranked = F.transform(
-            resolved,
-            lambda s, i: F.when(
-                s["code"] == code,
-                F.struct(F.length(s["body"]).alias("chars"), (-i).alias("order"), s["body"].alias("body")),
-            ),
+    """map(code -> body): the longest body carrying each code, the first one on ties.
+
+    One sort by code, falling length and place; the first of each code is taken.
+    """
+
+    def ranked(bodies: Column) -> Column:
+        order = F.array_sort(
+            F.transform(
+                bodies,
+                lambda s, i: F.struct(s["code"].alias("code"), (-F.length(s["body"])).alias("chars"), i.alias("at")),
+            )
+        )
+        return F.struct(bodies.alias("bodies"), order.alias("order"))
+
+    def first(of: Column) -> Column:
+        tops = F.filter(of["order"], lambda e, i: (i == 0) | (F.get(of["order"], i - 1)["code"] != e["code"]))
+        return F.map_from_entries(
+            F.transform(tops, lambda e: F.struct(e["code"].alias("code"), F.get(of["bodies"], e["at"])["body"].alias("body")))
         )
-        return F.array_max(ranked)["body"]
 
-    return F.map_from_arrays(codes, F.transform(codes, longest))
+    return let(let(resolved, ranked), first)
 
 
 def item_sections(documents: DataFrame, text: str = "body") -> DataFrame:
