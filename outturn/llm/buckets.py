@@ -14,11 +14,24 @@ def id_bounds(documents: DataFrame, count: int) -> list[int]:
 
 
 def bucket_of(bounds: list[int]) -> Column:
-    """Number of bounds that doc_id reaches."""
+    """Number of bounds that doc_id reaches, found by halving: a step for each binary digit of their number."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id")))
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
 
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        reached = F.get(array, middle) <= F.col("doc_id")
+        done = at["low"] >= at["high"]
+        return F.struct(
+            F.when(~done & reached, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(~done & ~reached, middle).otherwise(at["high"]).alias("high"),
+        )
 
-def partitions(documents: DataFrame, most: int = 2000) -> int:
-    return max(1, min(most, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"])
+
+
+def partitions(documents: DataFrame) -> int:
+    return max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))

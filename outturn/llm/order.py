@@ -5,12 +5,15 @@ order, a bijection that any task can compute and invert. Rows are dealt to shard
 of records of equal length, so that slot s lies at byte (s mod per_shard) * record length of shard s / per_shard:
 reading goes forward and resumes at any slot.
 
-Documents are rows of ``ids array<int>``, written little-endian at a fixed width (``Ids``) with an end and a pad id that the
-vocabulary doesn't use otherwise. A table that has ``text`` in place of ids is written as the bytes of UTF-8.
+Documents are rows of ``ids array<int>``, or of ``packed binary`` made by ``tokenised``, written little-endian at a fixed width
+(``Ids``) with an end and a pad id that the vocabulary doesn't use otherwise. A table that has ``text`` in place of ids is written
+as the bytes of UTF-8. Rows are dealt once by units, which are ranges of ids, numbered inside their task from the unit's first
+number, and dealt once more to shards. An id with more rows than a unit should have is split by a hash of its rows into units of
+its own.
 
 Results of corner cases: a null or empty text, or null or empty ids, is a sequence of the end id alone; repeated rows have
-sequences of their own; rows with a null id are left out; an empty table makes no shard; an id that doesn't fit the width is
-an error.
+sequences of their own, which go on counting where they share an id; rows with a null id are left out; an empty table makes no
+shard; an id that doesn't fit the width is an error. Rows equal in id and text lie in one unit.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.llm.buckets import bucket_of, id_bounds, partitions
-from outturn.llm.common import map_texts, shared_folder, staged
+from outturn.llm.common import column_of, map_texts, shared_folder, staged, texts_of
 from outturn.llm.jaccard import MIX, scramble
-from outturn.llm.pieces import encode, vocabulary
+from outturn.llm.pieces import Encoder, vocabulary
 
 
 @dataclass(frozen=True)
@@ -80,68 +83,99 @@ def ids_of(model_path: str) -> Ids:
     return Ids(width, words.end, (1 << 8 * width) - 1)
 
 
-def numbered(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """Documents (doc_id, body: ids or text) with the number of their first sequence, by id, and the number of sequences."""
-    body = F.coalesce("ids", F.array().cast("array<int>")) if "ids" in documents.columns else F.coalesce("text", F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("body")).where("doc_id is not null")
-    size = F.size("body") if "ids" in documents.columns else F.octet_length("body")
-    count = F.floor((size + length) / length).cast("bigint")
-    sizes = docs.groupBy("doc_id").agg(F.sum(count).alias("n"))
-    # a bucket holds a bounded range of ids; only the totals of buckets reach the driver
-    bounds = id_bounds(docs, partitions(docs))
-    sizes = sizes.withColumn("b", bucket_of(bounds))
-    totals = sizes.groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").collect()
-    before, start = [], 0
-    for t in totals:
-        before.append((t["b"], start))
+def packed(documents: DataFrame, kind: Ids) -> DataFrame:
+    """doc_id and the bytes of the ids, without the end id; null ids or text are no bytes."""
+    docs = documents.withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id is not null")
+    if "packed" in documents.columns:
+        return docs.select("doc_id", F.coalesce("packed", F.lit(b"")).alias("body"))
+    if "ids" not in documents.columns:
+        return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+
+    def make():
+        def step(batch):
+            # ids stay arrays: lists of Python numbers would take many times their space
+            bodies = [kind.pack(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+
+        return step
+
+    return map_texts(docs.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), ["doc_id", "ids"], make, "doc_id bigint, body binary")
+
+
+UNIT = "b int, hot bigint, piece bigint, unit int, start bigint, earlier bigint"
+
+
+def numbered(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Packed documents with their unit, its first number and the sequences that its id has in earlier units; the number of sequences.
+
+    ``size`` is the bytes of a record. Units are ranges of ids, and parts of those ids that have more rows than a range should
+    have; their number follows the session's partitions, and only their totals reach the driver.
+    """
+    spark, ranges = docs.sparkSession, 4 * partitions(docs)
+    most = max(1, docs.count() // ranges)
+    parts = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    # at most ``ranges`` ids have more rows than that
+    parts = F.broadcast(parts.select("doc_id", F.ceil(F.col("n") / most).alias("parts")))
+    dealt = docs.join(parts, "doc_id", "left").select(
+        "doc_id", "body", bucket_of(id_bounds(docs, ranges)).alias("b"),
+        F.when(F.col("parts").isNull(), 0).otherwise(F.col("doc_id")).alias("hot"),
+        F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("body"), F.col("parts"))).cast("bigint").alias("piece"),
+    )
+    count = F.floor((F.octet_length("body") + size) / size).cast("bigint")
+    totals = dealt.groupBy("b", "hot", "piece").agg(F.sum(count).alias("n")).orderBy("b", F.col("piece") > 0, "hot", "piece").collect()
+    units, start, of, first = [], 0, None, 0
+    for k, t in enumerate(totals):
+        if not t["piece"] or t["hot"] != of:
+            of, first = t["hot"] if t["piece"] else None, start
+        units.append((t["b"], t["hot"], t["piece"], k, start, start - first))
         start += t["n"]
-    starts = F.broadcast(docs.sparkSession.createDataFrame(before, "b int, start bigint"))
-    inside = Window.partitionBy("b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = sizes.withColumn("upto", F.sum("n").over(inside)).join(starts, "b")
-    return docs.join(first.select("doc_id", (F.col("start") + F.col("upto") - F.col("n")).alias("first")), "doc_id"), start
+    rows = dealt.join(F.broadcast(spark.createDataFrame(units, UNIT)), ["b", "hot", "piece"])
+    return rows.select("unit", "start", "earlier", "doc_id", "body"), start
 
 
-def sequences(documents: DataFrame, total: int, key: int, length: int = LENGTH, kind: Ids = UTF8) -> DataFrame:
-    """Rows (slot, doc_id, seq_no, ids) of fixed-length records."""
+def sequences(rows: DataFrame, total: int, key: int, length: int = LENGTH, kind: Ids = UTF8) -> DataFrame:
+    """Rows (slot, doc_id, seq_no, ids) of records, the last of a document not filled up yet; units lie together, sorted by id."""
     size = length * kind.width
-    end, pad = kind.pack([kind.end]), kind.pack([kind.pad])
+    end = kind.pack([kind.end])
 
     def make():
-        seen: dict[int, int] = {}  # rows of an equal id lie together and go on counting
+        now, doc, number, seq = None, None, 0, 0
 
         def step(batch):
-            docs, numbers, firsts, records = [], [], [], []
-            # ids stay arrays: lists of Python numbers would take many times their space
-            for doc, body, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = body.as_py().encode("utf-8", "surrogatepass") if pa.types.is_string(body.type) else kind.pack(body.values.to_numpy(zero_copy_only=False))
-                data += end
-                data += pad * (-len(data) % size // kind.width)
-                n, k0 = len(data) // size, seen.get(doc, 0)
-                seen.clear()
-                seen[doc] = k0 + n
-                docs += [doc] * n
-                numbers += range(k0, k0 + n)
-                firsts += [first] * n
+            nonlocal now, doc, number, seq
+            docs, numbers, seqs, records = [], [], [], []
+            units, starts, earlier, ids = (c.to_pylist() for c in batch.columns[:4])
+            for unit, start, before, own, body in zip(units, starts, earlier, ids, batch.column(4), strict=True):
+                if unit != now:
+                    now, number, doc = unit, start, None
+                if own != doc:  # rows of an equal id go on counting
+                    doc, seq = own, before
+                data = body.as_py() + end
+                n = -(-len(data) // size)
+                docs += [own] * n
+                numbers += range(number, number + n)
+                seqs += range(seq, seq + n)
                 records += [data[k * size : (k + 1) * size] for k in range(n)]
-            slot = permuted(np.array(firsts, np.int64) + np.array(numbers, np.int64), total, key)
+                number, seq = number + n, seq + n
+            slot = permuted(np.array(numbers, np.int64), total, key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(records, pa.binary())],
+                [pa.array(slot), pa.array(docs, pa.int64()), pa.array(seqs, pa.int64()), pa.array(records, pa.binary())],
                 ["slot", "doc_id", "seq_no", "ids"],
             )
 
         return step
 
-    return map_texts(documents, ["doc_id", "body", "first"], make, "slot bigint, doc_id bigint, seq_no bigint, ids binary")
+    return map_texts(rows, ["unit", "start", "earlier", "doc_id", "body"], make, "slot bigint, doc_id bigint, seq_no bigint, ids binary")
 
 
 SHARD = "shard bigint, first_slot bigint, doc_id array<bigint>, seq_no array<bigint>, body binary"
 
 
 def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8) -> int:
-    """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``ids`` or ``text``."""
-    docs, total = numbered(documents, length)
-    # the join's own exchange may be split or read by mapper; this one keeps rows of an equal id in one task
-    together = docs.repartition(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "body")
+    """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``packed``, ``ids`` or ``text``."""
+    docs, total = numbered(packed(documents, kind), length * kind.width)
+    together = docs.repartition(partitions(docs), "unit").sortWithinPartitions("unit", "doc_id", "body")
+    pad, size = kind.pack([kind.pad]), length * kind.width
     rows = sequences(together, total, key, length, kind).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
     dealt = rows.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "slot")
 
@@ -161,7 +195,7 @@ def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH
         slots = [h[0] for h in held]
         if slots != list(range(number * per_shard, number * per_shard + len(held))):
             raise ValueError(f"shard {number} has a gap")
-        columns = [[number], [slots[0]], [[h[1] for h in held]], [[h[2] for h in held]], [b"".join(h[3] for h in held)]]
+        columns = [[number], [slots[0]], [[h[1] for h in held]], [[h[2] for h in held]], [b"".join(h[3] + pad * ((size - len(h[3])) // kind.width) for h in held)]]
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in SHARD.split(", ")])
 
@@ -187,8 +221,23 @@ def read_records(spark: SparkSession, path: str, first_slot: int = 0, length: in
 
 
 def tokenised(documents: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the piece ids of each text, encoded once: they are counted and dealt from what was written."""
-    return staged(encode(documents.where("doc_id is not null"), model_path, end=False), "ids")
+    """doc_id and the packed piece ids of each text, encoded once: they are counted and dealt from what was written."""
+    width = ids_of(model_path).width
+
+    def make():
+        encoder = Encoder(model_path)
+
+        def step(batch):
+            flat, counts = encoder.encode(texts_of(batch))
+            ends = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts * width, out=ends[1:])
+            bodies = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), bodies], ["doc_id", "packed"])
+
+        return step
+
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    return staged(map_texts(docs, ["doc_id", "text"], make, "doc_id bigint, packed binary"), "ids")
 
 
 def materialise(documents: DataFrame, key: int = 20_240_229, kind: Ids = UTF8) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 import time
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from outturn.llm import lm, pieces
+from outturn.llm import lm, order, pieces
+from outturn.llm.buckets import bucket_of
 from outturn.llm.common import table
 from outturn.llm.queries import model_path
 
@@ -50,3 +52,28 @@ def test_many_groups_still_beat_word_counts(spark, monkeypatch):
     scored = lm.score_texts(table(spark, "/root/testdata/sf0.01", "documents"), model_path())
     found = scored.agg(F.sum(F.when(F.col("held_out"), F.col("score"))), F.sum(F.when(F.col("held_out"), F.col("base_score")))).first()
     assert found[0] > 1.03 * found[1]
+
+
+def test_an_id_with_half_of_all_rows_is_split(spark, tmp_path):
+    docs = [(5 if k % 2 else k, [k + 10] * (k % 7)) for k in range(2000)] + [(None, [1])]
+    packed = order.packed(spark.createDataFrame(docs, "doc_id long, ids array<int>"), order.Ids(2, 1, 65535))
+    rows, total = order.numbered(packed, 8)
+    units = rows.groupBy("unit").count().collect()
+    assert max(u["count"] for u in units) <= 400 and total == sum(k % 7 // 4 + 1 for k in range(2000))
+    path = str(tmp_path / "shards")
+    kind = order.Ids(2, 1, 65535)
+    assert order.write_shards(spark.createDataFrame(docs, "doc_id long, ids array<int>"), path, 11, 4, 64, kind) == total
+    found = order.read_records(spark, path, 0, 4, 64, kind).collect()
+    assert sorted(r["slot"] for r in found) == list(range(total))
+    of_hot = sorted((r["seq_no"], bytes(r["ids"])) for r in found if r["doc_id"] == 5)
+    assert [n for n, _ in of_hot] == list(range(len(of_hot)))
+    ids = np.concatenate([kind.unpack(body) for _, body in of_hot])
+    ids = "".join(chr(i) for i in ids if i != kind.pad).split("\x01")[:-1]
+    assert sorted(ids) == sorted("".join(map(chr, d[1])) for d in docs if d[0] == 5)
+
+
+def test_bucket_is_the_number_of_bounds_reached(spark):
+    rows = spark.range(-3, 60).toDF("doc_id")
+    for bounds in ([], [0], [4, 9], list(range(1, 50, 3))):
+        found = rows.select("doc_id", bucket_of(bounds).alias("b")).collect()
+        assert all(r["b"] == sum(x <= r["doc_id"] for x in bounds) for r in found)
