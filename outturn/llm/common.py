@@ -34,7 +34,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut, and a lost executor costs only a read."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
