@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import forms
+from outturn.functions.lineage import shared_path
 from outturn.plans import adapters as A
 from outturn.plans.shaping import plain
 from outturn.sources import facts as facts_source
-from outturn.sources import index, markup, submissions
+from outturn.sources import index, markup, submissions, tables
 
 # Index lines per quarter: header, ruler, rows, and some lines that are no rows.
 _LINES = f"""
@@ -81,6 +82,60 @@ def history_companies(spark: SparkSession, sf: str) -> DataFrame:
     return plain(submissions.companies(_histories(spark, sf)).distinct())
 
 
+# Histories whose older filings lie on a page for each year; every third company has no day before which pages are skipped.
+_PAGED = f"""
+select f.*, cast(split_part(accession, '-', 1) as bigint) as order_no, year(filed) as y, (cik + year(filed)) % 2 = 0 as old,
+  concat('o', split_part(accession, '-', 1), '-', cast(cik as string), '-', cast(year(filed) as string), '.json') as page from ({A.FILINGS}) f
+"""
+
+
+def paged_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The main block and the older pages of every history, those pages skipped that end before the company's day."""
+    rows = A.adapt(spark, sf, _PAGED)
+    row = F.struct("accession", "form", F.col("filed").cast("string").alias("filingDate"), "items")
+    at_page = rows.where("old").groupBy("order_no", "cik", "page").agg(F.sort_array(F.collect_list(row)).alias("r"), F.max("filed").alias("last"))
+
+    def block(r: str) -> list:
+        fields = {"form": "form", "filingDate": "filingDate", "items": "items", "accessionNumber": "accession"}
+        return [F.col(f"{r}.{of}").alias(name) for name, of in fields.items()]
+
+    pages = at_page.select(F.to_json(F.struct(*block("r"))).alias("payload"), F.col("page").alias("name")).select(
+        F.from_json("payload", submissions.PAGE_SCHEMA).alias("p"), "name"
+    ).select("p.*", "name")
+    files = at_page.groupBy("order_no", "cik").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("page").alias("name"), F.col("last").cast("string").alias("filingTo")))).alias("files")
+    )
+    recent = rows.where("not old").groupBy("order_no", "cik").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    payload = F.to_json(F.struct(F.col("cik").cast("string").alias("cik"), F.struct(F.struct(*block("r")).alias("recent"), "files").alias("filings")))
+    histories = recent.join(files, ["order_no", "cik"], "full").select(F.from_json(payload, submissions.HISTORY_SCHEMA).alias("h")).select("h.*")
+    companies = rows.where("cik % 3 <> 0").select("cik").distinct()
+    since = companies.select("cik", F.expr("make_date(1993 + cast(cik % 5 as int), 7, 1)").alias("since"))
+    found = submissions.filing_history(histories, pages, since)
+    return plain(found.select("cik", "accession", (F.col("seq.page_no") >= 0).alias("older"), F.col("seq.pos").alias("pos"), "form", "filed", "items"))
+
+
+_STAGE_ROWS = "cik bigint, filed date, accession string, form string, items string"
+
+
+def stage_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings written as ordered JSON lines, read back, and put together with a table that was never written."""
+    path = shared_path(spark, "rows")
+    rows = A.filings(spark, sf)
+    tables.write_rows(rows, path, ["filed", "cik"])
+    read = tables.read_rows(spark, path, _STAGE_ROWS).withColumn("source", F.lit("written"))
+    absent = tables.read_rows(spark, f"{path}-absent", _STAGE_ROWS).withColumn("source", F.lit("absent"))
+    return plain(read.unionByName(absent))
+
+
+def rewritten_quarters(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings by quarter, every quarter of the even years written again without its annual and quarterly reports."""
+    path = shared_path(spark, "quarters")
+    rows = A.filings(spark, sf).select("cik", "filed", "accession", "form")
+    index.write_quarters(rows, path)
+    index.write_quarters(rows.where("year(filed) % 2 = 0 and form not in ('10-K', '10-Q')"), path)
+    return plain(spark.read.parquet(path).select("cik", "filed", "accession", "form", "year", "quarter"))
+
+
 # One fact payload per order, under one of two namespaces.
 _PAYLOADS = f"""
 select cik, concat('{{"cik": ', cast(cik as string), ', "facts": {{"', case when seq % 5 = 0 then 'ifrs-full' else 'us-gaap' end, '": {{"', tag,
@@ -128,6 +183,9 @@ QUERIES = {
     "missing_quarters": missing_quarters,
     "filing_history": filing_history,
     "history_companies": history_companies,
+    "paged_history": paged_history,
+    "stage_rows": stage_rows,
+    "rewritten_quarters": rewritten_quarters,
     "company_facts": company_facts,
     "namespaced_facts": namespaced_facts,
     "directory_listing": listing,
@@ -174,6 +232,14 @@ def oracles() -> dict[str, str]:
             select cik, accession, row_number() over (partition by order_no order by accession) - 1 as pos, form, filed::varchar as filed,
              case when order_no % 4 <> 0 then items else '' end as items, '' as primary_document from o""",
         "history_companies": _F + " select distinct cik, 'Name' as name, '3571' as sic, '' as sic_description, '' as tickers, '' as exchanges from f",
+        "paged_history": f"""with f as materialized ({_PAGED}), p as (select *, max(filed) over (partition by order_no, cik, y) as last from f)
+            select cik, accession, old as older, row_number() over (partition by order_no, cik, old, case when old then y end order by accession) - 1 as pos,
+             form, filed::varchar as filed, items from p
+            where not old or cik % 3 = 0 or last >= make_date(1993 + (cik % 5)::int, 7, 1)""",
+        "stage_rows": _F + " select cik, filed::varchar as filed, accession, form, items, 'written' as source from f",
+        "rewritten_quarters": _F + """ select cik, filed::varchar as filed, accession, form, year(filed) as year, quarter(filed) as quarter from f
+            where year(filed) % 2 = 1 or form not in ('10-K', '10-Q')
+             or (year(filed), quarter(filed)) not in (select (year(filed), quarter(filed)) from f where form not in ('10-K', '10-Q'))""",
         "company_facts": f"""with {facts} select cik, case when seq % 5 = 0 then 'ifrs-full' else 'us-gaap' end as namespace, tag, 'USD' as unit,
             round(value, 6) as value, period_end::varchar as period_end, filed::varchar as filed, form, year(period_end) as fiscal_year from f""",
         "namespaced_facts": f"""with {facts}, s as (select *, case when seq % 5 = 0 then 2 else 1 end as k from f)
