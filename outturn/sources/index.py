@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
-from outturn.functions.text import read_once
+from outturn.functions.text import let, read_once
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
@@ -26,23 +26,29 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO
     )
 
 
+_MARK = "\ue000"  # private use: a line that has it takes the slower path
+
+
 def parse_row(line: Column) -> Column:
     """struct(form, company, cik, filed, path, accession), null when the line is no row.
 
-    Anchored on the right (cik, date, path), never on column positions.
+    Anchored on the right (cik, date, path), never on column positions. The pattern runs once a line.
     """
-    part = [F.regexp_extract(line, P.INDEX_ROW, i) for i in range(1, 6)]
-    return F.when(
-        line.rlike(P.INDEX_ROW),
-        F.struct(
+
+    def row(part: list[Column]) -> Column:
+        return F.struct(
             part[0].alias("form"),
             part[1].alias("company"),
             part[2].cast("bigint").alias("cik"),
             part[3].try_cast("date").alias("filed"),
             part[4].alias("path"),
             accession(part[4]).alias("accession"),
-        ),
-    )
+        )
+
+    marked = F.regexp_replace(line, P.INDEX_ROW, _MARK.join(f"${i}" for i in range(1, 6)))
+    once = let(F.split(marked, _MARK, -1), lambda p: F.when(F.size(p) == 5, row([F.get(p, i) for i in range(5)])))
+    again = F.when(line.rlike(P.INDEX_ROW), row([F.regexp_extract(line, P.INDEX_ROW, i) for i in range(1, 6)]))
+    return F.when(line.contains(_MARK), again).otherwise(once)
 
 
 def accession(path: Column) -> Column:
@@ -54,14 +60,23 @@ def no_dash(accession_number: Column) -> Column:
     return F.replace(accession_number, F.lit("-"), F.lit(""))
 
 
+#: Files whose rulers, one row each, are sent to all tasks; more are met by a join.
+MOST_RULERS = 100_000
+
+
 def data_lines(lines: DataFrame) -> DataFrame:
-    """Lines below each file's ruler of dashes, blank ones left out."""
+    """Lines below each file's ruler of dashes, blank ones left out.
+
+    The rulers are counted first: as long as they are few, no line is shuffled, however many of them one file has.
+    """
     place = F.struct("block", "at")
     rulers = (
         lines.where(F.col("line").startswith(P.INDEX_RULER))
         .groupBy("file")
         .agg(F.min(place).alias("ruler"))
     )
+    if rulers.count() <= MOST_RULERS:
+        rulers = F.broadcast(rulers)
     return (
         lines.join(rulers, "file")
         .where((place > F.col("ruler")) & F.col("line").rlike(f"[^{P.SPACE_CHARS}]"))

@@ -101,3 +101,15 @@ def test_references_of_any_length(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
     got = {r["i"]: r["u"] for r in rows.select("i", markup.unescape(F.col("t")).alias("u")).collect()}
     assert [got[i] for i in range(len(cases))] == [html.unescape(c) for c in cases]
+
+
+def test_index_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "q1.idx").write_bytes(INDEX.encode("latin-1"))
+    scanned = index.scan_index(index.read_lines(spark, str(tmp_path)))
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    odd = "10-K   A \ue000 Co   77   1990-01-01   edgar/data/77/0.txt"
+    rows = spark.createDataFrame([(odd,), (odd.replace("\ue000", "B"),), ("x\ue000x\ue000x\ue000x\ue000x",), ("",), (None,)], "line string")
+    found = [r["row"] for r in rows.select(index.parse_row(F.col("line")).alias("row")).collect()]
+    assert found[0]["company"] == "A \ue000 Co" and found[1]["company"] == "A B Co" and found[2:] == [None] * 3
+    assert found[0]["cik"] == found[1]["cik"] == 77 and found[1]["accession"] == "0"
