@@ -1,14 +1,17 @@
 """Operator 2: personal data by weak supervision.
 
-Patterns find candidate spans. Labelers vote on each: its strict form, gazetteers of known prefixes and endings, the
+Patterns find candidate spans: those of the base patterns, and looser ones of the same kinds (an address written out with
+"at" and "dot" or in brackets, an ip with bracketed dots or in eight groups, a card of 13 to 15 digits, a telephone number
+without a plus) and secrets. Labelers vote on each: the strict pattern, its form, gazetteers of known prefixes and endings, the
 words around it, and its shape. Votes of all documents are counted by pattern; expectation-maximisation estimates how
 reliable each labeler is for each kind, and a logistic span classifier is trained on the posteriors, over features
-that the labelers don't see. Spans of the base kinds always stay; the classifier decides about those of added kinds.
+that the labelers don't see. Base spans always stay; the classifier decides about all others. A looser candidate of a base kind
+that no labeler votes for, or whose words before it speak against it, is never added.
 
 The counts have at most one row for each kind, vote pattern and feature pattern (a few thousand), whatever the input.
 
 Results of corner cases: a null text counts as empty and has no spans; repeated rows are searched each; long runs of one character
-take linear time; a null id stays.
+take linear time; a null id stays; without any base span the looser candidates are judged by the other labelers.
 """
 
 from __future__ import annotations
@@ -33,6 +36,14 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}+")
 DIGITS = re.compile(r"[0-9]")
+#: Looser forms. What lies before "at" is read backwards from it, so that no run of letters is tried twice.
+AT = re.compile(r" ?[(\[] ?(?:at|AT) ?[)\]] ?| (?:at|AT) ")
+AT_ENDS = (" at ", "at)", "at]", "at )", "at ]", " AT ", "AT)", "AT]", "AT )", "AT ]")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]+)+")
+IP_BRACKETS = re.compile(r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9])")
+IP_GROUPS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])")
+NUMBER = re.compile(r"(?<![0-9A-Za-z+.$%#/-])\(?[0-9][ ().0-9-]*+")
+THOUSANDS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{1,3}(?: [0-9]{3})+")
 
 # Gazetteers of known beginnings and endings, and words that speak for or against a kind.
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "AIza", "glpat-")
@@ -87,18 +98,72 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [email, ip, card, phone]
 
 
-def candidates(text: str) -> list[list[tuple[int, int]]]:
-    """Base spans, then those of the added kind that overlap none of them."""
-    base = base_spans(text)
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans`` that overlap none of ``taken``; both are by start."""
+    out, k, reach = [], 0, -1
+    for a, b in spans:
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
+def _written_out(text: str) -> list[tuple[int, int]]:
+    """Addresses with "at" or "dot" written out or in brackets."""
+    out, end = [], 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        if host is None or m.start() < end:
+            continue
+        start = m.start()
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            out.append((start, host.end()))
+            end = host.end()
+    return out
+
+
+def loose_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Looser candidates of the base kinds, then secrets, by start; none overlaps a base span or a looser one of an earlier kind."""
     taken = sorted(s for spans in base for s in spans)
-    secret = []
-    if DIGITS.search(text):
-        for m in SECRET.finditer(text):
-            body = m.group()
-            if not any(c.isalpha() for c in body) or any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            secret.append(m.span())
-    return [*base, secret]
+    digits = DIGITS.search(text) is not None
+    email = _written_out(text) if any(e in text for e in AT_ENDS) else []
+    ip, card, phone, secret = [], [], [], []
+    if digits:
+        if ".]" in text or ".)" in text:
+            ip = [m.span() for m in IP_BRACKETS.finditer(text) if all(int(d) <= 255 for d in re.findall("[0-9]+", m.group()))]
+        if ":" in text:
+            ip = sorted(ip + [m.span() for m in IP_GROUPS.finditer(text)])
+        for m in CARD.finditer(text):
+            number = m.group().replace(" ", "").replace("-", "") if 13 <= m.end() - m.start() <= 29 else ""
+            if 13 <= len(number) <= 15 and luhn(number) and number.strip(number[0]):
+                card.append(m.span())
+        for m in NUMBER.finditer(text):
+            body = m.group().rstrip(" ().-")
+            end = m.start() + len(body)
+            after = text[end : end + 1]
+            if 11 <= len(body) <= 20 and 9 <= len(DIGITS.findall(body)) <= 11 and not (body.isdigit() or after.isalnum() or after in ("%", "/")):
+                if not THOUSANDS.fullmatch(body):
+                    phone.append((m.start(), end))
+        secret = [m.span() for m in SECRET.finditer(text) if any(c.isalpha() for c in m.group())]
+    secret = _free(secret, taken)
+    out = []
+    for spans in (email, ip, card, phone):
+        out.append(_free(spans, taken))
+        taken = sorted(taken + out[-1])
+    # a secret keeps its place; a looser candidate inside one is given up
+    return [*(_free(spans, secret) for spans in out), secret]
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, base) of all candidate spans, by kind, then start."""
+    base = base_spans(text)
+    loose = loose_spans(text, base)
+    spans = [(k, a, b, True) for k, own in enumerate(base) for a, b in own] + [(k, a, b, False) for k, own in enumerate(loose) for a, b in own]
+    return sorted(spans)
 
 
 def _entropy(body: str) -> float:
@@ -106,12 +171,29 @@ def _entropy(body: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (body.count(x) for x in set(body)))
 
 
-def votes(kind: str, body: str, before: str) -> tuple[int, ...]:
-    """Of each labeler -1, 0 (abstains) or 1: form, gazetteer, context, shape."""
+def votes(kind: str, body: str, before: str, base: bool) -> tuple[int, ...]:
+    """Of each labeler -1, 0 (abstains) or 1: strict pattern (never against), form, gazetteer, context, shape."""
+    return (1 if base else 0, *_looks(kind, body, before, base))
+
+
+def _looks(kind: str, body: str, before: str, base: bool) -> tuple[int, int, int, int]:
     lower = [w.lower() for w in WORD.findall(before)][-3:]
     near = any(w.endswith(SPEAKS_FOR[kind]) or w in SPEAKS_FOR[kind] for w in lower)
     against = any(w in SPEAKS_AGAINST for w in lower)
     context = 1 if near else -1 if against else 0
+    if not base and kind == "email":
+        ends = [w.lower() for w in WORD.findall(body)][-1:]
+        known = bool(ends) and ends[0] in DOMAIN_ENDS
+        return (1 if "[" in body or "(" in body or " dot " in body.lower() else -1, 1 if known else -1, context, 1 if len(body) < 64 else -1)
+    if not base and kind == "ip":
+        return (1, 0, context, 1 if len(set(re.findall("[0-9A-Fa-f]+", body))) > 2 else -1)
+    if not base and kind == "card":
+        digits = re.sub("[^0-9]", "", body)
+        shape = re.fullmatch(r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", body)
+        return (1 if shape else 0, 1 if digits.startswith(("34", "37", "30", "36", "38")) else -1, context, -1 if len(set(digits)) < 4 else 0)
+    if not base and kind == "phone":
+        shape = re.fullmatch(r"(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}[ -][0-9 -]{5,9}", body)
+        return (1 if shape else -1, 1 if body.startswith(("0", "1", "(")) else 0, context, -1 if ".." in body or "--" in body or "  " in body else 0)
     if kind == "email":
         end = body.rsplit(".", 1)[-1].lower()
         return (1 if end.isalpha() and 2 <= len(end) <= 6 else -1, 1 if end in DOMAIN_ENDS else 0, context, 1 if len(body) < 64 else -1)
@@ -140,7 +222,7 @@ def features(kind: str, body: str, before: str) -> tuple[int, ...]:
     )
 
 
-FEATURE_SIZES, VOTERS = (4, 4, 3, 3), 4
+FEATURE_SIZES, VOTERS = (4, 4, 3, 3), 5
 
 
 def _code(values: tuple[int, ...], sizes: tuple[int, ...]) -> int:
@@ -158,53 +240,65 @@ def _decode(code: int, sizes: tuple[int, ...]) -> list[int]:
     return out[::-1]
 
 
-SPANS = "kind array<int>, start array<int>, end array<int>, pattern array<int>"
+def _accepts(kind: int, pattern: int) -> bool:
+    """Whether a looser candidate can be added at all: some labeler votes for it, and its context doesn't speak against it."""
+    vote = [v - 1 for v in _decode(pattern // math.prod(FEATURE_SIZES), (3,) * VOTERS)]
+    return kind == BASE or (vote[3] >= 0 and max(vote[1:4]) > 0)
+
+
+def pattern_of(kind: int, body: str, before: str, base: bool) -> int:
+    """The code of a candidate's votes and features."""
+    vote = _code(tuple(v + 1 for v in votes(KINDS[kind], body, before, base)), (3,) * VOTERS)
+    return vote * math.prod(FEATURE_SIZES) + _code(features(KINDS[kind], body, before), FEATURE_SIZES)
+
+
+SPANS = "kind array<int>, start array<int>, end array<int>, base array<boolean>, pattern array<int>"
 
 
 def find_candidates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document the candidate spans by kind and start, each with the code of its votes and features."""
     id_kind = documents.schema[id_column].dataType.simpleString()
-    every = 1
-    for s in FEATURE_SIZES:
-        every *= s
 
     def make():
         def step(batch):
-            counts, kinds, starts, ends, patterns = [], [], [], [], []
+            counts, rows = [], []
             for text in texts_of(batch, text_column):
-                before = len(kinds)
-                for k, spans in enumerate(candidates(text)):
-                    for a, b in spans:
-                        left, body = text[max(0, a - BEFORE) : a], text[a:b]
-                        kinds.append(k)
-                        starts.append(a)
-                        ends.append(b)
-                        vote = _code(tuple(v + 1 for v in votes(KINDS[k], body, left)), (3,) * VOTERS)
-                        patterns.append(vote * every + _code(features(KINDS[k], body, left), FEATURE_SIZES))
-                counts.append(len(kinds) - before)
-            columns = [lists(np.array(v, np.int32), np.array(counts, np.int64), pa.int32()) for v in (kinds, starts, ends, patterns)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, id_column), *columns], ["doc_id", "kind", "start", "end", "pattern"])
+                found = candidates(text)
+                rows += [(k, a, b, base, pattern_of(k, text[a:b], text[max(0, a - BEFORE) : a], base)) for k, a, b, base in found]
+                counts.append(len(found))
+            flat = np.array(rows, np.int32).reshape(-1, 5)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+            columns = [
+                lists(flat[:, k] if kind != pa.bool_() else flat[:, k].astype(bool), np.array(counts, np.int64), kind)
+                for k, kind in enumerate(kinds)
+            ]
+            yield pa.RecordBatch.from_arrays([column_of(batch, id_column), *columns], ["doc_id", "kind", "start", "end", "base", "pattern"])
 
         return step
 
     return map_texts(documents, [id_column, text_column], make, f"doc_id {id_kind}, {SPANS}")
 
 
-def reliabilities(vote: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of "personal" for each vote pattern, and P(vote | class) of each labeler, by expectation-maximisation."""
+def reliabilities(vote: np.ndarray, count: np.ndarray, rounds: int = 50, silent: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of "personal" for each vote pattern, and P(vote | class) of each labeler, by expectation-maximisation.
+
+    That a labeler abstains is evidence as its votes are, except for those in ``silent``.
+    """
     post = np.clip(0.5 + 0.2 * vote.sum(1), 0.05, 0.95)
-    table = np.zeros((VOTERS, 2, 3))
+    voters = vote.shape[1]
+    counts = np.stack([np.where((vote[:, k] == 0) & (k in silent), 0, 1) for k in range(voters)])
+    table = np.zeros((voters, 2, 3))
     for _ in range(rounds):
         weight = np.stack([(1 - post) * count, post * count])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        for labeler in range(VOTERS):
+        for labeler in range(voters):
             for side in (0, 1):
                 # votes for (or against) are taken to be likelier in their own class: a light prior keeps the classes named
                 prior_votes = np.array([0.5, 1.0, 2.0] if side else [2.0, 1.0, 0.5])
-                got = np.bincount(vote[:, labeler] + 1, weights=weight[side], minlength=3) + prior_votes
+                got = np.bincount(vote[:, labeler] + 1, weights=weight[side] * counts[labeler], minlength=3) + prior_votes
                 table[labeler, side] = got / got.sum()
         logs = np.log(prior)[:, None] + np.stack(
-            [sum(np.log(table[k, side, vote[:, k] + 1]) for k in range(VOTERS)) for side in (0, 1)]
+            [sum(counts[k] * np.log(table[k, side, vote[:, k] + 1]) for k in range(voters)) for side in (0, 1)]
         )
         new = sigmoid(logs[1] - logs[0])
         if np.abs(new - post).max(initial=0) < 1e-6:
@@ -224,9 +318,11 @@ def span_classifier(patterns: DataFrame) -> dict[tuple[int, int], float]:
             continue
         own.sort()
         count = np.array([c for _, c in own], float)
-        vote = np.array([[v - 1 for v in _decode(p // every, (3,) * VOTERS)] for p, _ in own])
-        post, _ = reliabilities(vote, count)
-        hot = np.zeros((len(own), sum(FEATURE_SIZES) + 3 * VOTERS))
+        # the strict pattern says nothing about secrets
+        first = 0 if kind < BASE else 1
+        vote = np.array([[v - 1 for v in _decode(p // every, (3,) * VOTERS)][first:] for p, _ in own])
+        post, _ = reliabilities(vote, count, silent=() if first else (0,))
+        hot = np.zeros((len(own), sum(FEATURE_SIZES) + 3 * vote.shape[1]))
         for i, (p, _) in enumerate(own):
             at = 0
             for value, size in zip(_decode(p % every, FEATURE_SIZES), FEATURE_SIZES, strict=True):
@@ -243,19 +339,24 @@ def span_classifier(patterns: DataFrame) -> dict[tuple[int, int], float]:
     return out
 
 
+def _added(found: DataFrame, threshold: float) -> frozenset[tuple[int, int]]:
+    """(kind, pattern) of the candidates that are added to the base spans; at most a few thousand."""
+    patterns = found.select(F.explode(F.arrays_zip("kind", "pattern")).alias("s")).select("s.kind", "s.pattern")
+    return frozenset(key for key, q in span_classifier(patterns).items() if q >= threshold and _accepts(*key))
+
+
 def find_private(documents: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: spans array<struct<kind: string, start: int, end: int>>, by kind as in ``KINDS``, then start."""
+    """Per document: spans array<struct<kind: string, start: int, end: int, base: boolean>>, by kind as in ``KINDS``, then start."""
     found = staged(find_candidates(documents, id_column, text_column), "spans")
-    zipped = F.arrays_zip("kind", "pattern")
-    patterns = found.select(F.explode(zipped).alias("s")).select("s.kind", "s.pattern")
-    chance = span_classifier(patterns.where(F.col("kind") >= BASE))
-    kept = sorted(k * 100_000 + p for (k, p), q in chance.items() if q >= threshold)
-    spans = F.arrays_zip("kind", "start", "end", "pattern")
-    wanted = F.filter(spans, lambda s: (s["kind"] < BASE) | (s["kind"] * 100_000 + s["pattern"]).isin(kept) if kept else s["kind"] < BASE)
+    kept = sorted(k * 1_000_000 + p for k, p in _added(found, threshold))
+    spans = F.arrays_zip("kind", "start", "end", "base", "pattern")
+    wanted = F.filter(spans, lambda s: s["base"] | (s["kind"] * 1_000_000 + s["pattern"]).isin(kept) if kept else s["base"])
     names = F.array(*map(F.lit, KINDS))
     return found.select(
         "doc_id",
-        F.transform(wanted, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"),
+        F.transform(
+            wanted, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
+        ).alias("spans"),
     )
 
 
@@ -264,22 +365,15 @@ def redact(documents: DataFrame) -> DataFrame:
 
     The text is searched again where it lies, so only the list of accepted patterns leaves the first pass.
     """
-    found = find_candidates(documents)
-    patterns = staged(found, "spans").select(F.explode(F.arrays_zip("kind", "pattern")).alias("s")).select("s.kind", "s.pattern")
-    chance = span_classifier(patterns.where(F.col("kind") >= BASE))
-    kept = frozenset(key for key, q in chance.items() if q >= 0.5)
-    every = math.prod(FEATURE_SIZES)
+    kept = _added(staged(find_candidates(documents).select("kind", "pattern"), "spans"), 0.5)
     schema = documents.schema
     at = schema.fieldNames().index("text")
 
     def clean(text: str) -> str:
-        spans = []
-        for k, group in enumerate(candidates(text)):
-            for a, b in group:
-                left, body = text[max(0, a - BEFORE) : a], text[a:b]
-                code = _code(tuple(v + 1 for v in votes(KINDS[k], body, left)), (3,) * VOTERS) * every + _code(features(KINDS[k], body, left), FEATURE_SIZES)
-                if k < BASE or (k, code) in kept:
-                    spans.append((a, b, KINDS[k]))
+        spans = [
+            (a, b, KINDS[k]) for k, a, b, base in candidates(text)
+            if base or (k, pattern_of(k, text[a:b], text[max(0, a - BEFORE) : a], base)) in kept
+        ]
         out, end = [], 0
         for a, b, kind in sorted(spans):
             if a >= end:

@@ -33,10 +33,10 @@ def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = private.KINDS[: private.BASE]
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *map(count, base), sha256(joined(F.filter("spans", lambda s: s["kind"].isin(base)))).alias("base_sha256"),
+        "doc_id", *map(count, base), sha256(joined(F.filter("spans", lambda s: s["base"]))).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
 
@@ -188,7 +188,8 @@ paths AS (SELECT m.conv_id, coalesce(list({'role': t.role, 'text': t.text} ORDER
           FROM marks m LEFT JOIN turns t USING (conv_id) GROUP BY m.conv_id),
 members AS (SELECT conv_id, len(p) AS n, d, md5(CAST(p[1:d] AS VARCHAR) || '/' || d) AS node,
                    CASE WHEN d > 0 THEN md5(CAST(p[1:d - 1] AS VARCHAR) || '/' || (d - 1)) END AS parent,
-                   CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].text, '[^ 	-]+')) ELSE 0 END AS words
+                   CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].text, '[^ 	-
+]+')) ELSE 0 END AS words
             FROM (SELECT conv_id, p, unnest(generate_series(0, len(p))) AS d FROM paths)),
 nodes AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
                  any_value(words) AS words, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends
