@@ -54,7 +54,8 @@ class Block:
         self.suffix, self.width = np.array(suffix, np.int64), np.array(width, np.int64)
         self.item, self.left = np.array(item, np.int64), np.array(left, np.int64)
         self.depth = int(self.left.max()) if len(left) else 0
-        self.gram = int(min([3, *width]))
+        # three words fit one number only while there are fewer than 2^20 different ones
+        self.gram = int(min([3 if len(self.ids) < 1 << 20 else 2, *width]))
         full = np.flatnonzero(self._grams(self.flat) >= 0) if len(left) else np.zeros(0, np.int64)
         self.grams = np.unique(self._grams(self.flat)[full])
 
