@@ -3,7 +3,12 @@
 Every slice of documents is a shard. Its words that can take part in a match are laid out in one array, the suffixes of which are
 sorted by prefix doubling; every benchmark suffix is then looked up by binary search. The range of suffixes that share its
 first words gives all occurrences, which are extended to the longest verbatim match with its place. Texts never leave
-their task; the benchmark is sent to the tasks in blocks of at most ``block_words`` words, so that its size has no bound.
+their task. The benchmark is cut into blocks of about ``block_words`` words. One block is broadcast at a time: a larger benchmark
+takes a pass over the documents for each block, whose matches are written to the shared folder under the text's 64-bit hash, and the
+block is given up before the next one is read. So neither the driver nor a task ever holds more than one block.
+
+An item above ``block_words`` words is cut into pieces that share all but one word of a window. Its hits are whole; a match that runs
+across a border is told as one match for each piece.
 
 Results of corner cases: a null or empty text has no words and is never hit; an item without words or without an id has no
 windows; equal item ids count once; an empty benchmark hits nothing; repeated documents are judged each.
@@ -11,14 +16,15 @@ windows; equal item ids count once; an empty benchmark hits nothing; repeated do
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outturn.llm.common import column_of, map_texts, ranges, texts_of
+from outturn.llm.common import column_of, discard, map_texts, ranges, staged, text_key, texts_of
 
 WINDOW = 10
 #: Letters, digits and bytes above ASCII are parts of words; A-Z becomes a-z and all else a space.
@@ -165,64 +171,77 @@ def shard_matches(ids: np.ndarray, block: Block) -> tuple[np.ndarray, ...]:
     return np.concatenate(at), np.concatenate(what), np.concatenate(length), origin[np.cumsum(hit[:-1]) > 0]
 
 
-def blocks_of(benchmark: DataFrame, block_words: int, window: int) -> list:
-    """The items as broadcast blocks; the driver holds one block at a time."""
-    spark = benchmark.sparkSession
+#: Parts of a block's size that items are dealt to and blocks are packed from.
+PARTS = 8
+NO_WORD = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
+
+
+def block_items(benchmark: DataFrame, block_words: int, window: int) -> list[DataFrame]:
+    """The items (item_id, text) of each block; only the number of words of each part passes the driver."""
+    words = F.filter(F.split("text", NO_WORD), lambda w: w != "")
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("string").alias("item_id"), "text"
+        F.col("item_id").cast("string").alias("item_id"), "text", F.size(words).cast("bigint").alias("n")
     )
-    size = items.agg(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x80-\x{10FFFF}]+")))).first()[0] or 0
-    count = max(1, -(-size // block_words))
-    out = []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect() if count > 1 else items.collect()
-        out.append(spark.sparkContext.broadcast(Block([tuple(r) for r in rows], window)))
-    return out
+    total = items.agg(F.sum("n")).first()[0] or 0
+    if total <= block_words:
+        return [items.select("item_id", "text")]
+    step = max(1, block_words - window + 1)
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)).cast("int"), F.lit(step)),
+        lambda at: F.array_join(F.slice(words, at + 1, block_words), " "),
+    )
+    cut = F.when(F.col("n") > block_words, pieces).otherwise(F.array("text"))
+    items = items.select("item_id", F.explode(cut).alias("text")).distinct()
+    parts = PARTS * -(-total // block_words)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    sizes = items.groupBy(part.alias("part")).agg(F.sum(F.size(F.filter(F.split("text", NO_WORD), lambda w: w != ""))).alias("n"))
+    starts, held = [0], 0
+    for r in sizes.orderBy("part").toLocalIterator():
+        if held and held + r["n"] > block_words:
+            starts.append(r["part"])
+            held = 0
+        held += r["n"]
+    return [items.where(part.between(low, high - 1)) for low, high in zip(starts, [*starts[1:], parts], strict=True)]
 
 
 MATCHES = "matches array<struct<item_id: string, at: int, words: int>>"
 
 
-def find_matches(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000,
-    id_column: str = "doc_id", text_column: str = "text",
-) -> DataFrame:
-    """Per document: n_words, n_hit (words in a benchmark window), sorted item ids, the longest match, and all matches."""
-    blocks = blocks_of(benchmark, block_words, window)
+def _matches_of(documents: DataFrame, items: DataFrame | None, window: int, id_column: str, text_column: str) -> tuple:
+    """Per document n_words, n_hit, items, longest and all matches with ``items`` as one block, and its broadcast; None counts words only."""
+    rows = [] if items is None else [tuple(r) for r in items.collect()]
+    shared = documents.sparkSession.sparkContext.broadcast(Block(rows, window))
     kind = documents.schema[id_column].dataType.simpleString()
 
     def make():
+        block = shared.value
+
         def step(batch):
             words = [words_of(t) for t in texts_of(batch, text_column)]
             counts = np.fromiter(map(len, words), np.int64, len(words))
             # one empty word between documents
             begin = np.cumsum(counts + 1) - (counts + 1)
-            hit_all = np.zeros(int((counts + 1).sum()), bool)
-            per_doc: list[set] = [set() for _ in words]
-            matches: list[list] = [[] for _ in words]
-            for shared in blocks:
-                block = shared.value
-                ids = np.zeros(len(hit_all), np.int64)
-                inside = ranges(begin, counts)
-                ids[inside] = np.fromiter(
+            hits = np.zeros(int((counts + 1).sum()), bool)
+            matches: list[set] = [set() for _ in words]
+            if block.depth:
+                ids = np.zeros(len(hits), np.int64)
+                ids[ranges(begin, counts)] = np.fromiter(
                     (i for w in words for i in map(block.ids.get, w, repeat(0))), np.int64, int(counts.sum())
                 )
                 at, item, length, hit = shard_matches(ids, block)
-                hit_all[hit] = True
+                hits[hit] = True
                 owner = np.searchsorted(begin, at, "right") - 1
                 for d, p, i, n in zip(owner.tolist(), (at - begin[owner]).tolist(), item.tolist(), length.tolist(), strict=True):
-                    per_doc[d].add(block.names[i])
-                    matches[d].append((block.names[i], p, n))
-            total = np.r_[0, np.cumsum(hit_all)]
-            n_hit = total[begin + counts] - total[begin]
-            found = [sorted(set(m), key=lambda m: (m[1], m[0], m[2])) for m in matches]
+                    matches[d].add((p, block.names[i], n))
+            total = np.r_[0, np.cumsum(hits)]
+            found = [sorted(m) for m in matches]
             yield pa.RecordBatch.from_arrays(
                 [
-                    column_of(batch, id_column), pa.array(counts), pa.array(n_hit),
-                    pa.array([sorted(x) for x in per_doc], pa.list_(pa.string())),
+                    column_of(batch, id_column), pa.array(counts), pa.array(total[begin + counts] - total[begin]),
+                    pa.array([sorted({i for _, i, _ in m}) for m in found], pa.list_(pa.string())),
                     pa.array([max((n for _, _, n in m), default=0) for m in found], pa.int32()),
                     pa.array(
-                        [[{"item_id": i, "at": p, "words": n} for i, p, n in m] for m in found],
+                        [[{"item_id": i, "at": p, "words": n} for p, i, n in m] for m in found],
                         pa.list_(pa.struct([("item_id", pa.string()), ("at", pa.int32()), ("words", pa.int32())])),
                     ),
                 ],
@@ -232,4 +251,48 @@ def find_matches(
         return step
 
     schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, longest int, {MATCHES}"
-    return map_texts(documents, [id_column, text_column], make, schema)
+    return map_texts(documents, [id_column, text_column], make, schema), shared
+
+
+def _covered(matches: Column) -> Column:
+    """Number of words inside matches that are ordered by place: every window inside a match is an occurrence, and each lies in one."""
+    def add(so_far: Column, m: Column) -> Column:
+        end = m["at"] + m["words"]
+        fresh = F.greatest(end - F.greatest(so_far["end"], m["at"]), F.lit(0))
+        return F.struct(F.greatest(so_far["end"], end).alias("end"), (so_far["n"] + fresh).alias("n"))
+
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(matches, none, add, lambda so_far: so_far["n"])
+
+
+def find_matches(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """Per document: n_words, n_hit (words in a benchmark window), sorted item ids, the longest match, and all matches."""
+    blocks = block_items(benchmark, block_words, window)
+    if len(blocks) == 1:
+        return _matches_of(documents, blocks[0], window, id_column, text_column)[0]
+    texts = documents.select(F.col(id_column).alias("doc_id"), text_key(text_column).alias("_key"), F.col(text_column).alias("text"))
+    passes = []
+    for items in blocks:
+        found, shared = _matches_of(texts, items, window, "_key", "text")
+        passes.append(staged(found.where("size(matches) > 0").select(F.col("doc_id").alias("_key"), "matches").distinct(), "matches"))
+        shared.destroy()
+    every = reduce(DataFrame.unionAll, passes).groupBy("_key").agg(F.flatten(F.collect_list("matches")).alias("found"))
+    by_place = F.transform("found", lambda m: F.struct(m["at"].alias("at"), m["item_id"].alias("item_id"), m["words"].alias("words")))
+    back = F.transform(
+        F.sort_array(F.array_distinct(by_place)), lambda m: F.struct(m["item_id"].alias("item_id"), m["at"].alias("at"), m["words"].alias("words"))
+    )
+    every = staged(every.select(F.col("_key").alias("_found"), back.alias("_matches")), "matches")
+    discard(*passes)
+    # words are counted where the texts lie; only id, key and that number meet the matches
+    counted, _ = _matches_of(texts.select(F.struct("doc_id", "_key").alias("doc_id"), "text"), None, window, "doc_id", "text")
+    none = F.array().cast(every.schema["_matches"].dataType)
+    rows = counted.select("doc_id.doc_id", "doc_id._key", "n_words").join(every, F.col("_key") == F.col("_found"), "left")
+    rows = rows.withColumn("matches", F.coalesce("_matches", none))
+    return rows.select(
+        "doc_id", "n_words", _covered(F.col("matches")).alias("n_hit"),
+        F.sort_array(F.array_distinct(F.col("matches.item_id"))).alias("items"),
+        F.coalesce(F.array_max(F.col("matches.words")), F.lit(0)).alias("longest"), "matches",
+    )

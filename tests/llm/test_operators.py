@@ -139,9 +139,30 @@ def test_matches_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = list(brute_hits(texts, [(i, t) for i, t in items if i is not None]))
-    for block in (1_000_000, 25):
+    whole = by_id(suffixes.find_matches(docs, bench))
+    for block in (1_000_000, 70, 35, 14):
         got = by_id(suffixes.find_matches(docs, bench, block_words=block))
         assert [(got[i]["n_words"], got[i]["n_hit"], list(got[i]["items"])) for i in range(len(texts))] == want
+        if block >= 30:  # no item is cut
+            assert [(got[i]["longest"], got[i]["matches"]) for i in got] == [(whole[i]["longest"], whole[i]["matches"]) for i in got]
+
+
+def test_blocks_of_a_benchmark_are_bounded(spark):
+    draw = random.Random(3)
+    items = [(i, " ".join(f"w{draw.randint(0, 900)}" for _ in range(draw.randint(1, 80)))) for i in range(300)] + [(300, " ".join(f"z{k}" for k in range(5_000)))] + [(301, "same")] * 3_000
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = [[r["text"].split() for r in b.collect()] for b in suffixes.block_items(bench, 1_000, 10)]
+    assert len(blocks) > 10 and max(sum(map(len, b)) for b in blocks) <= 2_000
+    assert sum(len(b) for b in blocks) >= 305 and max(len(w) for b in blocks for w in b) <= 1_000
+
+
+def test_blocks_with_null_and_repeated_ids(spark):
+    passage = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, passage), (None, "clean"), (1, passage), (1, "clean"), (1, passage), (2, None)]
+    docs = spark.createDataFrame([(i, t, "k", 0) for i, t in rows], "doc_id long, text string, _key string, n_hit long")
+    bench = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 12))) for k in range(18)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], len(r["items"])) for r in suffixes.find_matches(docs, bench, block_words=40).collect())
+    assert got == [(0, 1, 0, 0), (0, 30, 29, 18), (1, 1, 0, 0), (1, 30, 29, 18), (1, 30, 29, 18), (2, 0, 0, 0)]
 
 
 def test_longest_match_and_place(spark):
