@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outturn.functions import vocab
 from outturn.functions.ranks import order_statistics, tenths
+from outturn.operators.resume import run_counts
 
 COUNTS = ["episodes", "resolved", "completed", "break_events", "unresolved", *vocab.EXCLUDED_LABELS]
 
@@ -142,6 +143,24 @@ def verdict_stats(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def run_stats(
+    results: DataFrame, wanted: DataFrame, previous: DataFrame, keys: list[str], since: str | None = None
+) -> DataFrame:
+    """``verdict_stats`` of a resumed run's rows, with what it left out, reused and worked on.
+
+    ``wanted`` are all candidates, also those before ``since``; ``previous`` are the rows of the earlier run.
+    """
+    counts = run_counts(wanted, previous, keys, since).select(
+        F.col("excluded").alias("excluded_count"), F.col("reused").alias("reused_from_previous_run"), "outstanding"
+    )
+    names = counts.columns
+    rows = counts.unpivot([], names, "key", "n").select(F.lit("run").alias("section"), "key", "n")
+    if since is not None:
+        before = rows.where("key = 'excluded_count'").select(F.lit("excluded_before").alias("section"), F.lit(since).alias("key"), "n")
+        rows = rows.unionByName(before)
+    return verdict_stats(results).unionByName(rows)
+
+
 def extraction_stats(terms: DataFrame, by: list[str] = ()) -> DataFrame:
     """Coverage, mixes and reconciliation shares over extracted rows, optionally grouped.
 

@@ -12,6 +12,7 @@ from outturn.operators import search, summary
 from outturn.operators.breaks import classify, confirm_breaks
 from outturn.operators.documents import announcement_texts, press_releases, primary_documents
 from outturn.operators.passages import locate_passages
+from outturn.operators.resume import resume, since_day
 from outturn.operators.sections import item_sections, section, section_body
 from outturn.operators.terms import (
     deterministic, extract_for_episodes, extract_terms, reconcile, structured,
@@ -96,6 +97,24 @@ def verdict_stats(spark: SparkSession, sf: str) -> DataFrame:
     return plain(summary.verdict_stats(_verdicts(spark, sf)))
 
 
+#: A run that looks at no candidate before this day.
+RUN_SINCE = "1995-01-01"
+
+
+def verdict_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a run after one that worked on two thirds of the candidates and failed to fetch half of those."""
+    from outturn.plans.deals import universe
+
+    wanted = cut(universe(spark, sf).where("label = 'terminated'"))
+    keys, failed = ["cik", "announced"], F.col("cik") % 3 == 2
+    earlier = cut(confirm_breaks(wanted.where("cik % 3 <> 0"), _documents(spark, sf)))
+    earlier = earlier.withColumns(
+        {"status": F.when(failed, vocab.FETCH_FAILED).otherwise(F.col("status")), "reasons": F.when(~failed, F.col("reasons"))}
+    )
+    results = resume(since_day(wanted, RUN_SINCE), earlier, keys, lambda rows: confirm_breaks(rows, _documents(spark, sf)))
+    return plain(summary.run_stats(cut(results), wanted, earlier, keys, RUN_SINCE))
+
+
 def break_rate_bounds(spark: SparkSession, sf: str) -> DataFrame:
     from outturn.plans.deals import universe
 
@@ -199,6 +218,7 @@ QUERIES = {
     "verdicts": verdicts,
     "confirmed_breaks": confirmed_breaks,
     "verdict_stats": verdict_stats,
+    "verdict_run": verdict_run,
     "break_rate_bounds": break_rate_bounds,
     "dataset_counts": dataset_counts,
     "terms": terms,
@@ -287,6 +307,15 @@ def oracles() -> dict[str, str]:
             union all select 'reason', reasons, count(*) from verdict where reasons <> '' group by 2
             union all select 'total', 'candidates', count(*) from verdict
             union all select 'total', 'break_fee_extracted', 0 union all select 'total', 'retry_needed', 0""",
+        "verdict_run": episode + f""", late as (select *, announced >= date '{RUN_SINCE}' as late from verdict)
+            select 'status' as section, status as key, count(*) as n from late where late group by 2
+            union all select 'reason', reasons, count(*) from late where late and reasons <> '' group by 2
+            union all select 'total', 'candidates', count(*) from late where late
+            union all select 'total', 'break_fee_extracted', 0 union all select 'total', 'retry_needed', 0
+            union all select 'excluded_before', '{RUN_SINCE}', count(*) from late where not late
+            union all select 'run', 'excluded_count', count(*) from late where not late
+            union all select 'run', 'reused_from_previous_run', count(*) from late where late and cik % 3 = 1
+            union all select 'run', 'outstanding', count(*) from late where late and cik % 3 <> 1""",
         "break_rate_bounds": episode + """, k as (select (select count(*) from uni where label in ('completed','completed_shell','terminated')) as resolved,
              (select count(*) from verdict where status = 'confirmed') as confirmed, (select count(*) from verdict where status = 'unclear') as undecided)
             select *, round(confirmed::double / resolved, 6) as lower, round((confirmed + undecided)::double / resolved, 6) as upper from k""",

@@ -9,7 +9,7 @@ from outturn.functions import forms
 from outturn.operators.features import check_no_leakage
 from outturn.operators.outcomes import label_outcomes
 from outturn.operators.pointintime import latest_annual, snapshot
-from outturn.operators.resume import resume, split_done
+from outturn.operators.resume import resume, run_counts, since_day, split_done
 from outturn.operators.search import page
 from outturn.operators.timeline import (
     announcement_days, announcement_report, episode_arrays, episode_timeline, episodes,
@@ -140,6 +140,21 @@ def test_resume_redoes_only_what_is_needed(spark):
     assert split_done(switched, before, ["cik", "source"])[0].count() == 0
 
 
+def test_run_counts_place_every_target_once(spark):
+    day = date
+    rows = [(1, day(2020, 1, 1)), (2, day(2021, 1, 1)), (3, day(2021, 1, 1)), (4, None), (None, day(2022, 1, 1)), (5, day(2022, 1, 1)), (5, day(2022, 1, 1))]
+    wanted = spark.createDataFrame(rows, "cik bigint, announced date")
+    before = [(1, rows[0][1], "confirmed"), (2, rows[1][1], "confirmed"), (2, rows[1][1], "unclear"), (3, rows[2][1], "fetch_failed"),
+              (None, rows[4][1], "confirmed"), (5, rows[5][1], "confirmed"), (9, rows[5][1], "confirmed")]
+    previous = spark.createDataFrame(before, "cik bigint, announced date, status string")
+    keys = ["cik", "announced"]
+    assert run_counts(wanted, previous, keys, "2021-01-01").first().asDict() == {"targets": 7, "excluded": 2, "reused": 3, "outstanding": 2}
+    assert run_counts(wanted, previous, keys).first().asDict() == {"targets": 7, "excluded": 0, "reused": 4, "outstanding": 3}
+    assert run_counts(wanted, previous.limit(0), keys, "2021-01-01").first()["outstanding"] == 5
+    assert run_counts(wanted.limit(0), previous, keys).first().asDict() == {"targets": 0, "excluded": 0, "reused": 0, "outstanding": 0}
+    assert sorted(r.cik or 0 for r in since_day(wanted, "2021-01-01").collect()) == [0, 2, 3, 5, 5]
+
+
 def test_guards(spark):
     with pytest.raises(ValueError):
         check_no_leakage(spark.createDataFrame([(1, "x")], "cik int, tickers string"))
