@@ -10,11 +10,15 @@ from outturn.functions.text import flatten, let, pieces, strip
 
 
 def is_title_only(segment: Column) -> Column:
-    """Nothing but a heading: no remainder, or a short one without a digit."""
-    rest = strip(flatten(F.regexp_replace(segment, P.TITLE_LINE, "")))
-    return (F.length(rest) == 0) | (
-        (F.length(rest) < P.TITLE_ONLY_CHARS) & ~rest.rlike(P.ANY_DIGIT)
-    )
+    """Nothing but a heading: no remainder, or a short one without a digit.
+
+    A remainder with a digit is not empty, so the digit is looked for first and only texts without one are measured.
+    """
+
+    def short(rest: Column) -> Column:
+        return ~rest.rlike(P.ANY_DIGIT) & (F.length(strip(flatten(rest))) < P.TITLE_ONLY_CHARS)
+
+    return let(F.regexp_replace(segment, P.TITLE_LINE, ""), short)
 
 
 def segments(text: Column) -> Column:
