@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.functions import patterns as P
+from outturn.functions.lineage import cut
 from outturn.functions.text import let, read_once
 
 
@@ -67,10 +68,11 @@ MOST_RULERS = 100_000
 def data_lines(lines: DataFrame) -> DataFrame:
     """Lines below each file's ruler of dashes, blank ones left out.
 
-    The rulers are counted first: as long as they are few, no line is shuffled, however many of them one file has.
+    The rulers are written and counted first, so that lines are read once for them: as long as they are few, no line is shuffled,
+    however many of them one file has.
     """
     place = F.struct("block", "at")
-    rulers = (
+    rulers = cut(
         lines.where(F.col("line").startswith(P.INDEX_RULER))
         .groupBy("file")
         .agg(F.min(place).alias("ruler"))
