@@ -11,6 +11,8 @@ this day" is a running value over the days in reverse.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ _ITEM_EVENTS = {
     "agreement": vocab.ITEM_MATERIAL_AGREEMENT,
 }
 _EVENTS = [*OUTCOME_EVENTS.values(), "agreement"]
+# place of each kind in the bits of a filing
+_BITS = {kind: at for at, kind in enumerate([*_EVENTS, "periodic", "announced", "14d9", "13e3"])}
 
 
 def _with_order(df: DataFrame) -> DataFrame:
@@ -44,44 +48,73 @@ def _with_order(df: DataFrame) -> DataFrame:
 
 
 def _tagged(filings: DataFrame, with_announcements: bool) -> DataFrame:
-    """One row per (filing, kind it counts as); filings of no interest drop out here."""
-    form, items = F.col("form"), F.col("items")
+    """One row per filing that counts as something, with ``kinds`` as bits; others drop out here.
+
+    What names a filing is kept where it is an event, so that the many others are short rows. A filing that is periodic and
+    nothing else has no day of its own (``rest``): only the first and the last of an entity are ever asked for.
+    """
+    form, items, filed = F.col("form"), F.col("items"), F.col("filed")
     current = forms.is_current_report(form)
     kinds: dict[str, Column] = {"dereg": forms.is_deregistration(form)}
     for name, code in _ITEM_EVENTS.items():
         kinds[name] = current & forms.has_item(items, code)
     kinds["periodic"] = forms.is_periodic(form)
     if with_announcements:
-        kinds["announced"] = forms.is_announcement(form)
-    named = F.array(*[F.when(c, F.lit(n)) for n, c in kinds.items()])
-    return _with_order(filings).select(
-        "cik", "filed", "seq", "accession", "form", "primary_document",
-        F.explode(F.array_compact(named)).alias("kind"),
+        kinds |= _announced(form)
+    bits = F.col("kinds")
+    event = bits.bitwiseAND(sum(1 << _BITS[e] for e in _EVENTS)) != 0
+    rest = bits == 1 << _BITS["periodic"]
+    # a generated column: the test on it stays here, and is not copied into the reading of the table with all it is made of
+    return (
+        _with_order(filings)
+        .select("cik", "filed", "seq", "accession", "form", "primary_document", F.explode(F.array(_bits(kinds))).alias("kinds"))
+        .where(bits != 0)
+        .select(
+            "cik", F.when(~rest, filed).alias("filed"), rest.alias("rest"), "kinds",
+            F.when(_is(bits, "periodic"), filed).alias("periodic"),
+            *[F.when(event, F.col(c)).alias(c) for c in ("seq", "accession", "form", "primary_document")],
+        )
     )
 
 
+def _announced(form: Column) -> dict[str, Column]:
+    """An announcement, and the two forms that are counted."""
+    announced = forms.is_announcement(form)
+    return {"announced": announced, "14d9": announced & form.contains("14D9"), "13e3": announced & form.contains("13E3")}
+
+
+def _bits(kinds: dict[str, Column]) -> Column:
+    return reduce(Column.bitwiseOR, [F.when(c, 1 << _BITS[n]).otherwise(0) for n, c in kinds.items()])
+
+
+def _is(kinds: Column, name: str) -> Column:
+    return kinds.bitwiseAND(1 << _BITS[name]) != 0
+
+
 def event_days(filings: DataFrame, announcements: DataFrame | None = None) -> DataFrame:
-    """One row per (cik, filed): first event of each kind, announcement counts, flags.
+    """One row per (cik, filed) with an event or an announcement: first event of each kind, announcement counts.
 
-    ``announcements`` defaults to the announcement forms inside ``filings``; pass the
+    ``periodic_from`` and ``periodic_to`` are the first and last periodic report; those of days without anything else are in
+    one row of the entity, which has no day. ``announcements`` defaults to the announcement forms inside ``filings``; pass the
     index scan to take them from there instead.
     """
     rows = _tagged(filings, with_announcements=announcements is None)
     if announcements is not None:
+        # every row of the index is an announcement, whatever its form
+        form = F.col("form")
+        counted = {"announced": F.lit(True), "14d9": form.contains("14D9"), "13e3": form.contains("13E3")}
         rows = rows.unionByName(
-            announcements.select("cik", "filed", "form", F.lit("announced").alias("kind")),
+            announcements.select("cik", "filed", F.lit(False).alias("rest"), _bits(counted).alias("kinds")),
             allowMissingColumns=True,
         )
     event = F.struct("filed", "seq", "accession", "form", "primary_document")
-    kind = F.col("kind")
-    announced = kind == "announced"
-    return rows.groupBy("cik", "filed").agg(
-        *[F.min(F.when(kind == n, event)).alias(n) for n in _EVENTS],
-        F.max(kind == "periodic").alias("periodic"),
-        F.count_if(announced).alias("n_announced"),
-        F.count_if(announced & F.col("form").contains("14D9")).alias("n_14d9"),
-        F.count_if(announced & F.col("form").contains("13E3")).alias("n_13e3"),
-    )
+    kinds = F.col("kinds")
+    return rows.groupBy("cik", "filed", "rest").agg(
+        *[F.min(F.when(_is(kinds, n), event)).alias(n) for n in _EVENTS],
+        F.min("periodic").alias("periodic_from"),
+        F.max("periodic").alias("periodic_to"),
+        *[F.count_if(_is(kinds, n)).alias(f"n_{n}") for n in ("announced", "14d9", "13e3")],
+    ).drop("rest")
 
 
 def announcement_days(
@@ -103,7 +136,8 @@ def announcement_days(
         .orderBy(F.col("filed").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    entity = Window.partitionBy("cik")
+    # ordered like the others, so that one pass over the days of an entity serves all three
+    entity = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     is_announced = F.col("n_announced") > 0
     is_mark = F.col("dereg").isNotNull() | F.col("termination").isNotNull()
@@ -115,11 +149,11 @@ def announcement_days(
         F.last("agreement", ignorenulls=True).over(upto).alias("prior_agreement"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counts],
         F.max(F.when(is_announced, F.col("filed"))).over(entity).alias("final_announced"),
-        F.min(F.when(F.col("periodic"), F.col("filed"))).over(entity).alias("first_periodic"),
-        F.max(F.when(F.col("periodic"), F.col("filed"))).over(entity).alias("last_periodic"),
+        F.min("periodic_from").over(entity).alias("first_periodic"),
+        F.max("periodic_to").over(entity).alias("last_periodic"),
         *[F.sum(c).over(entity).alias(f"{c}_total") for c in counts],
         *[F.last(e, ignorenulls=True).over(after).alias(f"next_{e}") for e in _EVENTS],
-    ).drop(*_EVENTS, "periodic")
+    ).drop(*_EVENTS, "periodic_from", "periodic_to")
     starts = (
         F.col("prev_announced").isNull()
         | (F.datediff("filed", "prev_announced") > gap_days)
@@ -144,7 +178,11 @@ def episode_timeline(
     last_periodic, the first event of each kind after the announcement, and the
     material-agreement reports either side of it.
     """
-    days = announcement_days(filings, announcements, gap_days)
+    return timeline_of(announcement_days(filings, announcements, gap_days))
+
+
+def timeline_of(days: DataFrame) -> DataFrame:
+    """The episode timeline from :func:`announcement_days`, for those who need both."""
     in_order = Window.partitionBy("cik").orderBy("filed")
 
     def within(count: str) -> Column:

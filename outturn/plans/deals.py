@@ -14,7 +14,7 @@ from outturn.operators.pointintime import latest_annual, snapshot
 from outturn.operators.resume import resume, split_done
 from outturn.operators.survival import curve_report, survival_table
 from outturn.operators.timeline import (
-    announcement_days, announcement_report, episode_arrays, episode_filings, episode_timeline, episodes,
+    announcement_days, announcement_report, episode_arrays, episode_filings, episode_timeline, episodes, timeline_of,
 )
 from outturn.operators.universe import attach_announcements, attach_company, build_universe, coverage, history_window
 from outturn.plans import adapters as A
@@ -209,9 +209,9 @@ def validation_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deal_export(spark: SparkSession, sf: str) -> DataFrame:
-    events = timeline(spark, sf)
-    arrays = episode_arrays(_announcements(spark, sf), announcement_days(_filings(spark, sf)))
-    return plain(slim(attach_announcements(universe_of(spark, sf, events), arrays), vocab.DEAL_FIELDS))
+    days = cut(announcement_days(_filings(spark, sf)))
+    arrays = episode_arrays(_announcements(spark, sf), days)
+    return plain(slim(attach_announcements(universe_of(spark, sf, timeline_of(days)), arrays), vocab.DEAL_FIELDS))
 
 
 def resumed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
