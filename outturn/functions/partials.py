@@ -26,10 +26,9 @@ def vector_sum(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], l
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "value"])
 
-    rows = df.mapInArrow(run, f"slot int, value {kind}").groupBy("slot").agg(F.sum("value").alias("value")).collect()
+    rows = df.mapInArrow(run, f"slot int, value {kind}").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(length, number)
-    for slot, value in rows:
-        out[slot] = value
+    out[rows["slot"].to_numpy()] = rows["value"].to_numpy()
     return out
 
 

@@ -33,11 +33,15 @@ class Tree:
 
     def descend(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """Number of the node of each row among those ``levels`` below the root."""
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(levels):
-            split = self.feature[node]
-            node = 2 * node + 1 + ((split >= 0) & (bins[rows, split] > self.edge[node]))
-        return node - (2**levels - 1)
+        node = np.zeros(len(bins), np.int16)
+        for level in range(levels):
+            right = np.zeros(len(bins), bool)
+            for at in range(2**level):
+                feature, edge = self.feature[2**level - 1 + at], self.edge[2**level - 1 + at]
+                if feature >= 0:
+                    right |= (node == at) & (bins[:, feature] > edge)
+            node = 2 * node + right
+        return node
 
 
 @dataclass
@@ -57,7 +61,9 @@ class Boosted:
 
 
 def added(rounds: list[list[Tree]], bins: np.ndarray, sets: int) -> np.ndarray:
-    out = np.zeros((len(bins), sets))
+    """What the trees say of each row; a comparison of a whole column at a time, so columns lie together."""
+    bins = np.asfortranarray(bins)
+    out = np.zeros((len(bins), sets), order="F")
     for trees in rounds:
         for k, tree in enumerate(trees):
             out[:, k] += tree.value[tree.descend(bins, len(tree.value).bit_length() - 1)]
@@ -114,6 +120,43 @@ def ready(patterns: DataFrame) -> DataFrame:
     return out.coalesce(1 + out.count() // TASK_PATTERNS).persist()
 
 
+#: Patterns of a block: a row of the table that the trees are fitted on.
+BLOCK = 8192
+_BLOCKS = "n int, x binary, c binary, margin binary"
+
+
+def _blocks(base: np.ndarray):
+    """Patterns to rows of up to ``BLOCK`` of them, whose bins, counts and margins are matrices column by column."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x, c = matrix(part, "x").astype(np.int16), matrix(part, "c").astype(np.int64)
+                margin = np.tile(base, (len(x), 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(x)], pa.int32()), *[pa.array([m.tobytes("F")], pa.binary()) for m in (x, c, margin)]],
+                    ["n", "x", "c", "margin"],
+                )
+
+    return run
+
+
+def _matrices(batch):
+    """Bins, counts and margins of each block of a batch."""
+    columns = [batch.column(batch.schema.get_field_index(name)) for name in ("n", "x", "c", "margin")]
+    for n, *blocks in zip(*columns, strict=True):
+        yield tuple(
+            np.frombuffer(b.as_buffer(), kind).reshape(n.as_py(), -1, order="F")
+            for b, kind in zip(blocks, (np.int16, np.int64, np.float64), strict=True)
+        )
+
+
+def _written(blocks: DataFrame) -> DataFrame:
+    return cut(blocks).persist()
+
+
 def fit_boosted(
     patterns: DataFrame, edges: list[np.ndarray], totals: np.ndarray, rounds: int = 200, depth: int = 3, rate: float = 0.05, least: int = 20
 ) -> Boosted:
@@ -126,7 +169,7 @@ def fit_boosted(
     slots = int(offset[-1])
     zeros, ones = left_out(totals[None, :])
     model = Boosted(edges, np.log(ones / zeros)[0])
-    state = ready(patterns.select("x", "c", F.array(*[F.lit(float(b)) for b in model.base]).alias("margin")))
+    state = _written(patterns.select("x", "c").mapInArrow(_blocks(model.base), _BLOCKS))
     fresh: list[list[Tree]] = []
     try:
         for done in range(rounds):
@@ -147,7 +190,7 @@ def fit_boosted(
             fresh.append(trees)
             model.trees.append(trees)
             if len(fresh) == KEPT and done + 1 < rounds:
-                later = ready(state.mapInArrow(_moved(list(fresh)), state.schema))
+                later = _written(state.mapInArrow(_moved(list(fresh)), _BLOCKS))
                 state.unpersist()
                 state, fresh = later, []
     finally:
@@ -171,34 +214,44 @@ def _split(tree: Tree, level: int, node: int, depth: int, found: tuple, rate: fl
 
 def _gradients(fresh: list[list[Tree]], trees: list[Tree], level: int, offset: np.ndarray):
     sets, nodes, slots = len(trees), 2**level, int(offset[-1])
+    width = np.diff(offset)
+    two, others = np.flatnonzero(width == 2), np.flatnonzero(width != 2)
 
-    def partial(batch):
-        bins = matrix(batch, "x").astype(np.int64)
-        zeros, ones = left_out(matrix(batch, "c"))
-        p = 1 / (1 + np.exp(-(matrix(batch, "margin") + added(fresh, bins, sets))))
+    def block(bins: np.ndarray, counts: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        zeros, ones = left_out(counts)
+        p = 1 / (1 + np.exp(-(margin + added(fresh, bins, sets))))
         weight = zeros + ones
-        slot = bins + offset[:-1]
-        out = np.zeros((3, sets, nodes * slots), np.int64)
+        # whole numbers below 2^53, so sums of them are exact in any order
+        values = [np.rint((weight * p - ones) / UNIT), np.rint(weight * p * (1 - p) / UNIT), weight]
+        above = bins[:, two].astype(float)
+        rows = np.arange(len(bins))
+        out = np.zeros((3, sets, nodes, slots))
         for k in range(sets):
-            at = (trees[k].descend(bins, level)[:, None] * slots + slot).ravel()
-            for i, v in enumerate((weight[:, k] * p[:, k] - ones[:, k], weight[:, k] * p[:, k] * (1 - p[:, k]))):
-                whole = np.rint(v / UNIT).astype(np.int64)
-                np.add.at(out[i, k], at, np.repeat(whole, slot.shape[1]))
-            np.add.at(out[2, k], at, np.repeat(weight[:, k].astype(np.int64), slot.shape[1]))
-        return out.ravel()
-
-    return partial
+            node = trees[k].descend(bins, level).astype(np.int64)
+            spread = np.zeros((len(bins), 3, nodes))
+            for i, v in enumerate(values):
+                spread[rows, i, node] = v[:, k]
+            right = (above.T @ spread.reshape(len(bins), -1)).reshape(len(two), 3, nodes).transpose(1, 2, 0)
+            out[:, k, :, offset[two] + 1] = right.transpose(2, 0, 1)
+            out[:, k, :, offset[two]] = (spread.sum(0)[:, :, None] - right).transpose(2, 0, 1)
+            for f in others:
+                at = node * width[f] + bins[:, f]
+                for i, v in enumerate(values):
+                    found = np.bincount(at, v[:, k], nodes * width[f])
+                    out[i, k, :, offset[f] : offset[f + 1]] = found.reshape(nodes, -1)
+        return out.astype(np.int64).ravel()
+
+    return lambda batch: sum(block(*part) for part in _matrices(batch))
 
 
 def _moved(fresh: list[list[Tree]]):
-    """Adds what trees say to the margins of each row."""
+    """Adds what trees say to the margins of each block."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                old = matrix(batch, "margin")
-                new = old + added(fresh, matrix(batch, "x").astype(np.int64), old.shape[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new.tolist(), pa.list_(pa.float64()))], ["x", "c", "margin"])
+                moved = [(margin + added(fresh, bins, margin.shape[1])).tobytes("F") for bins, _, margin in _matrices(batch)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(moved, pa.binary())], ["n", "x", "c", "margin"])
 
     return run

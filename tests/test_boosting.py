@@ -91,3 +91,32 @@ def test_folds_are_stratified(spark):
     for label, n in ((1, 56), (0, 447)):
         parts = [r["count"] for r in sizes if r["broke"] == label]
         assert len(parts) == 5 and sum(parts) == n and max(parts) - min(parts) <= 1
+
+
+def test_patterns_travel_in_blocks_and_sum_exactly(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    draw = np.random.default_rng(1)
+    edges = [np.arange(9.0), np.array([0.5]), np.array([]), np.array([0.5])]
+    x = np.stack([draw.integers(0, len(e) + 1, 700) for e in edges], 1)
+    counts = draw.integers(0, 3, (700, 2 * FOLDS))
+    rows = [(a, b) for a, b in zip(x.tolist(), counts.tolist(), strict=True)]
+    patterns = spark.createDataFrame(rows, "x array<int>, c array<bigint>").repartition(3)
+    base = np.array([-1.0, 0.2, 0.7])
+    blocks = patterns.mapInArrow(boosting._blocks(base), boosting._BLOCKS)
+    sizes = [r["n"] for r in blocks.select("n").collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 64 and len(sizes) < 20
+    offset = np.r_[0, np.cumsum([len(e) + 1 for e in edges])]
+    splits = [(np.array([0, 1, -1]), np.array([k, 0, 0])) for k in range(FOLDS)]
+    trees = [boosting.Tree(f, e, np.arange(4) / 8) for f, e in splits]
+    got = boosting.vector_sum(blocks, boosting._gradients([trees], trees, 1, offset), 3 * FOLDS * 2 * offset[-1], "bigint")
+    want = np.zeros((3, FOLDS, 2, offset[-1]), np.int64)
+    zeros, ones = boosting.left_out(counts)
+    for k in range(FOLDS):
+        root = x[:, 0] > k
+        leaf = np.where(root, 2, x[:, 1] > 0)  # the right node has no split, so all its rows go left
+        p = 1 / (1 + np.exp(-(base[k] + trees[k].value[leaf])))
+        w = (zeros + ones)[:, k]
+        for i, v in enumerate(((w * p - ones[:, k]) / boosting.UNIT, w * p * (1 - p) / boosting.UNIT, w)):
+            for f in range(4):
+                np.add.at(want[i, k], (root.astype(int), offset[f] + x[:, f]), np.rint(v).astype(np.int64))
+    assert (got == want.ravel()).all()
