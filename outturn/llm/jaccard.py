@@ -5,7 +5,8 @@ the similarity differ in at most H shingles, so if the segments' allotments sum
 allotment: one segment of allotment 1 is equal, or one of allotment 2 differs by one shingle at most and shares a
 one-deletion neighbour. The allotment of a band is the one of least estimated cost. Candidates are verified on whole sets.
 
-Copies meet at their smallest id first. Candidates of a segment value are joined to its smallest set, the linked ones are
+Keys travel once, in blocks of some bytes a key, and of keys that the same sets share one stays. Copies meet at their smallest
+id first. Candidates of a segment value are joined to its smallest set, the linked ones are
 contracted to components, and only pairs between different components are formed afterwards; a group of near
 copies costs its size and not its square, and no link between different texts is lost.
 
@@ -24,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outturn.llm.common import column_of, discard, lists, map_texts, ranges, staged, texts_of
+from outturn.llm.buckets import partitions
+from outturn.llm.common import column_of, discard, lists, map_texts, ranges, slices, staged, texts_of
 
 SHINGLE = 3
 #: Ratio between the ends of a size band.
@@ -37,6 +39,9 @@ BUCKETS = 64
 #: Longs of the parity sketch. Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
 PARITY = 8
 
+#: Segment keys of a block, keys that a task holds before it writes blocks, and shingles for which there is a task that groups keys.
+BLOCK, HELD, TASK_SHINGLES = 8192, 1 << 20, 1 << 21
+
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -186,15 +191,100 @@ def _measures(documents: DataFrame, n: int) -> DataFrame:
     return _sets(documents, n, row, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, parity array<bigint>")
 
 
-def _segment_keys(documents: DataFrame, n: int, plan: Plan) -> DataFrame:
-    def row(ids, sets):
-        keys = [plan.keys(s) for s in sets]
-        counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        doc = np.repeat(ids.to_numpy(zero_copy_only=False), counts)
-        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(doc)], ["key", "doc_id"])
+def _segment_keys(documents: DataFrame, n: int, plan: Plan, bloom, buckets: int) -> DataFrame:
+    """Segment keys of the documents that the Bloom filter lets through, as blocks of (tag, id) dealt to buckets by the key.
+
+    A tag is 32 bits of the rest of a key. Keys that fall together only add sets to a group, which are then compared in vain.
+    """
+
+    def make():
+        have = bloom.value
 
-    return _sets(documents, n, row, "key bigint, doc_id bigint")
+        def step(batch):
+            batch = batch.filter(pa.array(_let_through(have, batch)))
+            keys = [plan.keys(shingles(t, n)) for t in texts_of(batch)]
+            counts = np.fromiter(map(len, keys), np.int64, len(keys))
+            if counts.sum():
+                flat, ids = np.concatenate(keys), column_of(batch, "doc_id").to_numpy(zero_copy_only=False)
+                yield flat % np.uint64(buckets), (flat // np.uint64(buckets)).astype(np.uint32), np.repeat(ids, counts)
+
+        return step
+
+    def blocks(held):
+        bucket, tag, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        bucket, tag, doc = bucket[order].astype(np.int64), tag[order], doc[order]
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        starts = np.concatenate([np.arange(x, y, BLOCK) for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        ends = np.r_[starts[1:], len(bucket)]
+        rows = []
+        for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+            least = int(doc[x:y].min())
+            narrow = int(doc[x:y].max()) - least < 1 << 32
+            # ids as distances from the least one, in four bytes where they fit
+            rows.append((least if narrow else None, tag[x:y].tobytes(), (doc[x:y] - least).astype(np.uint32).tobytes() if narrow else doc[x:y].tobytes()))
+        least, tags, docs = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts], pa.int64()), pa.array(least, pa.int64()), pa.array(tags, pa.binary()), pa.array(docs, pa.binary())],
+            ["bucket", "least", "tags", "docs"],
+        )
+
+    def run(batches):
+        step, held, waiting = make(), [], 0
+        for batch in batches:
+            for part in slices(batch):
+                for made in step(part):
+                    held.append(made)
+                    waiting += len(made[0])
+                if waiting > HELD:
+                    yield blocks(held)
+                    held, waiting = [], 0
+        if held:
+            yield blocks(held)
+
+    return documents.select("doc_id", "text").mapInArrow(run, "bucket bigint, least bigint, tags binary, docs binary")
+
+
+def _groups(blocks: DataFrame, tasks: int) -> DataFrame:
+    """(key, doc_id, size): the sets that share a segment key with others. Keys that the same sets share count once, under a digest of these sets."""
+
+    def met(held):
+        tag = np.concatenate([np.frombuffer(t, np.uint32) for _, t, _ in held])
+        doc = np.concatenate([
+            np.frombuffer(d, np.int64) if least is None else np.frombuffer(d, np.uint32).astype(np.int64) + least for least, _, d in held
+        ])
+        order = np.lexsort((doc, tag))
+        tag, doc = tag[order], doc[order]
+        new = np.r_[True, (tag[1:] != tag[:-1]) | (doc[1:] != doc[:-1])]
+        tag, doc = tag[new], doc[new]
+        starts = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
+        sizes = np.diff(np.r_[starts, len(tag)])
+        digest = scramble(np.add.reduceat(scramble(doc.view(np.uint64) + MIX[2]), starts) * MIX[0] + sizes.astype(np.uint64))
+        shared = np.flatnonzero(sizes > 1)
+        digest, first = np.unique(digest[shared], return_index=True)
+        starts, sizes = starts[shared[first]], sizes[shared[first]]
+        for low in range(0, len(first), BLOCK):
+            part = slice(low, low + BLOCK)
+            # a group of many sets leaves in pieces
+            at = ranges(starts[part], sizes[part])
+            columns = np.repeat(digest[part].view(np.int64), sizes[part]), doc[at], np.repeat(sizes[part], sizes[part])
+            for k in range(0, len(at), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + HELD], pa.int64()) for c in columns], ["key", "doc_id", "size"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield from met(held)
+                    held = []
+                now = bucket
+                held.append(block)
+        if held:
+            yield from met(held)
+
+    dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "key bigint, doc_id bigint, size bigint").distinct()
 
 
 def _filter_bits(ids: np.ndarray, longs: int) -> np.ndarray:
@@ -223,6 +313,12 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _let_through(have: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows' ids the Bloom filter has."""
+    place = _filter_bits(column_of(batch, "doc_id").to_numpy(zero_copy_only=False), len(have))
+    return ((have[place // np.uint64(64)] >> (place % np.uint64(64))) & np.uint64(1)).all(1)
+
+
 def _wanted_sets(documents: DataFrame, n: int, bloom) -> DataFrame:
     """Sets of the documents that the Bloom filter lets through."""
 
@@ -230,9 +326,7 @@ def _wanted_sets(documents: DataFrame, n: int, bloom) -> DataFrame:
         have = bloom.value
 
         def step(batch):
-            place = _filter_bits(column_of(batch, "doc_id").to_numpy(zero_copy_only=False), len(have))
-            seen = ((have[place // np.uint64(64)] >> (place % np.uint64(64))) & np.uint64(1)).all(1)
-            batch = batch.filter(pa.array(seen))
+            batch = batch.filter(pa.array(_let_through(have, batch)))
             if batch.num_rows:
                 sets = pa.array([shingles(t, n).tobytes() for t in texts_of(batch)], pa.binary())
                 yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), sets], ["doc_id", "shingles"])
@@ -329,15 +423,16 @@ def near_copies(
     first = staged(
         full.join(member.where("doc_id = uid").select("doc_id"), "doc_id").select("doc_id", "n_shingles", "sketch", "parity"), "first"
     )
-    plan = Plan(percent, first.count())
-
-    keys = staged(_segment_keys(documents, n, plan), "keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key")
-    met = staged(keys.join(shared, "key").join(member, "doc_id").select("key", F.col("uid").alias("doc_id")).distinct(), "met")
-    discard(keys)
-    # The hub of a segment value is its set that meets the most others: in a group of near copies, the text they come from.
-    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    busy = met.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("busy"))
+    documents_first, all_shingles = first.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    plan = Plan(percent, documents_first)
+
+    tasks = max(partitions(documents), all_shingles // TASK_SHINGLES)
+    bloom = documents.sparkSession.sparkContext.broadcast(_bloom(first.select("doc_id")))
+    keys = _segment_keys(documents, n, plan, bloom, 2 * tasks)
+    met = _groups(keys, tasks).join(first.select("doc_id"), "doc_id", "left_semi")
+    met = staged(met.select("key", "doc_id", "size"), "met")
+    # The hub of a group is its set that meets the most others: in a group of near copies, the text they come from.
+    busy = met.groupBy("doc_id").agg(F.sum("size").alias("busy"))
     hubs = met.join(busy, "doc_id").groupBy("key").agg(F.max(F.struct("busy", (-F.col("doc_id")).alias("minus"))).alias("top"))
     star = met.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").where("doc_id <> hub")
     star = star.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
@@ -363,8 +458,10 @@ def near_copies(
     bound = F.lit(100 + percent) * differ <= F.lit(100 - percent) * total
     left, right = side("a"), side("b")
     cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & bound)
-    more = staged(_possible(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), first, percent), "more")
-    discard(met, near, open_, tried)
+    # written first, so that Spark doesn't move the anti-join to the pairs as they repeat in many groups
+    pairs = staged(cross.select("a", "b").distinct(), "pairs")
+    more = staged(_possible(pairs.join(tried, ["a", "b"], "left_anti"), first, percent), "more")
+    discard(met, near, open_, tried, pairs)
     final = components(linked.union(_verified(more, documents, n, percent)))
     return (
         measures.select("doc_id", "n_shingles").join(member, "doc_id", "left")
