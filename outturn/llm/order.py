@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outturn.llm.buckets import bucket_of, id_bounds, partitions
-from outturn.llm.common import column_of, map_texts, shared_folder, staged, texts_of
+from outturn.llm.common import column_of, discard, map_texts, shared_folder, staged, texts_of, written
 from outturn.llm.jaccard import MIX, scramble
 from outturn.llm.pieces import Encoder, vocabulary
 
@@ -171,12 +171,19 @@ def sequences(rows: DataFrame, total: int, key: int, length: int = LENGTH, kind:
 SHARD = "shard bigint, first_slot bigint, doc_id array<bigint>, seq_no array<bigint>, body binary"
 
 
-def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8) -> int:
-    """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``packed``, ``ids`` or ``text``."""
+def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: Ids = UTF8, own: bool = False) -> int:
+    """Writes all sequences in training order under ``path``; returns their number. ``documents`` has ``packed``, ``ids`` or ``text``.
+
+    Records are written between the two shuffles, so that the disk holds one of them at a time; ``own``: ``documents`` is a staged
+    table that nobody needs any longer then, and is deleted.
+    """
     docs, total = numbered(packed(documents, kind), length * kind.width)
     together = docs.repartition(partitions(docs), "unit").sortWithinPartitions("unit", "doc_id", "body")
     pad, size = kind.pack([kind.pad]), length * kind.width
-    rows = sequences(together, total, key, length, kind).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
+    records = staged(sequences(together, total, key, length, kind), "records")
+    if own:
+        discard(documents)
+    rows = records.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint"))
     dealt = rows.repartition(partitions(docs), "shard").sortWithinPartitions("shard", "slot")
 
     def run(batches):
@@ -199,7 +206,8 @@ def write_shards(documents: DataFrame, path: str, key: int, length: int = LENGTH
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in SHARD.split(", ")])
 
-    dealt.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    written(dealt.mapInArrow(run, SHARD), path)
+    discard(records)
     return total
 
 
@@ -240,16 +248,16 @@ def tokenised(documents: DataFrame, model_path: str) -> DataFrame:
     return staged(map_texts(docs, ["doc_id", "text"], make, "doc_id bigint, packed binary"), "ids")
 
 
-def materialise(documents: DataFrame, key: int = 20_240_229, kind: Ids = UTF8) -> DataFrame:
-    """Writes the shards to the shared folder and returns one row for each record read back, with its SHA-256."""
+def materialise(documents: DataFrame, key: int = 20_240_229, kind: Ids = UTF8, own: bool = False) -> DataFrame:
+    """Writes the shards to the shared folder and returns one row for each record read back, with its SHA-256; ``own`` as in ``write_shards``."""
     spark = documents.sparkSession
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(documents, path, key, kind=kind)
+    write_shards(documents, path, key, kind=kind, own=own)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(5).to_pylist()
-            length = [int(np.count_nonzero(kind.unpack(x) != kind.pad)) for x in ids]
+            length = [int(np.count_nonzero(np.frombuffer(x, f"<u{kind.width}") != kind.pad)) for x in ids]
             digest = [hashlib.sha256(x).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(length, pa.int32()), pa.array(digest)], ["slot", "shard", "at", "doc_id", "seq_no", "n_ids", "ids_sha256"]

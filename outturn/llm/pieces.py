@@ -14,6 +14,7 @@ characters outside of the vocabulary become byte pieces; rows that repeat are en
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
@@ -85,6 +86,19 @@ class Vocabulary:
         self.keys = np.array(keys, np.int64)[sort]
         self.made = np.array(made, np.int32)[sort]
         self.ranks = np.array(ranks, np.int32)[sort]
+        # Neighbours inside pieces, by numbers of characters; 0 is a character outside of all of them. Nothing merges across others.
+        chars = sorted({c for name in ids if len(name) > 1 for c in name})
+        self.number = np.zeros(0x110000, np.int16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.near = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for name in ids:
+            if len(name) > 1:
+                at = self.number[[ord(c) for c in name]]
+                self.near[at[:-1], at[1:]] = True
+        self.by_point = -1 - np.arange(0x110000, dtype=np.int64)
+        for name, symbol in self.symbols.items():
+            if len(name) == 1:
+                self.by_point[ord(name)] = symbol
         # A space mark only ever leads a piece, so nothing merges across the start of a run of them.
         self.splits = not any(SPACE in name.lstrip(SPACE) for name in ids)
 
@@ -97,6 +111,19 @@ class Vocabulary:
             return [SPACE + marked.replace(" ", SPACE)]
         return PARTS.findall(SPACE + marked.replace(" ", SPACE))
 
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words cut where no piece has the two characters side by side, and the number of parts of each."""
+        text = "".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        number = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        edge = np.ones(len(text) + 1, bool)
+        edge[1:-1] = ~self.near[number[:-1], number[1:]]
+        ends = np.cumsum(sizes)
+        edge[ends] = True
+        before = np.r_[0, np.cumsum(edge)]
+        at = np.flatnonzero(edge).tolist()
+        return [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], before[ends] - before[ends - sizes]
+
     def _pairs(self, symbol: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of the pair that starts at each place of ``at``; rank NONE where nothing merges."""
         rank, made = np.full(len(at), NONE, np.int32), np.zeros(len(at), np.int64)
@@ -166,11 +193,8 @@ class Vocabulary:
     def _by_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(words)
         owner = np.repeat(np.arange(len(words), dtype=np.int64), np.fromiter(map(len, words), np.int64, len(words)))
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds, back = np.unique(points, return_inverse=True)
         # A character outside of all pieces is a symbol below zero; it never merges.
-        known = np.array([self.symbols.get(chr(k), -1 - int(k)) for k in kinds], np.int64)
-        symbol = known[back] if len(kinds) else np.zeros(0, np.int64)
+        symbol = self.by_point[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         done_symbol, done_owner = [], []
         if len(symbol):
             pair_rank, made = self._pairs(symbol, owner, np.arange(len(symbol)))
@@ -203,7 +227,9 @@ class Vocabulary:
             moved = np.cumsum(keep)[chosen] - 1
             symbol, owner, pair_rank, made = symbol[keep], owner[keep], pair_rank[keep], made[keep]
             # only the pairs around a merged symbol are new
-            again = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
+            fresh = np.zeros(len(symbol), bool)
+            fresh[moved] = fresh[np.maximum(moved - 1, 0)] = True
+            again = np.flatnonzero(fresh)
             pair_rank[again], made[again] = self._pairs(symbol, owner, again)
         if done_symbol:
             symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
@@ -292,39 +318,76 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Encoder:
-    """Encodes texts of a task; pieces of words seen before are looked up."""
+class Numbers(dict):
+    """Numbers strings in the order in which they are first asked for; ``new`` are those since it was emptied."""
 
-    def __init__(self, path: str) -> None:
-        self.vocabulary = vocabulary(path)
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, string: str) -> int:
+        number = self[string] = len(self)
+        self.new.append(string)
+        return number
+
+
+class Remembered:
+    """Flat ids of strings; those met before are looked up, the others are made by ``make(strings)``."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.make = make
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Numbers()
         self.flat = np.zeros(0, np.int32)
         self.start = self.count = np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts without end ids, and the number of ids of each."""
-        split = [self.vocabulary.words(t) for t in texts]
-        new = list(set().union(*split).difference(self.place))
-        kept = len(self.place)
+    def look_up(self, strings: Iterable[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the ``n`` strings and the number of ids of each."""
+        at = np.fromiter(map(self.place.__getitem__, strings), np.int64, n)
+        new = self.place.new
         if new:
-            ids, counts = self.vocabulary.encode_words(new)
+            ids, counts = self.make(new)
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(counts) - counts]
             self.count = np.r_[self.count, counts]
             self.flat = np.r_[self.flat, ids]
-            self.place.update(zip(new, range(kept, kept + len(new)), strict=True))
-        n = sum(map(len, split))
-        place = self.place
-        word = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, n)
-        per_word = self.count[word]
-        flat = self.flat[ranges(self.start[word], per_word)]
-        owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
-        totals = np.bincount(owner, weights=per_word, minlength=len(texts)).astype(np.int64)
-        if len(self.place) > REMEMBERED or any(len(w) > LONG_WORD * 100 for w in new):
+        counts = self.count[at]
+        flat = self.flat[ranges(self.start[at], counts)]
+        if len(self.place) > REMEMBERED or max(map(len, new), default=0) > LONG_WORD * 100:
             self._forget()
-        return flat, totals
+        else:
+            self.place.new = []
+        return flat, counts
+
+
+class Encoder:
+    """Encodes texts of a task; pieces of words, and of parts of words, seen before are looked up."""
+
+    def __init__(self, path: str) -> None:
+        self.vocabulary = vocabulary(path)
+        self.of_words = Remembered(self._by_parts)
+        self.of_parts = Remembered(self.vocabulary.encode_words)
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text without the space mark that each begins with."""
+        if text and self.vocabulary.splits and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
+            return text.split(" ")
+        return [w[1:] for w in self.vocabulary.words(text)]
+
+    def _by_parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = self.vocabulary.parts([SPACE + w for w in words])
+        flat, counts = self.of_parts.look_up(parts, len(parts))
+        totals, ends = np.r_[0, np.cumsum(counts)], np.cumsum(sizes)
+        return flat, totals[ends] - totals[ends - sizes]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts without end ids, and the number of ids of each."""
+        split = [self._words(t) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat, counts = self.of_words.look_up(chain.from_iterable(split), int(sizes.sum()))
+        totals, ends = np.r_[0, np.cumsum(counts)], np.cumsum(sizes)
+        return flat, totals[ends] - totals[ends - sizes]
 
 
 def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", end: bool = True) -> DataFrame:

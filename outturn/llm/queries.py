@@ -43,7 +43,7 @@ def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = order.tokenised(table(spark, sf_dir, "documents"), model_path())
-    return order.materialise(ids, kind=order.ids_of(model_path()))
+    return order.materialise(ids, kind=order.ids_of(model_path()), own=True)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
