@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outturn.functions.keyfilter import key_filter
 from outturn.llm import jaccard, pieces, private, suffixes, toxicity
 from outturn.llm.common import staged, table, text_key, without_texts
 from outturn.llm.queries import model_path, sha256
@@ -49,7 +50,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         for which in ("not stays", "stays and n > 1")
     )
     of_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    kept = docs.join(gone, of_row, "left_anti")
+    # rows that a filter of the copies' keys doesn't let through stay where they are, so that few texts are shuffled
+    may = key_filter(gone, ["_id", "_key"])("doc_id", key)
+    kept = docs.where(~may).union(docs.where(may).join(gone, of_row, "left_anti"))
     if again.isEmpty():
         return kept
     return kept.join(again, of_row, "left_anti").union(kept.join(again, of_row, "left_semi").dropDuplicates(["doc_id", "text"]))

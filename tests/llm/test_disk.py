@@ -2,6 +2,7 @@
 
 import time
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from outturn.llm import jaccard
@@ -43,3 +44,18 @@ def test_ids_of_any_size_meet(spark):
     texts = [text, text + " more", text.replace("w0 ", "other "), "alone " + text[::-1]]
     rows = jaccard.near_copies(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1)).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {ids[0]: ids[0], ids[1]: ids[0], ids[2]: ids[0], ids[3]: ids[3]}
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    texts = [" ".join(f"w{i // 2 if i < 20 else i}-{k}" for k in range(30)) for i in range(200)]
+    rows = [(None if i == 3 else i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.one_of_near_copies(spark, docs, "")
+        ids = [r["doc_id"] for r in kept.collect()]
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(ids) == [*range(0, 20, 2), *range(20, 200)] and plan.startswith("Union")
