@@ -7,8 +7,8 @@ one-deletion neighbour. The allotment of a band is the one of least estimated co
 
 Keys travel once, in blocks of some bytes a key, and of keys that the same sets share one stays. Copies meet at their smallest
 id first. Candidates of a segment value are joined to its smallest set, the linked ones are
-contracted to components, and only pairs between different components are formed afterwards; a group of near
-copies costs its size and not its square, and no link between different texts is lost.
+contracted to components, and only pairs between different components are formed afterwards, where parity sketches as long as
+their sets ask for leave a link possible; no link between different texts is lost.
 
 Results of corner cases: a null, empty or blank text has the empty set and is linked with nothing; fewer words than a shingle
 make one shingle of all words; equal texts link; rows with equal ids are one document; a null id is left out.
@@ -17,6 +17,7 @@ make one shingle of all words; equal texts link; rows with equal ids are one doc
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 
 import numpy as np
@@ -36,12 +37,17 @@ BAND = 1.4
 FILTER_LONGS, MOST_LONGS, FILTER_HASHES = 1 << 14, 1 << 20, 3
 #: Buckets in which shingles are counted; the counts bound how far two sets differ.
 BUCKETS = 64
-#: Longs of the parity sketch. Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
-PARITY = 8
+#: Least longs of a parity sketch, and its bits a shingle at least. Every shingle flips one bit, so two sketches differ in no more bits than
+#: the sets in shingles; a sketch much shorter than its set is full of flips and tells nothing. Lengths are powers of two: the halves of
+#: a long sketch, one flipped by the other, are the sketch of half its length.
+PARITY, PARITY_BITS = 8, 2
 
 #: Segment keys of a block, keys that a task holds before it writes blocks, and shingles for which there is a task that groups keys.
 BLOCK, HELD, TASK_SHINGLES = 8192, 1 << 20, 1 << 21
 
+#: Sets of a key that are compared at a time with as many others, and pairs whose longs are held at once.
+CELL, PAIRS = 4096, 1 << 20
+
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -160,11 +166,21 @@ def _sketch(values: np.ndarray) -> bytes:
 
 
 def _parity(values: np.ndarray) -> np.ndarray:
-    bit = (scramble(values + MIX[1]) % np.uint64(64 * PARITY)).astype(np.int64)
-    odd = np.bincount(bit, minlength=64 * PARITY) & 1
+    longs = PARITY
+    while 64 * longs < PARITY_BITS * len(values):
+        longs *= 2
+    bit = (scramble(values + MIX[1]) % np.uint64(64 * longs)).astype(np.int64)
+    odd = np.bincount(bit, minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _flips(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parity sketches differ, the longer one folded to the length of the other."""
+    longs = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(p.reshape(-1, longs), 0) for p in (x, y))
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def _sets(documents: DataFrame, n: int, make_row, schema: str) -> DataFrame:
     def make():
         def step(batch):
@@ -179,11 +195,12 @@ def _measures(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, set size, digest, bucket counts and parities of every document."""
 
     def row(ids, sets):
-        parity = np.concatenate([_parity(s) for s in sets]) if sets else np.zeros(0, np.int64)
+        parities = [_parity(s) for s in sets]
+        parity = np.concatenate(parities) if sets else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 ids, pa.array(map(len, sets), pa.int64()), pa.array(map(_digest, sets), pa.binary()),
-                pa.array(map(_sketch, sets), pa.binary()), lists(parity, np.full(len(sets), PARITY), pa.int64()),
+                pa.array(map(_sketch, sets), pa.binary()), lists(parity, np.fromiter(map(len, parities), np.int64, len(sets)), pa.int64()),
             ],
             ["doc_id", "n_shingles", "digest", "sketch", "parity"],
         )
@@ -356,6 +373,86 @@ def _possible(pairs: DataFrame, measures: DataFrame, percent: int) -> DataFrame:
     return close.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a bigint, b bigint")
 
 
+def _not_apart(pairs: DataFrame, measures: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their whole parity sketches don't rule out; few others of them are linked, so few whole sets travel."""
+    left = measures.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("parity").alias("pa"))
+    right = measures.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("parity").alias("pb"))
+
+    def keep(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            sketches = [[s.values.to_numpy() for s in batch.column(k)] for k in (4, 5)]
+            flips = np.fromiter(map(_flips, *sketches), np.int64, batch.num_rows)
+            ok = (100 + percent) * flips <= (100 - percent) * total
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return joined.mapInArrow(keep, "a bigint, b bigint")
+
+
+def _met_apart(rows: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components ``c`` that share a key, where sizes and parities don't rule them out.
+
+    A key of many sets is cut into blocks of some CELL sets, and a task compares two blocks of it at a time.
+    """
+
+    def pairs_of(cells):
+        keys = np.stack([cells.column(k).to_numpy() for k in range(3)])
+        block, doc, c, size = (cells.column(k).to_numpy() for k in range(3, 7))
+        lists_of = cells.column(7).combine_chunks()
+        offsets, flat = lists_of.offsets.to_numpy(), lists_of.values.to_numpy()
+        longs = np.diff(offsets)
+        new = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+        ends = np.repeat(np.r_[new[1:], len(doc)], np.diff(np.r_[new, len(doc)]))
+        later = ends - np.arange(len(doc)) - 1
+        cuts = np.searchsorted(np.cumsum(later), np.arange(PAIRS, later.sum() + 1, PAIRS), side="right")
+        for part in np.split(np.arange(len(doc)), cuts):
+            i, j = np.repeat(part, later[part]), ranges(part + 1, later[part])
+            # rows of two different blocks meet where these blocks do, rows of one block where it meets itself
+            ok = (c[i] != c[j]) & ((block[i] != block[j]) | (keys[1][i] == keys[2][i]))
+            ok &= percent * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])
+            i, j = i[ok], j[ok]
+            i, j = np.where(longs[i] <= longs[j], i, j), np.where(longs[i] <= longs[j], j, i)
+            shape, kind = np.unique(np.stack([longs[i], longs[j]]), axis=1, return_inverse=True)
+            for k, (short, long) in enumerate(shape.T.tolist()):
+                of = np.flatnonzero(kind == k)
+                for low in range(0, len(of), max(1, PAIRS // long)):
+                    x, y = (at[of[low : low + max(1, PAIRS // long)]] for at in (i, j))
+                    flips = flat[offsets[x][:, None] + np.arange(short)]
+                    for at in range(0, long, short):
+                        flips = flips ^ flat[offsets[y][:, None] + np.arange(at, at + short)]
+                    differ = np.bitwise_count(flips.view(np.uint64)).sum(1, dtype=np.int64)
+                    kept = (100 + percent) * differ <= (100 - percent) * (size[x] + size[y])
+                    yield np.stack([np.minimum(doc[x], doc[y])[kept], np.maximum(doc[x], doc[y])[kept]])
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                now = pa.Table.from_batches([batch])
+                held = now if held is None else pa.concat_tables([held, now])
+                last = [held.column(k)[-1].as_py() for k in range(3)]
+                done = np.flatnonzero(np.logical_or.reduce([held.column(k).to_numpy() != v for k, v in enumerate(last)]))
+                end = int(done[-1]) + 1 if len(done) else 0
+            else:
+                end = held.num_rows if held is not None else 0
+            if end:
+                found = [x for x in pairs_of(held.slice(0, end).combine_chunks()) if x.size]
+                if found:
+                    once = np.unique(np.concatenate(found, 1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in once], ["a", "b"])
+                held = held.slice(end)
+
+    blocks, others = F.col("blocks"), F.col("other")
+    block = F.pmod(F.xxhash64("doc_id"), blocks).alias("block")
+    cells = (
+        rows.select("key", "doc_id", "c", "n_shingles", "parity", block, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("block", others).alias("p"), F.greatest("block", others).alias("q"), "block", "doc_id", "c", "n_shingles", "parity")
+    )
+    dealt = cells.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs whose whole sets reach the similarity."""
     spark = documents.sparkSession
@@ -436,32 +533,22 @@ def near_copies(
     hubs = met.join(busy, "doc_id").groupBy("key").agg(F.max(F.struct("busy", (-F.col("doc_id")).alias("minus"))).alias("top"))
     star = met.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").where("doc_id <> hub")
     star = star.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    tried = staged(_possible(star, first, percent), "tried")
+    tried = staged(_not_apart(_possible(star, first, percent), first, percent), "tried")
     linked = staged(_verified(tried, documents, n, percent), "linked")
     near = staged(components(linked), "near")
 
     # Segment values that still join different components: only pairs between those remain, and only those
-    # whose sizes and parities allow a link leave the join.
+    # whose sizes and parities allow a link are formed.
     seen = met.join(near, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    mixed = seen.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = staged(seen.join(mixed, "key").join(first.select("doc_id", "n_shingles", "parity"), "doc_id"), "open")
-
-    def side(name: str) -> DataFrame:
-        parity = [F.col("parity")[k].alias(f"{name}{k}") for k in range(PARITY)]
-        return open_.select(
-            "key", F.col("doc_id").alias(name), F.col("c").alias(f"c{name}"), F.col("n_shingles").alias(f"n{name}"), *parity
-        )
-
-    total = F.col("na") + F.col("nb")
-    close = F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")
-    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
-    bound = F.lit(100 + percent) * differ <= F.lit(100 - percent) * total
-    left, right = side("a"), side("b")
-    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & bound)
+    mixed = (
+        seen.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x <> y")
+        .select("key", F.ceil(F.col("n") / CELL).cast("bigint").alias("blocks"))
+    )
+    open_ = seen.join(mixed, "key").join(first.select("doc_id", "n_shingles", "parity"), "doc_id")
     # written first, so that Spark doesn't move the anti-join to the pairs as they repeat in many groups
-    pairs = staged(cross.select("a", "b").distinct(), "pairs")
-    more = staged(_possible(pairs.join(tried, ["a", "b"], "left_anti"), first, percent), "more")
-    discard(met, near, open_, tried, pairs)
+    pairs = staged(_met_apart(open_, tasks, percent), "pairs")
+    more = staged(_not_apart(_possible(pairs.join(tried, ["a", "b"], "left_anti"), first, percent), first, percent), "more")
+    discard(met, near, tried, pairs)
     final = components(linked.union(_verified(more, documents, n, percent)))
     return (
         measures.select("doc_id", "n_shingles").join(member, "doc_id", "left")

@@ -1,5 +1,6 @@
 """What operators leave on disk and send through shuffles."""
 
+import random
 import time
 
 import corpus_pipeline
@@ -59,3 +60,43 @@ def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(ids) == [*range(0, 20, 2), *range(20, 200)] and plan.startswith("Union")
+
+
+def test_large_sets_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    # every text has 980 of its 1,400 words from one passage: sets of many more shingles than a short sketch has bits
+    texts = [" ".join([*(f"p{k}" for k in range(980)), *(f"u{i}-{k}" for k in range(420))]) for i in range(12)]
+    met = {}
+
+    def counted(df, label):
+        out = staged(df, label)
+        met.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard.near_copies(docs, percent=80, n=5).collect()
+    assert met["met"] > 0 and met["pairs"] == met["more"] == met["tried"] == 0
+    assert all(r["component_id"] == r["doc_id"] for r in rows)
+
+
+def test_blocks_of_a_large_group_meet_each_other(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = []
+    for of in range(3):
+        base = [f"b{of}-{k}" for k in range(150 + 400 * of)]
+        for i in range(25):
+            words, start = list(base), draw.randrange(len(base) // 2)
+            for k in range(start, start + int(len(base) * draw.choice([0.03, 0.08, 0.11, 0.15]))):
+                words[k] = f"v{of}-{i % 9}-{k}"
+            texts.append(" ".join(words))
+    sets = [set(jaccard.shingles(t, 5).tolist()) for t in texts]
+    least = list(range(len(sets)))
+    for _ in sets:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    least[a] = least[b] = min(least[a], least[b])
+    monkeypatch.setattr(jaccard, "CELL", 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard.near_copies(docs, percent=80, n=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(least))
